@@ -3,15 +3,112 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import chat, jaccard, mixing, packing, quality, sharding, tokens, topk, urls, warc
 from .common import table
 
+TOKENIZER = "piece_bpe_32k.model"
+SHARDS = 40
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS)
+
+
+def op2_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    used = mixing.usage(docs, mixing.MixParams())
+    return used.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shard_documents(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+
+
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.component_ids(docs, 75, 100, 5).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
-ORACLE: dict[str, str] = {}
+def op6_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.integers(F.col("embedding")).alias("v"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    turn = lambda i, role: F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(turn(0, "user"), turn(1, "assistant"))).alias("t"))
+    extra = extra.select("conv_id", "t.turn", "t.role", said.alias("text"))
+    return chat.digest(chat.nest(rows.unionByName(extra)))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_hierarchical_mix, op3_rendezvous_shards, op4_length_buckets, op5_ngram_jaccard, op6_bpe_counts, op7_topk_search, op8_url_filter, op9_chat_format, op10_warc_round_trip)}
+
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), clean AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows
+), shown AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS t,
+         replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c') AS r
+  FROM clean
+), conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         string_agg('### ' || r || ': ' || t || '</turn>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS formatted
+  FROM shown GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       length(formatted) AS formatted_chars
+FROM conv
+"""
+
+_TOPK_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE = {"op7_topk_search": _TOPK_SQL, "op9_chat_format": _CHAT_SQL}
