@@ -14,12 +14,15 @@ least ``l`` tokens among the first ``n - o + l`` of each. A document may pick it
 3. The classes left get exact token frequencies (of classes left) and are sorted by them.
    Each takes the ``l`` with the lowest estimated cost, scanned postings plus candidates
    that remain to be verified.
-4. Leader rounds: of each posting list one class leads; each class is verified against the
-   leader it shares most prefix tokens with, and found links are merged to components.
-   Rounds go on, with other leaders, as long as they merge much.
+4. Leader rounds: in each posting list and size class one class leads, first the one whose
+   tokens are the most frequent (the likely origin of a group of copies), later a random
+   one; each class is verified against the leader it shares most prefix tokens with, and
+   found links are merged to components.
 5. The rest: pairs of classes of different components in one posting list, of fitting
-   sizes and with the smaller of both ``l`` shared tokens, are verified. Pairs inside a
-   component need none: they can't change it.
+   sizes and with the smaller of both ``l`` shared tokens, are verified. Before that a
+   parity sketch of 512 bits bounds their overlap from above, so near misses in a large
+   group of copies end inside the join. Pairs inside a component need no test: they can't
+   change it.
 
 No link is lost: steps 4 and 5 leave out only pairs that already lie in one component.
 A class key collides with probability n^2 / 2^65 over n classes.
@@ -43,8 +46,11 @@ BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1_500_000
 #: Numbers of shared prefix tokens from which each document picks.
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-#: Leader rounds at most; the exact step follows in any case.
-LEADER_ROUNDS = 4
+#: Leader rounds at most; the exact step follows in any case. The first HUB_ROUNDS of them
+#: take hubs for leaders.
+LEADER_ROUNDS, HUB_ROUNDS = 4, 2
+#: Rows of two or three numbers up to which a counted table is broadcast, else shuffled.
+SMALL_ROWS = 1_000_000
 
 
 def _need(n, num, den):
@@ -52,6 +58,11 @@ def _need(n, num, den):
     return (n * num + den - 1) // den
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def _signatures(k):
     def run(batches):
         for b in batches:
@@ -140,11 +151,27 @@ def _packed_batch(out):
     )
 
 
-def _support(t: pa.Table) -> pa.Table:
+def _support(parts: int):
     """Of one bucket: for each class, how many of its tokens another class has as well.
 
-    Rows of bucket -1 hold such counts ready made.
+    Rows of bucket -1 hold such counts ready made. The counts leave in packed blocks by
+    class.
     """
+    def run(t: pa.Table) -> pa.Table:
+        return _bucket_counts(t, parts)
+
+    return run
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """Adds up the packed counts of one part of the classes."""
+    key = np.concatenate([np.frombuffer(x, np.int64) for x in t["key"].to_pylist()])
+    cnt = np.concatenate([np.frombuffer(x, np.uint32) for x in t["cnt"].to_pylist()])
+    key, inv = np.unique(key, return_inverse=True)
+    return pa.table({"ck": pa.array(key), "cnt": pa.array(np.bincount(inv, cnt, len(key)).astype(np.int64))})
+
+
+def _bucket_counts(t: pa.Table, parts: int) -> pa.Table:
     tok, own, many, ready, counts = [], [], [], [], []
     for a, b, c, k in zip(t["tok"].to_pylist(), t["own"].to_pylist(), t["many"].to_pylist(), t["bucket"].to_pylist()):
         x = np.frombuffer(a, np.uint32)
@@ -161,8 +188,18 @@ def _support(t: pa.Table) -> pa.Table:
         ready.append(ready_key)
         counts.append(ready_count)
     if not ready:
-        ready, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    return pa.table({"ck": pa.array(np.concatenate(ready), pa.int64()), "cnt": pa.array(np.concatenate(counts), pa.int64())})
+        return pa.table({"part": pa.array([], pa.int32()), "key": pa.array([], pa.binary()), "cnt": pa.array([], pa.binary())})
+    key, cnt = np.concatenate(ready), np.concatenate(counts)
+    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    key, cnt, part = key[order], cnt[order], part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    cuts = list(zip(at.tolist(), np.append(at[1:], len(part)).tolist()))
+    return pa.table({
+        "part": pa.array(part[at], pa.int32()),
+        "key": pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary()),
+        "cnt": pa.array([cnt[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary()),
+    })
 
 
 def _shared_tokens(tok, own, many):
@@ -184,28 +221,42 @@ def _shared_tokens(tok, own, many):
     return np.unique(own, return_counts=True)
 
 
+#: 64-bit words of a class's parity sketch.
+WORDS = 8
+_SKETCH = [f"w{i}" for i in range(WORDS)]
+
+
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes at each bit. Two sets differ in as many elements at
+    least as their sketches differ in bits."""
+    odd = np.bincount((mix(h) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(k):
     def run(batches):
         for b in batches:
-            keys, sizes, flat, ends = [], [], [], [0]
+            keys, sizes, flat, ends, bits = [], [], [], [0], []
             for _, h in shingle_sets(b.column(0), k):
                 if len(h):
                     keys.append(set_key(h))
                     sizes.append(len(h))
+                    bits.append(_sketch(h))
                     flat.append(h.view(np.int64))
                     ends.append(ends[-1] + len(h))
                 if ends[-1] > BLOCK_TOKENS:
-                    yield _set_batch(keys, sizes, flat, ends)
-                    keys, sizes, flat, ends = [], [], [], [0]
+                    yield _set_batch(keys, sizes, flat, ends, bits)
+                    keys, sizes, flat, ends, bits = [], [], [], [0], []
             if keys:
-                yield _set_batch(keys, sizes, flat, ends)
+                yield _set_batch(keys, sizes, flat, ends, bits)
 
     return run
 
 
-def _set_batch(keys, sizes, flat, ends):
+def _set_batch(keys, sizes, flat, ends, bits):
     toks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), toks], names=["ck", "n", "toks"])
+    words = [pa.array(np.ascontiguousarray(w)) for w in np.array(bits).T]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), toks, *words], names=["ck", "n", "toks", *_SKETCH])
 
 
 def _choose(num, den):
@@ -218,7 +269,7 @@ def _choose(num, den):
             df = flat.field(0).to_numpy(zero_copy_only=False)
             tok = flat.field(1).to_numpy(zero_copy_only=False)
             at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            keys, ns, ells, toks = [], [], [], []
+            keys, ns, ells, hubs, toks = [], [], [], [], []
             for i, (key, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 d, t = df[at[i]:at[i + 1]], tok[at[i]:at[i + 1]]
                 need = int(_need(n, num, den))
@@ -237,19 +288,21 @@ def _choose(num, den):
                 keys.append(np.full(size, key, np.int64))
                 ns.append(np.full(size, n, np.int64))
                 ells.append(np.full(size, best, np.int32))
+                hubs.append(np.full(size, d.sum() // n))
                 toks.append(t[order[:size]])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ns, ells, toks)], names=["ck", "n", "ell", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ns, ells, hubs, toks)], names=["ck", "n", "ell", "hub", "t"])
 
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) those with enough overlap."""
+def _verify(pairs: DataFrame, tested: int, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) those with enough overlap. Sets that no pair needs aren't moved."""
     left = sets.select(F.col("ck").alias("a"), F.col("toks").alias("ta"), F.col("n").alias("na"))
     right = sets.select(F.col("ck").alias("b"), F.col("toks").alias("tb"), F.col("n").alias("nb"))
+    right = right.join(_small(pairs.select("b").distinct(), tested), "b", "left_semi")
     x = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("x", x)
+    both = left.join(_small(pairs.select("a", "b"), tested), "a").join(right, "b").withColumn("x", x)
     return both.where(F.col("x") * den >= (F.col("na") + F.col("nb") - F.col("x")) * num).select("a", "b")
 
 
@@ -273,81 +326,98 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5, scratch:
     )
     # one pass over the texts makes both the blocks and the support counted inside them
     deal = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("own"), F.lit(buckets)).cast("int"))
-    counted = packed.withColumn("slot", deal).groupBy("slot").applyInArrow(_support, "ck long, cnt long")
+    counted = packed.withColumn("slot", deal).groupBy("slot").applyInArrow(_support(width), "part int, key binary, cnt binary")
+    counted = counted.groupBy("part").applyInArrow(_total, "ck long, cnt long")
     cls = rows.where("n > 0").groupBy("ck").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("pick"))
     least = F.greatest(F.lit(1), F.ceil(F.lit(SUPPORT_SHARE) * F.col("n")))
     left = scratch.save(
-        counted.groupBy("ck").agg(F.sum("cnt").alias("cnt")).join(cls, "ck").where(F.col("cnt") >= least).select("ck", F.col("pick.doc_id").alias("id"), F.col("pick.th").alias("th")),
+        counted.join(cls, "ck").where(F.col("cnt") >= least).select("ck", F.col("pick.doc_id").alias("id"), F.col("pick.th").alias("th")),
         "supported",
     )
     # texts of one row a class; rows that only share the identifier leave by the key below
     named = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    ids = left.select(F.col("id").alias("doc_id"), "th").distinct()
+    ids = _small(left.select(F.col("id").alias("doc_id"), "th").distinct(), left.count())
     near = named.join(ids, named["doc_id"].eqNullSafe(ids["doc_id"]) & (named["th"] == ids["th"]), "left_semi")
-    sets = near.select("text").mapInArrow(_sets(k), "ck long, n long, toks array<long>")
+    sets = near.select("text").mapInArrow(_sets(k), "ck long, n long, toks array<long>, " + ", ".join(f"{w} long" for w in _SKETCH))
     # repeated rows of one text give the same set
     sets = scratch.save(sets.dropDuplicates(["ck"]), "sets")
 
     tok = sets.select("ck", "n", F.explode("toks").alias("t"))
     freq = tok.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = tok.join(freq, "t").groupBy("ck").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "t")).alias("l"))
-    post = scratch.save(lists.mapInArrow(_choose(num, den), "ck long, n long, ell int, t long"), "prefixes")
+    post = scratch.save(lists.mapInArrow(_choose(num, den), "ck long, n long, ell int, hub long, t long"), "prefixes")
 
     comps = None
     for turn in range(LEADER_ROUNDS):
-        tested, found = _lead(post, comps, sets, turn, num, den, scratch)
+        pairs, tested = _lead(post, comps, turn, num, den, scratch)
+        links = 0
         if tested:
-            comps, links = _merge(comps, found, scratch)
-        if not tested or links * 20 < tested:
+            comps, links = _merge(comps, _verify(pairs, tested, sets, num, den), scratch)
+        if turn + 1 >= HUB_ROUNDS and links * 10 < tested or not tested:
             break
-    pairs = scratch.save(_rest(_live(post, comps), num, den), "rest")
-    if not pairs.isEmpty():
-        comps, _ = _merge(comps, scratch.save(_verify(pairs, sets, num, den), "links"), scratch)
+    pairs = scratch.save(_rest(_live(post, comps), sets, num, den), "rest")
+    if tested := pairs.count():
+        comps, _ = _merge(comps, _verify(pairs, tested, sets, num, den), scratch)
     if comps is None:
-        comps = spark.createDataFrame([], "node long, root long")
-    return rows, comps
+        return rows, spark.createDataFrame([], "node long, root long")
+    return rows, comps[0]
 
 
-def _live(post: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _live(post: DataFrame, comps) -> DataFrame:
     """Postings with the component of each class."""
-    live = post.select("ck", "n", "ell", "t")
     if comps is None:
-        return live.withColumn("comp", F.col("ck"))
-    return live.join(comps, live["ck"] == comps["node"], "left").select("ck", "n", "ell", "t", F.coalesce("root", "ck").alias("comp"))
+        return post.withColumn("comp", F.col("ck"))
+    table, size = comps
+    live = post.join(_small(table, size), post["ck"] == table["node"], "left")
+    return live.withColumn("comp", F.coalesce("root", "ck")).drop("node", "root")
 
 
-def _merge(comps, found, scratch):
+def _merge(comps, found: DataFrame, scratch: Scratch):
+    """Components (table, rows) with the new links, and the number of these."""
+    found = scratch.save(found, "links")
     links = found.count()
     if links:
         edges = found
         if comps is not None:
-            edges = found.unionAll(comps.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        comps = scratch.save(components(edges, scratch), "components")
+            edges = found.unionAll(comps[0].select(F.col("node").alias("a"), F.col("root").alias("b")))
+        table = scratch.save(components(edges, scratch), "components")
+        comps = (table, table.count())
     return comps, links
 
 
-def _lead(post, comps, sets, turn, num, den, scratch):
-    """Tests each class against the leader of another component that it meets most often."""
-    live = _live(post, comps)
-    lead = F.min(F.struct(F.xxhash64("ck", F.lit(turn)).alias("r"), "ck", "n", "comp")).alias("lead")
-    heads = live.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
-    led = live.join(heads, "t").select(
+def _lead(post, comps, turn, num, den, scratch):
+    """Pairs of each class and the leader of another component that it meets most often.
+
+    Size classes are powers of den / num, shifted by half a class in every other round.
+    """
+    size = F.floor(F.log("n") / F.log(F.lit(den / num)) + 0.5 * (turn % 2)).cast("int")
+    live = _live(post, comps).select("ck", "n", "t", "comp", "hub", size.alias("s"))
+    first = -F.col("hub") if turn < HUB_ROUNDS else F.xxhash64("ck", F.lit(turn))
+    lead = F.min(F.struct(first.alias("r"), "ck", "n", "comp")).alias("lead")
+    heads = live.groupBy("t", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi").select("t", "s", "lead")
+    led = live.join(heads, ["t", "s"]).select(
         "ck", "n", "comp", F.col("lead.ck").alias("lead"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("to")
     )
     hits = led.where((F.col("comp") != F.col("to")) & _fits(num, den)).groupBy("ck", "lead").agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy(F.col("ck").alias("a")).agg(F.max_by("lead", F.struct("hits", "lead")).alias("b"))
     pairs = scratch.save(best, "led")
-    tested = pairs.count()
-    return tested, scratch.save(_verify(pairs, sets, num, den), "links") if tested else None
-
-
-def _rest(live: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of classes of different components that share enough prefix tokens."""
-    done = live.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    mine = live.join(done, "t")
-    other = mine.select("t", F.col("ck").alias("b"), F.col("n").alias("m"), F.col("ell").alias("ell2"), F.col("comp").alias("comp2"))
-    both = mine.withColumnRenamed("ck", "a").join(other, "t").where((F.col("comp") < F.col("comp2")) & _fits(num, den))
-    pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("ell", "ell2")).alias("least"))
+    return pairs, pairs.count()
+
+
+def _rest(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of classes of different components that share enough prefix tokens, and
+    whose sketches don't rule the overlap out."""
+    open_ = live.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
+    mine = live.select("ck", "n", "ell", "t", "comp").join(open_, "t").join(sets.select("ck", *_SKETCH), "ck")
+    names = {"ck": "b", "n": "m", "ell": "ell2", "comp": "comp2", **{w: f"v{w}" for w in _SKETCH}}
+    other = mine.select("t", *[F.col(c).alias(v) for c, v in names.items()])
+    apart = F.lit(0)
+    for w in _SKETCH:
+        apart = apart + F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}")))
+    both = F.col("n") + F.col("m")
+    may = (both - apart) * (num + den) >= both * (2 * num)
+    met = mine.withColumnRenamed("ck", "a").join(other, (mine["t"] == other["t"]) & (F.col("comp") < F.col("comp2")) & _fits(num, den) & may)
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("ell", "ell2")).alias("least"))
     return pairs.where("hits >= least").select("a", "b")
 
 
