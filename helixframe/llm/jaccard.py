@@ -187,7 +187,7 @@ def _bucket_counts(t: pa.Table, parts: int) -> pa.Table:
         ready_key, ready_count = _shared_tokens(*map(np.concatenate, (tok, own, many)))
         ready.append(ready_key)
         counts.append(ready_count)
-    if not ready:
+    if not sum(map(len, ready)):
         return pa.table({"part": pa.array([], pa.int32()), "key": pa.array([], pa.binary()), "cnt": pa.array([], pa.binary())})
     key, cnt = np.concatenate(ready), np.concatenate(counts)
     part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
