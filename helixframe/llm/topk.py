@@ -72,7 +72,8 @@ def _matrix(data: bytes, n: int) -> np.ndarray:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of all rows; by floating point where that is exact."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    length = lambda m: float(np.sqrt((m.astype(np.float64) ** 2).sum(1)).max(initial=0))
+    top = length(a) * length(b) * (1 + 1e-9)  # bounds every partial sum
     if top < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if top < 2.0**63:
