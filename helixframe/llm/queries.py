@@ -111,4 +111,43 @@ WITH ok AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE = {"op7_topk_search": _TOPK_SQL, "op9_chat_format": _CHAT_SQL}
+_JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM flat a JOIN flat b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT r.doc_id, b.y FROM reach r JOIN sym b ON r.other = b.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, m.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""
+
+_WARC_SQL = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS first FROM rows),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][CAST(instr('0123456789abcdef', substr(h, CAST(i AS INT), 1)) AS INT)]), '') AS b
+  FROM hashed
+)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+    + 16 * CAST(substr(b, CAST(5 * j + 1 AS INT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * j + 2 AS INT), 1) AS INT) + 4 * CAST(substr(b, CAST(5 * j + 3 AS INT), 1) AS INT)
+    + 2 * CAST(substr(b, CAST(5 * j + 4 AS INT), 1) AS INT) + CAST(substr(b, CAST(5 * j + 5 AS INT), 1) AS INT) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM bits
+"""
+
+ORACLE = {"op5_ngram_jaccard": _JACCARD_SQL, "op10_warc_round_trip": _WARC_SQL, "op7_topk_search": _TOPK_SQL, "op9_chat_format": _CHAT_SQL}
