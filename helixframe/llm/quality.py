@@ -108,8 +108,14 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 _Q = [f"q{i}" for i in range(_P)]
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
-_MOMENTS = [F.count(F.lit(1)).alias("n"), *[F.sum(q).alias(f"s_{q}") for q in _Q], *[F.sum(F.col(_Q[i]) * F.col(_Q[j])).alias(f"s{i}{j}") for i, j in _PAIRS]]
 _MOMENT_NAMES = ["n", *[f"s_{q}" for q in _Q], *[f"s{i}{j}" for i, j in _PAIRS]]
+
+
+def _moments() -> list[Column]:
+    cross = [F.sum(F.col(_Q[i]) * F.col(_Q[j])).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return [F.count(F.lit(1)).alias("n"), *[F.sum(q).alias(f"s_{q}") for q in _Q], *cross]
+
+
 _PARAMS = [*[f"mu{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS], "logdet"]
 
 
@@ -191,8 +197,8 @@ def _step(rows: DataFrame, params: DataFrame, keys: list[str], share: float | No
     """Moments of the rows of smallest distance: a share of each cell, or all up to cut."""
     near = _join(rows.drop("cell"), params).withColumn("d2", _distance())
     if cut is not None:
-        return near.where(F.col("d2") <= cut).groupBy(*keys).agg(*_MOMENTS)
-    binned = near.withColumn("b", _bin(F.col("d2"))).groupBy(*keys, "b").agg(*_MOMENTS)
+        return near.where(F.col("d2") <= cut).groupBy(*keys).agg(*_moments())
+    binned = near.withColumn("b", _bin(F.col("d2"))).groupBy(*keys, "b").agg(*_moments())
     w = Window.partitionBy(*keys)
     cum = binned.withColumn("before", F.sum("n").over(w.orderBy("b")) - F.col("n")).withColumn("all", F.sum("n").over(w))
     inner = cum.where(F.col("before") < share * F.col("all"))
@@ -205,7 +211,7 @@ def fit(rows: DataFrame, scratch: Scratch, params: McdParams) -> DataFrame:
     rows = scratch.save(_join(rows.select("lang", "source", *_Q), cells), "vectors")
     spread = lambda est, name: scratch.save(cells.join(est, "cell"), name)
     share_factor = params.share / chi2_cdf_even(chi2_quantile_even(params.share, _P), _P + 2)
-    plain = rows.groupBy("cell").agg(*_MOMENTS).withColumn("start", F.lit(1))
+    plain = rows.groupBy("cell").agg(*_moments()).withColumn("start", F.lit(1))
     start = _median_start(rows, params.floors).unionByName(_estimate(plain, ["cell", "start"], 1.0, params.floors))
     est = spread(start, "start")
     for k in range(params.steps):
