@@ -60,7 +60,8 @@ def blocks(vectors: DataFrame, rows: int, by_length: bool) -> DataFrame:
     bucket = F.floor(_PER_OCTAVE * F.log2(_length() + 1)).cast("int") if by_length else F.lit(0)
     keyed = vectors.withColumn("dim", F.size("v")).withColumn("bucket", bucket)
     counts = keyed.groupBy(F.col("dim").alias("d"), F.col("bucket").alias("b")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
-    dealt = keyed.join(counts, (keyed["dim"] == counts["d"]) & (keyed["bucket"] == counts["b"]))
+    # at most 4 * 64 length buckets a dimension: joined without dealing rows out by bucket
+    dealt = keyed.join(F.broadcast(counts), (keyed["dim"] == counts["d"]) & (keyed["bucket"] == counts["b"]))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
     dealt = dealt.select("dim", "bucket", part.alias("part"), "vec_id", "v")
     return dealt.groupBy("dim", "bucket", "part").applyInArrow(_pack, _BLOCK_DDL)
