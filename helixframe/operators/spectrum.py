@@ -86,18 +86,3 @@ def summary(reads: DataFrame, params) -> DataFrame:
         one(reads, "reads").unionAll(one(windows(reads, params.k), "kmer_windows"))
         .unionAll(one(windows(reads, params.tile, params), "tile_windows")).unionAll(sizes).unionAll(one(tiles, "tiles")).unionAll(dense)
     )
-
-
-def node_bytes(counts: DataFrame, name: str, node: int) -> DataFrame:
-    """Per run of ``node`` identifiers in order: bytes of the first and of the largest step.
-
-    (node, rows, ref_bytes, delta_bytes): what a delta-coded node would need.
-    """
-    placed = ranked(counts, name).withColumn("node", F.floor((F.col("rank") - 1) / node).cast("long"))
-    w = Window.partitionBy("node").orderBy(name)
-    step = F.col(name) - F.lag(name).over(w)
-    return placed.select("node", name, step.alias("step")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("rows"),
-        codec.bytes_needed(F.min(name)).alias("ref_bytes"),
-        codec.bytes_needed(F.coalesce(F.max("step"), F.lit(0))).alias("delta_bytes"),
-    )

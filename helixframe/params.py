@@ -106,3 +106,19 @@ def parse(text: str) -> Params:
 
 def load(path: str) -> Params:
     return parse(Path(path).read_text()).check()
+
+
+def to_text(params: Params) -> str:
+    """Parameter file of a record."""
+    back = {v: k for k, v in KEYS.items()}
+    shown = lambda v: int(v) if isinstance(v, bool) else v
+    return "".join(f"{back[n]} {shown(getattr(params, n))}\n" for n, _ in params.describe() if getattr(params, n) != "")
+
+
+def grid(base: Params, **choices) -> list[tuple[str, Params]]:
+    """Named records for all combinations of the choices, in order: for benchmark runs."""
+    import itertools
+
+    names = list(choices)
+    combos = itertools.product(*(choices[n] for n in names))
+    return [("-".join(f"{n}{v}" for n, v in zip(names, c)), dataclasses.replace(base, **dict(zip(names, c)))) for c in combos]

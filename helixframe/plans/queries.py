@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import metrics
 from ..functions import codec
-from ..operators import correct, neighbors, prep, spectrum, tiles, windows
+from ..operators import correct, delta, neighbors, prep, spectrum, tiles, windows
 from ..params import Params
 from .reads import LETTERS, READ_LENGTH, ROOM, STANDS_FOR, derived_reads
 
@@ -183,7 +184,18 @@ def block_assignment(spark, sf_dir):
 
 
 def delta_bytes_per_node(spark, sf_dir):
-    return spectrum.node_bytes(kmer_spectrum(spark, sf_dir), "kmer_id", NODE)
+    return delta.node_bytes(kmer_spectrum(spark, sf_dir), "kmer_id", NODE)
+
+
+def delta_restarts(spark, sf_dir):
+    return delta.restart_table(spectrum.kmer_spectrum(derived_reads(spark, sf_dir), DENSE).persist(), "kmer_id", (1, 2))
+
+
+def lookup_counters(spark, sf_dir):
+    """Lookups and misses of all windows in spectra with a threshold."""
+    p = Params(k=10, step=4, min_count=3)
+    reads, kmers, tile = _spectra(spark, sf_dir, p)
+    return metrics.lookup_counters(reads, kmers, tile, p)
 
 
 def read_correction(spark, sf_dir):
@@ -205,7 +217,7 @@ def error_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tile_spectrum, kmer_spectrum, tile_spectrum_noq, reads_derived, reads_valid_only, reads_renumbered, ambig_replaced, kmer_windows, tile_windows_q,
     pack_unpack, spectrum_ranked, absent_kmers, spectrum_summary, tile_histogram_both, unit_neighbors, valid_neighbors, hamming1_pairs, tile_lookup,
-    strand_merged_tiles, first_tile_decision, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, read_correction, corrected_reads, error_summary,
+    strand_merged_tiles, first_tile_decision, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
 )}
 
 # SQL -------------------------------------------------------------------------------------
@@ -309,8 +321,19 @@ ORACLE = {
       numbered AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS i, count(*) OVER () AS n FROM reads),
       bounds AS (SELECT b, b * n // {BLOCKS} AS lo, (b + 1) * n // {BLOCKS} AS hi FROM (SELECT unnest(range(0, {BLOCKS})) AS b), (SELECT count(*) AS n FROM reads))""")
       + " SELECT b AS block, hi - lo AS rows, lo AS low, hi - 1 AS high FROM bounds WHERE hi > lo",
+    "delta_restarts": "WITH RECURSIVE " + ",".join((_READS, _DENSE(1), """
+      chain(width, ref) AS (
+        SELECT w, (SELECT min(kmer_id) FROM km) FROM (SELECT unnest([1, 2]) AS w)
+        UNION ALL SELECT width, (SELECT min(kmer_id) FROM km WHERE kmer_id >= ref + (1 << (8 * width))) FROM chain WHERE ref IS NOT NULL)"""))
+      + " SELECT CAST(width AS INT) AS width, count(ref) AS \"references\", (SELECT count(*) FROM km) - count(ref) AS deltas FROM chain GROUP BY width",
+    "lookup_counters": _with(_spectrum_sql("km", _K, False, 3, "kmer_id"), _spectrum_sql("ti", _T, True, 3, "tile_id"), _windows_sql("tw", _T, False)) + f"""
+      SELECT 'kmer' AS kind, count(*) AS lookups, CAST(count_if({_pack_sql("w", _K)} NOT IN (SELECT kmer_id FROM km)) AS BIGINT) AS misses FROM km_w
+      UNION ALL SELECT 'tile', count(*), CAST(count_if({_pack_sql("w", _T)} NOT IN (SELECT tile_id FROM ti)) AS BIGINT) FROM tw""",
     "delta_bytes_per_node": _with(_KMERS, f"""
-      nodes AS (SELECT kmer_id, (row_number() OVER (ORDER BY kmer_id) - 1) // {NODE} AS node FROM km),
-      steps AS (SELECT node, kmer_id, kmer_id - lag(kmer_id) OVER (PARTITION BY node ORDER BY kmer_id) AS step FROM nodes)""")
-      + " SELECT node, count(*) AS rows, CAST(greatest(1, ceil(length(ltrim(bin(min(kmer_id)), '0')) / 8)) AS INT) AS ref_bytes, CAST(greatest(1, ceil(length(ltrim(bin(coalesce(max(step), 0)), '0')) / 8)) AS INT) AS delta_bytes FROM steps GROUP BY node",
+      placed AS (SELECT kmer_id, row_number() OVER (ORDER BY kmer_id) - 1 AS i FROM km),
+      near AS (
+        SELECT i // {NODE} AS node, CASE i % {NODE} WHEN 0 THEN kmer_id WHEN 1 THEN kmer_id - lag(kmer_id) OVER (ORDER BY i)
+          ELSE kmer_id - nth_value(kmer_id, 2) OVER (PARTITION BY i // {NODE} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS d
+        FROM placed)""")
+      + " SELECT node, count(*) AS rows, CAST(sum(CASE WHEN d < 256 THEN 1 WHEN d < 65536 THEN 2 WHEN d < 16777216 THEN 3 ELSE 4 END) AS BIGINT) AS bytes FROM near GROUP BY node",
 }

@@ -92,3 +92,13 @@ def fasta_lines(records: DataFrame, width: int = 79) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
+
+
+def slice_reads(reads: DataFrame, start: int, end: int) -> DataFrame:
+    """Reads with ids from start to end - 1."""
+    return reads.where((F.col("read_id") >= start) & (F.col("read_id") < end))
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of input files; contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")

@@ -1,5 +1,10 @@
 """Every registered engine query against its SQL on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -31,3 +36,13 @@ def test_entry_without_training_operators(spark, small):
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
     assert e.entry(spark).columns == ["tile_id", "cnt"]
+
+
+def test_entry_when_the_training_operators_are_gone(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/helixframe", tmp_path / "helixframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()), sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, check=True)
+    assert out.stdout.strip() == f"{sorted(QUERIES)} {sorted(ORACLE)}"

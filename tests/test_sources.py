@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe import metrics
 from helixframe.operators import prep, spectrum
-from helixframe.params import Params, parse
+from helixframe.params import Params, grid, parse, to_text
 from helixframe.plans import runs
 from helixframe.sources import logs, sequences, tables
 from helixframe.streaming import spectra as streams
@@ -30,6 +30,7 @@ def test_fastq_over_splits(spark, tmp_path):
         reads = sequences.read_fastq(spark, p)
         rows = sorted(tuple(r) for r in reads.collect())
         assert [r[0] for r in rows] == list(range(700))
+        assert sequences.slice_reads(reads, 3, 7).count() == 4 and sequences.file_sizes(spark, p).first().length == os.path.getsize(p)
         assert all(r[1] == BASES[r[0] % 9:] and len(r[1]) == len(r[2]) for r in rows)
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     spark.conf.set("spark.sql.files.openCostInBytes", "4m")
@@ -130,6 +131,8 @@ def test_prep(spark):
 def test_params_and_logs(spark, tmp_path):
     p = parse("# c\nKmerLen 8 # k\nStep 4\nT_ratio 0.25\nWriteOutput 0\nRunType 0\n").check()
     assert (p.k, p.step, p.ratio, p.write_output, p.tile) == (8, 4, 0.25, False, 12)
+    assert parse(to_text(p)) == p
+    assert [(n, x.k, x.step) for n, x in grid(p, k=[8, 9], step=[2])] == [("k8-step2", 8, 2), ("k9-step2", 9, 2)]
     for bad in (Params(k=2), Params(k=17), Params(step=0), Params(k=4, step=5), Params(run_type=2)):
         try:
             bad.check()

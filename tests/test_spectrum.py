@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import neighbors, spectrum
+from helixframe.operators import delta, neighbors, spectrum
 from helixframe.operators.windows import windows
 from helixframe.params import Params
 
@@ -70,7 +70,23 @@ def test_complement_twice_is_the_same(spark):
 def test_rank_and_nodes(spark):
     kmers = spark.createDataFrame([(x, 1) for x in (0, 5, 300, 70000, 2**30)], "kmer_id long, cnt int")
     assert [(r.kmer_id, r["rank"]) for r in spectrum.ranked(kmers, "kmer_id").orderBy("kmer_id").collect()] == [(0, 1), (5, 2), (300, 3), (70000, 4), (2**30, 5)]
-    assert sorted(tuple(r) for r in spectrum.node_bytes(kmers, "kmer_id", 3).collect()) == [(0, 3, 1, 2), (1, 2, 3, 4)]
+    assert sorted(tuple(r) for r in delta.node_bytes(kmers, "kmer_id", 3).collect()) == [(0, 3, 1 + 1 + 2), (1, 2, 3 + 4)]
+    assert delta.node_summary(kmers, "kmer_id", 3).first().mean == 5.5
+
+
+def test_delta_restarts(spark):
+    rng = random.Random(7)
+    ids = sorted(rng.sample(range(200_000), 700))
+    kmers = spark.createDataFrame([(x, 1) for x in ids], "kmer_id long, cnt int")
+    want = []
+    for width in (1, 2, 3):
+        ref, n = None, 0
+        for x in ids:
+            if ref is None or x - ref >= 256**width:
+                ref, n = x, n + 1
+        want.append((width, n, len(ids) - n))
+    assert [tuple(r) for r in delta.restart_table(kmers, "kmer_id", (1, 2, 3)).orderBy("width").collect()] == want
+    assert delta.restarts(kmers.where("false"), "kmer_id", 1) == (0, 0)
 
 
 def test_neighbors_and_pairs(spark):
