@@ -152,13 +152,13 @@ def strand_merged_tiles(spark, sf_dir):
 
 
 def first_tile_decision(spark, sf_dir):
-    """Verdict on each read's first tile from all tiles within one base."""
+    """Verdict on each read's first tile from all tiles within one base; chosen is -1 if rejected."""
     reads, kmers, tile = _spectra(spark, sf_dir)
     first = _first_tiles(reads, PARAMS)
     merged = _merged_tiles(first.select("head", "tail").distinct(), kmers, tile, PARAMS)
     each = first.join(merged, (first["head"] == merged["h0"]) & (first["tail"] == merged["t0"]))
     own = F.col("tile_id") == tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step)
-    return tiles.decide(each.select("read_id", "tile_id", "good_cnt", "quals", own.alias("is_own")), ["read_id"], PARAMS)
+    return tiles.decide(each.select("read_id", "tile_id", "good_cnt", "quals", own.alias("is_own")), ["read_id"], PARAMS).na.fill(-1, ["chosen"])
 
 
 def tile_diffs(spark, sf_dir):
@@ -287,7 +287,58 @@ SELECT read_id, string_agg(CASE WHEN j IS NULL OR j = 0 THEN c
   WHEN (j + 1 <= len(p) AND p[j + 1] - p[j] <= 3) OR (j > 1 AND p[j] - p[j - 1] <= 3) THEN c ELSE 'A' END, '' ORDER BY i) AS bases
 FROM marked GROUP BY read_id""")
 
+
+def _rc_sql(x: str, n: int) -> str:
+    return f"CAST(list_sum(list_transform(range(0, {n}), lambda i: (3 - (({x} >> CAST(2 * i AS INT)) & 3)) << CAST(2 * ({n - 1} - i) AS INT))) AS BIGINT)"
+
+
+def _list_sql(name: str, source: str, low: int) -> str:
+    return f"""
+{name}_o AS (SELECT h0, t0, {source} AS id FROM pairs WHERE {source} IN (SELECT kmer_id FROM km)),
+{name}_n AS (SELECT h0, t0, xor(id, CAST(x AS BIGINT) << CAST(2 * p AS INT)) AS nb FROM {name}_o, (SELECT unnest(range({low}, {_K})) AS p), (SELECT unnest([1, 2, 3]) AS x)),
+{name} AS (SELECT h0, t0, id, true AS own FROM {name}_o UNION ALL SELECT h0, t0, nb, false FROM {name}_n WHERE nb <> 0 AND nb IN (SELECT kmer_id FROM km))"""
+
+
+def _side_sql(name: str, heads: str, tails: str) -> str:
+    return f"""
+{name}_c AS (
+  SELECT h.h0, h.t0, (h.id << {2 * _S}) | (t.id & {(1 << 2 * _S) - 1}) AS tile, h.own AND t.own AS own
+  FROM {heads} h JOIN {tails} t ON h.h0 = t.h0 AND h.t0 = t.t0 AND (h.id & {(1 << 2 * (_K - _S)) - 1}) = (t.id >> {2 * _S})),
+{name} AS (SELECT h0, t0, tile, CAST(coalesce(cnt, 0) AS BIGINT) AS n FROM {name}_c LEFT JOIN ti ON tile = tile_id WHERE cnt IS NOT NULL OR own)"""
+
+
+_MERGED = (
+    _KMERS, _TILES, f"""
+firsts AS (
+  SELECT read_id, {_pack_sql("substr(bases, 1, " + str(_T) + ")", _T)} AS tile, quals FROM reads
+  WHERE length(bases) >= {_T} AND NOT regexp_matches(substr(bases, 1, {_T}), '[^ACGT]')),
+pairs AS (SELECT DISTINCT tile >> {2 * _S} AS h0, tile & {(1 << 2 * _K) - 1} AS t0 FROM firsts)""",
+    _list_sql("lh", "h0", 0), _list_sql("lt", "t0", _K - _S), _list_sql("rh", _rc_sql("t0", _K), _K - _S), _list_sql("rt", _rc_sql("h0", _K), 0),
+    _side_sql("fw", "lh", "lt"), _side_sql("rv", "rh", "rt"), f"""
+merged AS (
+  SELECT h0, t0, tile AS tile_id, CAST(sum(n) AS BIGINT) AS good_cnt
+  FROM (SELECT h0, t0, tile, n FROM fw UNION ALL SELECT h0, t0, {_rc_sql("tile", _T)}, n FROM rv) GROUP BY h0, t0, tile)""",
+)
+
+_DECISION = f"""
+joined AS (SELECT read_id, tile, tile_id, good_cnt, quals, tile = tile_id AS own FROM firsts JOIN merged ON tile >> {2 * _S} = h0 AND tile & {(1 << 2 * _K) - 1} = t0),
+owns AS (SELECT read_id, max(good_cnt) FILTER (own) AS g0, count(*) AS n_tiles FROM joined GROUP BY read_id),
+tested AS (
+  SELECT j.*, g0, good_cnt >= floor(g0 / {PARAMS.ratio}) AND len(list_filter(range(0, {_T}), lambda p: ((tile >> CAST(2 * p AS INT)) & 3) <> ((tile_id >> CAST(2 * p AS INT)) & 3)
+    AND ascii(substr(quals, CAST({_T} - p AS INT), 1)) < {PARAMS.low_quality})) > 0 AS alt
+  FROM joined j JOIN owns USING (read_id) WHERE NOT own AND good_cnt >= {PARAMS.min_count}),
+cands AS (SELECT read_id, count(*) AS n_cand, count(*) FILTER (alt) AS n_alt, max(tile_id) FILTER (alt) AS alt_tile, max(tile_id) AS cand_tile FROM tested GROUP BY read_id),
+judged AS (
+  SELECT read_id, tile, g0, alt_tile, cand_tile, CASE
+    WHEN g0 >= {PARAMS.trusted_count} THEN 'trusted'
+    WHEN n_tiles = 1 THEN CASE WHEN g0 >= {PARAMS.min_count} AND len(list_filter(range(1, {_T + 1}), lambda i: ascii(substr(quals, CAST(i AS INT), 1)) < {PARAMS.low_quality})) = 0 THEN 'only-tile' ELSE 'rejected' END
+    WHEN g0 >= {PARAMS.min_count} THEN CASE coalesce(n_alt, 0) WHEN 0 THEN 'unchanged' WHEN 1 THEN 'corrected' ELSE 'rejected' END
+    WHEN n_cand = 1 THEN 'corrected' ELSE 'rejected' END AS verdict
+  FROM firsts JOIN owns USING (read_id) LEFT JOIN cands USING (read_id))"""
+
 ORACLE = {
+    "strand_merged_tiles": _with(*_MERGED) + " SELECT h0, t0, tile_id, good_cnt FROM merged",
+    "first_tile_decision": _with(*_MERGED, _DECISION) + f" SELECT read_id, verdict, CASE verdict WHEN 'rejected' THEN -1 WHEN 'corrected' THEN CASE WHEN g0 >= {PARAMS.min_count} THEN alt_tile ELSE cand_tile END ELSE tile END AS chosen FROM judged",
     "tile_spectrum": _with(_TILES2) + " SELECT tile_id, cnt FROM ti",
     "kmer_spectrum": _with(_KMERS) + " SELECT kmer_id, cnt FROM km",
     "tile_spectrum_noq": _with(_spectrum_sql("ti", _T, False, 1, "tile_id")) + " SELECT tile_id, cnt FROM ti",
