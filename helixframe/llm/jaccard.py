@@ -455,10 +455,12 @@ def keep_first(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> Da
     drop = scratch.save(tagged.join(best, "g").where("own <> best").select(F.col("doc_id").alias("__hf_id"), F.col("th").alias("__hf_th")).distinct(), "drop")
     again = rows.where("n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__hf_id"), F.col("th").alias("__hf_th"))
     again = scratch.save(again, "again")
+    n_drop, n_again = drop.count(), again.count()
+    drop, again = _small(drop, n_drop), _small(again, n_again)
     tagged = docs.withColumn("__hf_h", F.xxhash64("text"))
     same = lambda side: tagged["doc_id"].eqNullSafe(side["__hf_id"]) & (tagged["__hf_h"] == side["__hf_th"])
     kept = tagged.join(drop, same(drop), "left_anti")
-    if not again.isEmpty():
+    if n_again:
         single = kept.join(again, kept["doc_id"].eqNullSafe(again["__hf_id"]) & (kept["__hf_h"] == again["__hf_th"]), "left_anti")
         twice = kept.join(again, kept["doc_id"].eqNullSafe(again["__hf_id"]) & (kept["__hf_h"] == again["__hf_th"]), "left_semi")
         kept = single.unionAll(twice.dropDuplicates(["doc_id", "__hf_h"]))
