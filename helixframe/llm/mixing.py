@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, lit_long
-from .numbering import running_totals
+from .numbering import piece_of, running_totals
 
 LEVELS = ("domain", "lang", "source")
 
@@ -105,10 +105,21 @@ def budgets(leaves: DataFrame, params: MixParams) -> DataFrame:
     return out.select(*LEVELS, "tokens", F.col("budget").alias("target"))
 
 
+def _order(params: MixParams, epoch: Column, doc_id: Column, th: Column) -> Column:
+    """Seeded hash by which an epoch shuffles its documents."""
+    return F.xxhash64(F.lit(params.seed), epoch, doc_id, th)
+
+
+def _place(params: MixParams, epoch: Column, doc_id: Column, th: Column) -> Column:
+    """A row's place in the order of running_totals."""
+    o = _order(params, epoch, doc_id, th)
+    return F.struct(piece_of(o).alias("p"), o.alias("o"), doc_id.alias("i"), th.alias("h"))
+
+
 def copies(docs: DataFrame, params: MixParams, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, lang, source, domain, n_tokens, rows, copies): how often each row is used.
+    """(doc_id, th, domain, lang, source, n_tokens, rows, whole, copies): how often each row is used.
 
-    ``copies`` holds for each of the ``rows`` that agree in doc_id, text, language and source.
+    ``whole`` epochs hold for the leaf, ``copies`` for each of the ``rows`` that agree in doc_id, text, language and source.
     """
     key = docs.select("doc_id", F.xxhash64("text").alias("th"), "lang", "source", domain_of(F.col("source"), params.domains).alias("domain"), token_count(F.col("text")).alias("n_tokens"))
     rows = key.groupBy("doc_id", "th", "lang", "source", "domain", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
@@ -129,7 +140,7 @@ def copies(docs: DataFrame, params: MixParams, scratch: Scratch) -> DataFrame:
     placed = placed.withColumn("leaf", F.to_json(F.struct(*LEVELS)))
     run = running_totals(placed, ["leaf"], order, "weight", ["doc_id", "th"])
     take = (F.col("before") + F.col("weight") <= F.col("rest")) & (F.col("n_tokens") > 0)
-    return run.select("doc_id", "th", *LEVELS, "n_tokens", "rows", (F.col("whole") + take.cast("long")).alias("copies"))
+    return run.select("doc_id", "th", *LEVELS, "n_tokens", "rows", "whole", (F.col("whole") + take.cast("long")).alias("copies"))
 
 
 def usage(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -148,13 +159,16 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     source share one fate. Null languages and sources are leaves of their own.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    used = scratch.save(copies(docs, params, scratch).where("copies > 0").select("doc_id", "th", "lang", "source", "copies"), "copies")
-    names = {c: f"__hf_{c}" for c in used.columns}
-    used = used.select(*[F.col(c).alias(v) for c, v in names.items()])
+    used = copies(docs, params, scratch)
+    order = _place(params, F.col("whole"), F.col("doc_id"), F.col("th"))
+    # a leaf's prefix ends at one place of its order: that place tells which rows are in it
+    cut = F.max(F.when(F.col("copies") > F.col("whole"), order)).alias("cut")
+    leaves = used.groupBy(*LEVELS[1:]).agg(F.max("whole").alias("whole"), cut)
+    leaves = scratch.save(leaves.select(*[F.col(c).alias(f"__hf_{c}") for c in (*LEVELS[1:], "whole", "cut")]), "cuts")
     tagged = docs.withColumn("__hf_h", F.xxhash64("text"))
-    same = (tagged["__hf_h"] == used["__hf_th"])
-    for c in ("doc_id", "lang", "source"):
-        same = same & tagged[c].eqNullSafe(used[names[c]])
-    joined = tagged.join(used, same)
-    again = joined.withColumn("__hf_i", F.explode(F.sequence(lit_long(1), F.col("__hf_copies"))))
-    return again.drop("__hf_h", "__hf_i", *names.values())
+    joined = tagged.join(leaves, tagged["lang"].eqNullSafe(leaves["__hf_lang"]) & tagged["source"].eqNullSafe(leaves["__hf_source"]))
+    mine = _place(params, F.col("__hf_whole"), tagged["doc_id"], F.col("__hf_h"))
+    extra = F.coalesce(mine <= F.col("__hf_cut"), F.lit(False)) & (token_count(tagged["text"]) > 0)
+    counted = joined.withColumn("__hf_n", F.col("__hf_whole") + extra.cast("long")).where("__hf_n > 0")
+    again = counted.withColumn("__hf_i", F.explode(F.sequence(lit_long(1), F.col("__hf_n"))))
+    return again.drop("__hf_h", "__hf_i", "__hf_n", *leaves.columns)

@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 PIECES = 4096
 
 
+def piece_of(order: Column, pieces: int = PIECES) -> Column:
+    """Piece of a row; rows come by piece, then by order."""
+    return F.pmod(F.shiftright(order, 40), F.lit(pieces)).cast("int")
+
+
 def running_totals(rows: DataFrame, group: list[str], order: Column, weight: str, ties: list[str], pieces: int = PIECES) -> DataFrame:
     """Adds ``before``: the total ``weight`` of the group's rows that come earlier.
 
-    Rows come by ``order`` (a well-mixed signed 64-bit hash), then by ``ties``. Rows equal
+    Rows come by ``piece_of(order)``, ``order`` (a well-mixed 64-bit hash) and ``ties``. Rows equal
     in all of these should be merged into one of larger weight first. Group columns hold
     no nulls.
     """
-    spread = rows.withColumn("__o", order).withColumn("__p", F.pmod(F.shiftright("__o", 40), F.lit(pieces)).cast("int"))
+    spread = rows.withColumn("__o", order).withColumn("__p", piece_of(F.col("__o"), pieces))
     sums = spread.groupBy(*group, "__p").agg(F.sum(weight).alias("__w"))
     w = Window.partitionBy(*group).orderBy("__p")
     base = sums.select(*group, "__p", (F.sum("__w").over(w) - F.col("__w")).alias("__base"))
