@@ -42,7 +42,7 @@ from .texthash import mix, set_key, shingle_sets
 #: Share of a set by which the prefix of the support step is lengthened (its ``l``).
 SUPPORT_SHARE = 0.15
 #: Tokens of a packed block, and tokens that a bucket of the support step gets about.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1_500_000
 #: Numbers of shared prefix tokens from which each document picks.
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)

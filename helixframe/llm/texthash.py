@@ -108,7 +108,7 @@ def shingle_sets(column: pa.Array, k: int = 5):
     row = 0
     while row < n:
         # a few megabytes of text at a time bound the working memory
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 4 * _STEP, "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + 2 * _STEP, "right")) - 1)
         stop = min(stop, n)
         words, ends = word_hashes(data[offsets[row]:offsets[stop]], offsets[row:stop + 1] - offsets[row])
         coef = _CACHE["coef"] if "coef" in _CACHE else None
