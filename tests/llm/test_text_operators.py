@@ -168,7 +168,7 @@ def slow_components(rows):
     return [(r[0], len(sets[i]), (min(least[find(i)], default=None) if sets[i] else r[0])) for i, r in enumerate(rows)], [find(i) if sets[i] else None for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_components(spark, seed):
     rows = corpus(seed)
     df = clashing(spark.createDataFrame(rows, DOCS)).repartition(5)
