@@ -421,6 +421,17 @@ def _rest(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where("hits >= least").select("a", "b")
 
 
+def _rooted(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """component_ids with the root of each row's component: a class key, null without shingles."""
+    rows, comps = classes(docs, num, den, k)
+    cls = rows.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("first"))
+    label = cls.join(comps, cls["ck"] == comps["node"], "left").select("ck", "first", F.coalesce("root", "ck").alias("root"))
+    least = label.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = label.join(least, "root").select("ck", "component_id", "root")
+    linked = rows.where("n > 0").join(label, "ck").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.unionAll(rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root")))
+
+
 def component_ids(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, th, n_shingles, component_id.
 
@@ -429,30 +440,24 @@ def component_ids(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) ->
     doc_ids take part and are passed over when the smallest is chosen; repeated doc_ids
     are told apart by their texts. Other columns of ``docs`` are not looked at.
     """
-    rows, comps = classes(docs, num, den, k)
-    cls = rows.where("n > 0").groupBy("ck").agg(F.min("doc_id").alias("first"))
-    label = cls.join(comps, cls["ck"] == comps["node"], "left").select("ck", "first", F.coalesce("root", "ck").alias("root"))
-    least = label.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = label.join(least, "root").select("ck", "component_id")
-    linked = rows.where("n > 0").join(label, "ck").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionAll(rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _rooted(docs, num, den, k).drop("root")
 
 
 def keep_first(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
     """Rows of ``docs`` without near copies: of each group the one with the smallest doc_id stays.
 
+    Groups are told apart by their root, since a repeated doc_id may be the smallest of
+    several and null ones of none. A null doc_id stays only where its group has no other.
     All columns pass through. Rows without words stay. Of rows that agree in doc_id and
     text one stays.
     """
     scratch = Scratch(docs.sparkSession, "first")
-    rows = scratch.save(component_ids(docs, num, den, k), "rows")
-    # a link class may hold null doc_ids only: then the text's hash stands in for the group
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("th")))
+    rows = scratch.save(_rooted(docs, num, den, k), "rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = rows.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
-    best = best.where("size > 1").select("g", "best")
-    tagged = rows.where("n_shingles > 0").select(group.alias("g"), order.alias("own"), "doc_id", "th")
-    drop = scratch.save(tagged.join(best, "g").where("own <> best").select(F.col("doc_id").alias("__hf_id"), F.col("th").alias("__hf_th")).distinct(), "drop")
+    best = rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+    best = best.where("size > 1").select("root", "best")
+    tagged = rows.where("n_shingles > 0").select("root", order.alias("own"), "doc_id", "th")
+    drop = scratch.save(tagged.join(best, "root").where("own <> best").select(F.col("doc_id").alias("__hf_id"), F.col("th").alias("__hf_th")).distinct(), "drop")
     again = rows.where("n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__hf_id"), F.col("th").alias("__hf_th"))
     again = scratch.save(again, "again")
     n_drop, n_again = drop.count(), again.count()

@@ -207,6 +207,19 @@ def test_jaccard_near_copies_of_a_lost_origin(spark):
     assert got == sorted((a, c) for a, _, c in slow_components(rows)[0])
 
 
+def test_keep_first_tells_groups_of_one_id_apart(spark):
+    """Repeated doc_ids with different texts, and near copies whose doc_ids are all null."""
+    rng = random.Random(12)
+    a, b, c = ([rng.choice(VOCAB) for _ in range(80)] for _ in range(3))
+    near = lambda w, i: " ".join([*w[:-1], f"other{i}"])
+    rows = [(5, " ".join(a)), (9, near(a, 1)), (5, " ".join(b)), (None, " ".join(c)), (None, near(c, 1)), (None, near(c, 2)), (None, near(b, 3))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        kept = [(r.doc_id, r.text) for r in jaccard.keep_first(df).collect()]
+        assert len(kept) == 3 and rows[0] in kept and rows[2] in kept
+        assert [d for d, t in kept if t in {x for _, x in rows[3:6]}] == [None]
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert jaccard.component_ids(df).count() == 0 and jaccard.keep_first(df).count() == 0
