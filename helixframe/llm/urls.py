@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -111,26 +113,69 @@ def train(texts: Sequence[str], blocked: Sequence[int], bits: int = 14, sizes=(3
     return NgramModel(bits, tuple(sizes), bias, w)
 
 
-#: Fixed words of the labelled table: names of unwanted hosts, and of plain ones.
-BAD_NAMES = ("cheap-pills", "spam-farm", "adult-x", "casino-win", "free-money", "hot-dates", "replica-watch", "crack-keygen", "xxx-video", "payday-loan", "bet-bonus", "click-farm")
-GOOD_NAMES = ("garden-club", "city-library", "weather-now", "school-notes", "open-maps", "daily-news", "history-hub", "math-forum", "recipe-book", "train-times", "music-room", "bird-watch")
+#: Words of the labelled table: unwanted kinds, plain topics, and words that go with either.
+UNWANTED_KINDS = {
+    "bets": ("bet", "bets", "betting", "casino", "poker", "slots", "jackpot", "lotto"),
+    "ads": ("ads", "adserver", "advert", "banner", "popup", "sponsored"),
+    "tracking": ("track", "tracker", "tracking", "pixel", "beacon", "clicks"),
+    "spam": ("spam", "spammer", "bulkmail", "linkfarm"),
+    "pills": ("pills", "pharma", "viagra", "meds"),
+    "adult": ("adult", "xxx", "porn", "sexy", "escort"),
+    "loans": ("loan", "loans", "payday", "cash"),
+    "fakes": ("replica", "keygen", "crack", "warez"),
+}
+PLAIN_TOPICS = ("garden", "library", "weather", "school", "maps", "news", "history", "math", "recipe", "train", "music", "bird", "museum", "poetry", "river", "physics", "cycling", "chess", "health", "travel", "bakery", "address", "better", "racetrack", "betula", "shadow")
+ADDED = ("online", "hub", "best", "my", "top", "web", "world", "zone", "daily", "live", "go", "club")
+PATHS = tuple(f"/{lang}/{n}{end}" for lang, n, end in zip(("en", "de", "fr", "es", "en", "de", "fr"), (7, 42, 318, 1906, 2753, 4680, 8591), ("", ".html", "/", "", ".html", "/", "")))
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (host and path, 1 for unwanted), made from the fixed words by rule."""
+    """The small labelled table (host and path, 1 for unwanted), made from words of kinds by rule."""
     syllables = ("th", "er", "on", "an", "re", "ing", "ha", "nt", "ion", "ea")
-    plain = [a + b + c for a in syllables[:6] for b in syllables[3:9] for c in syllables[5:8]]
+    kinds = [w for words in UNWANTED_KINDS.values() for w in words]
+    joined = lambda words, n: [(f"{w}{d}{x}", f"{x}{d}{w}")[k % 2] for i, w in enumerate(words) for k in range(n) for d, x in (("-" if k % 4 < 3 else "", ADDED[(i + 5 * k) % len(ADDED)]),)]
+    plain = [a + b + c for a in syllables for b in syllables[1:9] for c in syllables[5:8]]
     out = []
-    for i, (names, label) in enumerate(((BAD_NAMES, 1), (GOOD_NAMES, 0), (plain, 0))):
+    for i, (names, label) in enumerate(((joined(kinds, 8), 1), (joined(PLAIN_TOPICS, 12), 0), (plain, 0))):
         for j, name in enumerate(names):
-            for k in range(12 if label else 4):
+            for k in range(4):
                 sub = ("", "www.", "m.", "blog.")[(i + j + k) % 4]
                 top = ("example.com", "example.net", "example.org")[(j + k) % 3]
-                lang = ("en", "de", "fr", "es")[(j + 2 * k) % 4]
-                out.append((f"{sub}{name}.{top}/{lang}/{(37 * j + 101 * k) % 1000}" + ("", ".html", "/")[k % 3], label))
+                # the same few paths with either label, so that a path says little
+                out.append((f"{sub}{name}.{top}" + PATHS[(j + 3 * k) % len(PATHS)], label))
     return out
 
 
+def host_names(texts: Sequence[str]) -> list[str]:
+    """Of each text's host the label that is rarest in the table, its top-level label aside."""
+    labels = [t.split("/", 1)[0].split(".") for t in texts]
+    seen = Counter(x for row in labels for x in row)
+    return [min(row[:-1] or row, key=lambda x: (seen[x], -len(x), x)) for row in labels]
+
+
+def held_out_scores(known: Sequence[tuple[str, int]], folds: int = 4) -> np.ndarray:
+    """Each text's score by a model that saw none of the texts with its host name."""
+    fold = np.array([zlib.crc32(x.encode()) % folds for x in host_names([u for u, _ in known])], np.int64)
+    out = np.zeros(len(known))
+    for f in range(folds):
+        rest, mine = [known[i] for i in np.flatnonzero(fold != f)], np.flatnonzero(fold == f)
+        if len(rest) and len(mine):
+            out[mine] = scores(pa.array([known[i][0] for i in mine], pa.string()), train([u for u, _ in rest], [y for _, y in rest]))
+    return out
+
+
+def best_cut(score: np.ndarray, blocked: Sequence[int]) -> float:
+    """The cut of the fewest errors, the nearest to 0 of several; 0 if a label is missing."""
+    y = np.asarray(blocked, bool)
+    if y.all() or not y.any():
+        return 0.0
+    at = np.unique(score)
+    cuts = np.concatenate(([0.0], (at[1:] + at[:-1]) / 2))
+    bad, good = np.sort(score[y]), np.sort(score[~y])
+    wrong = np.searchsorted(bad, cuts, "right") + len(good) - np.searchsorted(good, cuts, "right")
+    return float(cuts[np.lexsort((np.abs(cuts), wrong))[0]])
+
+
 def _score_batches(model: NgramModel):
     def run(batches):
         for b in batches:
@@ -140,13 +185,13 @@ def _score_batches(model: NgramModel):
     return run
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: DataFrame | None = None, threshold: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (allow or block), score.
 
     A rule's verdict comes first, the longest rule's among several; else a score above the
-    threshold blocks. ``labelled`` (url_text, blocked) of at most MAX_TRAINING_ROWS rows
+    threshold blocks; by default the best cut of the labelled rows' held-out scores. ``labelled`` (url_text, blocked) of at most MAX_TRAINING_ROWS rows
     trains the model; by default the table in this module. Null and malformed URLs have
-    empty host and path, and the empty text's score. Other columns are not looked at.
+    empty host and path, and the empty text's score, which doesn't block. Other columns are not looked at.
     """
     if labelled is None:
         known = labelled_urls()
@@ -155,11 +200,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: DataFrame |
         if len(known) > MAX_TRAINING_ROWS:
             raise ValueError(f"more than {MAX_TRAINING_ROWS} labelled rows")
     model = train([u for u, _ in known], [y for _, y in known])
+    if threshold is None:
+        threshold = best_cut(held_out_scores(known), [y for _, y in known])
     host, path = split_url(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     text, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", text.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("t"))
     kind = dict(rows.dtypes)["page_id"]
     out = rows.mapInArrow(_score_batches(model), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
-    by_score = F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    some = (F.col("host") != "") | (F.col("path") != "")
+    by_score = F.when(some & (F.col("score") > threshold), F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("verdict", by_score))

@@ -129,6 +129,23 @@ def test_scores_and_held_out_accuracy(spark):
         urls.judge(pages, labelled=spark.range(urls.MAX_TRAINING_ROWS + 1).select(F.lit("u").alias("url_text"), F.lit(1).alias("blocked")))
 
 
+def test_whole_host_names_held_out(spark):
+    known = urls.labelled_urls()
+    names = urls.host_names([u for u, _ in known])
+    assert "www" not in names and "example" not in names
+    y = np.array([b == 1 for _, b in known])
+    cut = urls.best_cut(urls.held_out_scores(known), y)
+    said = urls.held_out_scores(known) > cut
+    assert np.mean(said[y]) >= 0.9 and np.mean(said[~y]) <= 0.02
+    # names that aren't in the table: one verdict a host, whatever the path
+    new = {"m.ads-track.example.com": "block", "free-bets.example.com": "block", "www.poker-room.example.org": "block", "www.garden-tools.example.org": "allow", "recipe-friends.example.com": "allow"}
+    assert not {h.split(".")[-3] for h in new} & set(names)
+    pages = spark.createDataFrame([(i, f"http://{h}/es/{71 * k}{end}") for i, h in enumerate(new) for k in range(40) for end in ("", ".html?a=b")], "page_id long, url string")
+    got = urls.judge(pages).select("host", "verdict").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted(new.items())
+    assert urls.best_cut(np.array([1.0, 2.0]), [1, 1]) == 0.0 and 2.0 < urls.best_cut(np.array([1.0, 2.0, 3.0]), [0, 0, 1]) < 3.0
+
+
 # chat ------------------------------------------------------------------------------------
 LAYOUTS = [
     ("messages", {"messages": [{"role": "system", "content": "s"}, {"role": "human", "content": "a"}, {"role": "assistant", "content": None}]}, [("system", "s"), ("user", "a"), ("assistant", "")]),
