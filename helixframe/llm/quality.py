@@ -37,12 +37,14 @@ _PER_OCTAVE, _LOW, _HIGH = 16, -10, 30
 class McdParams:
     """share: rows that the estimate concentrates on. floors: least standard deviations of
     the features (log mean word length, log symbol rate, log repeated-line rate, log
-    repeated-word rate); they keep features that hardly vary from rejecting small changes.
+    repeated-word rate); they keep features that hardly vary from rejecting small changes,
+    and are low enough for the highest rate of each (all lines, half of the words) to
+    exceed the cut alone where a cell's documents have none.
     steps: concentration steps. min_rows: smallest cell with an estimate of its own.
     tail: chance that a normal vector is rejected."""
 
     share: float = 0.75
-    floors: tuple[float, ...] = (0.08, 0.3, 0.3, 0.25)
+    floors: tuple[float, ...] = (0.08, 0.3, 0.15, 0.12)
     steps: int = 5
     min_rows: int = 100
     tail: float = 1e-6

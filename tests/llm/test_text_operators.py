@@ -139,6 +139,23 @@ def test_mcd_against_numpy_and_outliers(spark):
     assert quality.assess(df.where("false")).count() == 0 and quality.keep_good(df.where("false")).count() == 0
 
 
+def test_each_statistic_rejects_alone(spark):
+    p, rng = quality.McdParams(), random.Random(8)
+    cut = chi2_quantile_even(1 - p.tail, 4)
+    assert all((np.log(top) / floor) ** 2 > cut for top, floor in zip((5.0, 3.0), p.floors[2:]))
+    line = lambda n: " ".join(rng.choice(VOCAB) for _ in range(n))
+    usual = ["\n".join(line(12) for _ in range(rng.randint(6, 12))) for _ in range(300)]
+    lines = [rng.choice(VOCAB) for _ in range(50)] * 8
+    rng.shuffle(lines)
+    passage = line(24)
+    odd = {"lines": "\n".join(lines), "words": "\n".join([line(12), passage, line(12), line(14), passage, line(13)]), "symbols": "# ".join(usual[0].split(" ")), "lengths": usual[1].replace("a", "aaaaaaaaa").replace("e", "eeeeeeeee").replace("o", "ooooooooo")}
+    rows = [(i, t, "en", "s1") for i, t in enumerate([*usual, *odd.values()])]
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, name in enumerate(odd):
+        assert not got[300 + i].base_failed and not got[300 + i].kept, name
+    assert all(got[i].kept for i in range(300))
+
+
 # near copies -----------------------------------------------------------------------------
 def lower(s):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
