@@ -40,13 +40,14 @@ class McdParams:
     repeated-word rate); they keep features that hardly vary from rejecting small changes,
     and are low enough for the highest rate of each (all lines, half of the words) to
     exceed the cut alone where a cell's documents have none.
-    steps: concentration steps. min_rows: smallest cell with an estimate of its own.
+    steps: concentration steps. min_rows: smallest cell with an estimate of its own; five
+    rows for each feature, where the floors keep the matrix regular.
     tail: chance that a normal vector is rejected."""
 
     share: float = 0.75
     floors: tuple[float, ...] = (0.08, 0.3, 0.15, 0.12)
     steps: int = 5
-    min_rows: int = 100
+    min_rows: int = 20
     tail: float = 1e-6
 
 

@@ -156,6 +156,22 @@ def test_each_statistic_rejects_alone(spark):
     assert all(got[i].kept for i in range(300))
 
 
+def test_small_sources_have_their_own_estimates(spark):
+    """30 rows of a source suffice: an outlier of one isn't judged by the spread of another."""
+    rng = random.Random(14)
+    marked = lambda share: " ".join(w + ("#" if rng.random() < share else "") for w in prose(rng, 100).split())
+    rows = [(i, marked(0.0), "en", "plain") for i in range(30)] + [(100 + i, marked(rng.random()), "en", "mixed") for i in range(30)]
+    rows += [(200, marked(0.6), "en", "plain"), (201, marked(0.6), "en", "mixed")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r.doc_id: r for r in quality.assess(df).collect()}
+    assert not got[200].kept and all(r.kept for k, r in got.items() if k != 200)
+    vec = quality.vectors(quality.base_stats(df)).orderBy("doc_id")
+    for source in ("plain", "mixed"):
+        mine = vec.where(F.col("source") == source).select("doc_id", "q0", "q1", "q2", "q3").collect()
+        for r, d in zip(mine, slow_mcd([tuple(r)[1:] for r in mine], quality.McdParams())):
+            assert got[r.doc_id].mahalanobis2 == pytest.approx(d, rel=1e-6, abs=1e-9)
+
+
 # near copies -----------------------------------------------------------------------------
 def lower(s):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
