@@ -28,8 +28,11 @@ ARCHIVE_BYTES = 32 << 20
 VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
-#: Inflated bytes of one record at most, against damaged or hostile members.
-RECORD_LIMIT = 1 << 30
+#: Inflated bytes of one record at most, against damaged or hostile members: above what the
+#: writer makes of the longest texts (2^31 bytes of html, three for each of 2^31 of the URL).
+RECORD_LIMIT = 9 << 30
+#: Bytes of a header block at most where none are inflated, above the longest URL's as well.
+HEADER_LIMIT = 7 << 30
 
 
 def digest_of(payload: bytes) -> str:
@@ -80,11 +83,12 @@ def member(record: bytes) -> bytes:
     return c.compress(record) + c.flush()
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[Record, int] | str:
-    """The record at ``at`` and its end, or why there is none."""
+def parse_record(data: bytes, at: int = 0, header_limit: int | None = None) -> tuple[Record, int] | str:
+    """The record at ``at`` and its end, or why there is none. Headers may reach to the end of
+    ``data`` unless limited."""
     if not data.startswith(VERSION, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    stop = data.find(b"\r\n\r\n", at, len(data) if header_limit is None else at + header_limit)
     if stop < 0:
         return "headers without end"
     headers: dict[str, str] = {}
@@ -152,7 +156,7 @@ def _unit(data: bytes, at: int) -> tuple[list[Record], int] | str:
         if isinstance(inner, str):
             return inner
         return ([inner[0]], got[1]) if inner[1] == len(got[0]) else "bytes after the record"
-    got = parse_record(data, at)
+    got = parse_record(data, at, HEADER_LIMIT)
     return got if isinstance(got, str) else ([got[0]], got[1])
 
 
@@ -232,7 +236,7 @@ def write(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCHIVE_BYTES
 READ_DDL = "path string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, gap_start long, gap_end long, gap_reason string"
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, whole_archives: bool):
     def rows(path):
         files, inner = _files(path)
         with files.open_input_stream(inner, compression=None) as f:
@@ -251,25 +255,33 @@ def _read(with_payload: bool):
     def run(batches):
         schema = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("gap_reason", pa.string())])
         for b in batches:
-            for path in b.column(0).to_pylist():
-                held, size = [], 0
+            for path, records in zip(*(c.to_pylist() for c in b.columns)):
+                held, size, found, lost = [], 0, 0, None
                 for r in rows(path):
                     held.append(r)
+                    found += "gap_reason" not in r
+                    lost = lost or r.get("gap_reason")
                     size += 200 + len(r.get("payload") or b"")
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
+                if whole_archives and (found != records or lost):
+                    raise ValueError(f"{path}: {found} of {records} records can be read, {lost or 'no gap'}")
 
     return run
 
 
-def read(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of all archives, and gaps as rows with gap_start, gap_end and gap_reason only."""
+def read(manifest: DataFrame, with_payload: bool = True, whole_archives: bool = False) -> DataFrame:
+    """Records of all archives, and gaps as rows with gap_start, gap_end and gap_reason only.
+
+    whole_archives: a gap, or a count of records that isn't the manifest's, is an error.
+    """
     n = manifest.count()
-    spread = manifest.select("path").repartition(max(1, n), "path") if n else manifest.select("path")
-    return spread.mapInArrow(_read(with_payload), READ_DDL)
+    paths = manifest.select("path", "records" if whole_archives else F.lit(None).cast("long").alias("records"))
+    spread = paths.repartition(max(1, n), "path") if n else paths
+    return spread.mapInArrow(_read(with_payload, whole_archives), READ_DDL)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -278,8 +290,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     A null html is an empty payload. Of equal payloads the largest page_id is the
     response (each row that has it, if rows repeat); the others, null page_ids too, revisit
     it. Where a payload's page_ids are all null, all are responses. Other columns than
-    page_id, url and html are not looked at; an empty table gives an empty result.
+    page_id, url and html are not looked at; an empty table gives an empty result. A record
+    that can't be read back is an error.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    back = read(write(pages, scratch), with_payload=False)
+    back = read(write(pages, scratch), with_payload=False, whole_archives=True)
     return back.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -262,3 +262,18 @@ def test_written_archives_round_trip(spark):
     assert back.where("gap_reason is not null").count() == 0
     assert {(r.page_id, r.url) for r in back.collect()} == {(i, u or "") for i, u, _ in rows}
     assert warc.round_trip(df.where("false")).count() == 0
+
+
+def test_long_headers_and_lost_records(spark):
+    rows = [(1, "http://h/" + "u" * (2 << 20), "same"), (2, "http://h/" + "%\n" * 200_000, "same"), (3, "http://h/" + "é" * (1 << 20), "own")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+    scratch = Scratch(spark, "warc-test")
+    manifest = warc.write(df, scratch)
+    assert {(r.page_id, r.url) for r in warc.read(manifest).collect()} == {r[:2] for r in rows}
+    record = warc.build_record(1, rows[0][1], b"x", warc.digest_of(b"x"), None)
+    assert [x.payload for x in warc.read_archive(record + record)] == [b"x", b"x"]
+    more = manifest.withColumn("records", F.col("records") + 1)
+    assert warc.read(more).count() == 3
+    with pytest.raises(Exception, match="records can be read"):
+        warc.read(more, whole_archives=True).collect()
