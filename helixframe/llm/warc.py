@@ -3,7 +3,7 @@
 Writer: each partition writes archives of about ARCHIVE_BYTES, one gzip member a record,
 into the shared folder under a name of its own attempt; the manifest it returns lists the
 finished ones, so files of lost attempts are never read. Reader: a member has to inflate,
-pass its CRC and hold one well-formed record whose payload has the stated digest. Where
+pass its CRC and hold well-formed records whose blocks have the stated digests, if any. Where
 that fails, the reader looks for the next place at which a valid member (or, in archives
 that aren't compressed, a valid version line) starts, goes on there, and logs the bytes
 between as a quarantined gap.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from .common import Scratch
 ARCHIVE_BYTES = 32 << 20
 VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
+_LINE = re.compile(rb"WARC/1\.[0-9]+\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]+\r\n")
 _DATE = "2024-01-01T00:00:00Z"
 #: Inflated bytes of one record at most, against damaged or hostile members: above what the
 #: writer makes of the longest texts (2^31 bytes of html, three for each of 2^31 of the URL).
@@ -83,23 +86,41 @@ def member(record: bytes) -> bytes:
     return c.compress(record) + c.flush()
 
 
+def _covers_block(headers: dict[str, str]) -> bool:
+    """Whether the payload is the whole block: not where HTTP headers come before it."""
+    return headers["warc-type"] in ("response", "resource") and not headers.get("content-type", "").lower().startswith("application/http")
+
+
+def _differs(stated: str | None, block: bytes) -> bool:
+    """Whether a stated SHA-1 (base 32 or hex) isn't the block's; other digests aren't checked."""
+    kind, _, value = (stated or "").partition(":")
+    return kind.lower() == "sha1" and value.upper() not in (digest_of(block), hashlib.sha1(block).hexdigest().upper())
+
+
 def parse_record(data: bytes, at: int = 0, header_limit: int | None = None) -> tuple[Record, int] | str:
     """The record at ``at`` and its end, or why there is none. Headers may reach to the end of
     ``data`` unless limited."""
-    if not data.startswith(VERSION, at):
+    line = _LINE.match(data, at)
+    if line is None:
         return "no version line"
     stop = data.find(b"\r\n\r\n", at, len(data) if header_limit is None else at + header_limit)
     if stop < 0:
         return "headers without end"
     headers: dict[str, str] = {}
-    for line in data[at + len(VERSION):stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return "malformed header"
+    name = b""
+    for row in data[line.end():stop].split(b"\r\n") if stop >= line.end() else ():
+        folded = row[:1] in (b" ", b"\t") and name
+        if not folded:
+            name, colon, row = row.partition(b":")
+            if not colon:
+                return "malformed header"
         try:
-            headers[name.decode("ascii").strip().lower()] = value.decode("utf-8").strip()
+            key, value = name.decode("ascii").strip().lower(), row.decode("utf-8").strip()
         except UnicodeDecodeError:
             return "malformed header"
+        headers[key] = f"{headers[key]} {value}" if folded else value
+    if "warc-type" not in headers:
+        return "no record type"
     try:
         length = int(headers["content-length"])
     except (KeyError, ValueError):
@@ -109,8 +130,10 @@ def parse_record(data: bytes, at: int = 0, header_limit: int | None = None) -> t
     if length < 0 or data[end:end + 4] != b"\r\n\r\n":
         return "content length doesn't fit"
     payload = data[body:end]
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest") != f"sha1:{digest_of(payload)}":
+    if _covers_block(headers) and _differs(headers.get("warc-payload-digest"), payload):
         return "payload digest differs"
+    if _differs(headers.get("warc-block-digest"), payload):
+        return "block digest differs"
     return Record(headers, payload), end + 4
 
 
@@ -147,23 +170,30 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, n, why)
 
 
-def _unit(data: bytes, at: int) -> tuple[list[Record], int] | str:
+def _unit(data: bytes, at: int) -> tuple[list[Record | Gap], int] | str:
     if data.startswith(_GZIP, at):
         got = _inflate(data, at)
         if isinstance(got, str):
             return got
-        inner = parse_record(got[0])
-        if isinstance(inner, str):
-            return inner
-        return ([inner[0]], got[1]) if inner[1] == len(got[0]) else "bytes after the record"
+        out, inside = [], 0
+        while inside < len(got[0]):
+            inner = parse_record(got[0], inside)
+            if isinstance(inner, str):
+                if not out:
+                    return inner
+                out.append(Gap(at, got[1], f"in the member after {len(out)} records: {inner}"))
+                break
+            out.append(inner[0])
+            inside = inner[1]
+        return out, got[1]
     got = parse_record(data, at, HEADER_LIMIT)
     return got if isinstance(got, str) else ([got[0]], got[1])
 
 
 def _next_start(data: bytes, at: int) -> int:
     """The next place that looks like a member or a version line; the end if there is none."""
-    found = [x for x in (data.find(_GZIP, at), data.find(VERSION, at)) if x >= 0]
-    return min(found, default=len(data))
+    found = _START.search(data, at)
+    return found.start() if found else len(data)
 
 
 def _files(uri: str):
@@ -241,15 +271,16 @@ def _read(with_payload: bool, whole_archives: bool):
         files, inner = _files(path)
         with files.open_input_stream(inner, compression=None) as f:
             data = f.read()
-        whole = lambda h, k: int(h[k]) if k in h else None
+        whole = lambda h, k: int(h[k]) if re.fullmatch("-?[0-9]{1,18}|-?[0-9]{19}", h.get(k, "")) else None
         for x in read_archive(data):
             if isinstance(x, Gap):
                 yield {"path": path, "gap_start": x.start, "gap_end": x.end, "gap_reason": x.reason}
                 continue
             h = x.headers
             kind = h["warc-type"]
-            size = len(x.payload) if kind == "response" else int(h["x-payload-length"])
-            digest = digest_of(x.payload) if kind == "response" else h["warc-payload-digest"].removeprefix("sha1:")
+            size = whole(h, "x-payload-length") if kind == "revisit" else len(x.payload)
+            digest = digest_of(x.payload) if _covers_block(h) else h.get("warc-payload-digest")
+            digest = digest and digest.removeprefix("sha1:")
             yield {"path": path, "page_id": whole(h, "x-page-id"), "url": _unsafe(h.get("warc-target-uri", "")), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": whole(h, "x-refers-to-page"), "payload": x.payload if with_payload else None}
 
     def run(batches):
@@ -276,6 +307,10 @@ def _read(with_payload: bool, whole_archives: bool):
 def read(manifest: DataFrame, with_payload: bool = True, whole_archives: bool = False) -> DataFrame:
     """Records of all archives, and gaps as rows with gap_start, gap_end and gap_reason only.
 
+    Records of other types and writers pass through: payload_bytes of a revisit is null where
+    its writer doesn't state it, payload_digest is the stated one where the payload isn't the
+    whole block.
+
     whole_archives: a gap, or a count of records that isn't the manifest's, is an error.
     """
     n = manifest.count()

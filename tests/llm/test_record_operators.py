@@ -277,3 +277,27 @@ def test_long_headers_and_lost_records(spark):
     assert warc.read(more).count() == 3
     with pytest.raises(Exception, match="records can be read"):
         warc.read(more, whole_archives=True).collect()
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, block, *head, version=b"WARC/1.0"):
+        lines = [b"WARC-Type: " + kind, *head, b"Content-Length: %d" % len(block)]
+        return version + b"\r\n" + b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    sha = warc.digest_of(b"body").encode()
+    records = [
+        record(b"warcinfo", b"software: x\r\n"), record(b"request", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"response", http, b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha1:" + sha, b"X-Folded: a\r\n b"),
+        record(b"response", b"plain"), record(b"revisit", b"", b"WARC-Payload-Digest: sha1:" + sha, version=b"WARC/1.1"),
+    ]
+    wrong = record(b"response", b"plain", b"WARC-Block-Digest: sha1:" + sha)
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(warc.member(b"".join(records)))
+    (tmp_path / "c.warc.gz").write_bytes(warc.member(records[0] + wrong) + warc.member(records[1]))
+    df = spark.createDataFrame([(str(x),) for x in sorted(tmp_path.iterdir())], "path string")
+    got = warc.read(df).collect()
+    for name in ("a.warc", "b.warc.gz"):
+        mine = [(r.record_type, r.payload_bytes, r.payload_digest) for r in got if r.path.endswith("/" + name)]
+        assert mine == [("warcinfo", 13, None), ("request", 18, None), ("response", len(http), sha.decode()), ("response", 5, warc.digest_of(b"plain")), ("revisit", None, sha.decode())]
+    assert [(r.record_type, bool(r.gap_reason)) for r in got if r.path.endswith("c.warc.gz")] == [("warcinfo", False), (None, True), ("request", False)]
