@@ -54,3 +54,40 @@ def test_pipeline_stages(spark, small):
     assert ids(packed) == ids(mixed)
     assert sorted(map(tuple, p.run(spark, small).collect())) == sorted(map(tuple, packed.collect()))
     assert sorted(map(tuple, packing.pack(mixed).collect())) == sorted(map(tuple, packed.collect()))
+
+
+def test_registered_queries_against_plain_python(spark, small, duck):
+    from test_record_operators import slow_rule, slow_score, slow_split
+    from test_text_operators import stats_of
+
+    from helixframe.llm import urls
+    from helixframe.llm.queries import QUERIES
+
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    rows = QUERIES["op1_mcd_quality"](spark, small).collect()
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows} == {d: stats_of(t) for d, t in texts.items()}
+    assert not any(r.kept and r.base_failed for r in rows)
+    known = urls.labelled_urls()
+    model = urls.train([u for u, _ in known], [y for _, y in known])
+    cut = urls.best_cut(urls.held_out_scores(known), [y for _, y in known])
+    pages = dict(duck.execute("SELECT page_id, url FROM pages").fetchall())
+    for r in QUERIES["op8_url_filter"](spark, small).collect():
+        host, path = slow_split(pages[r.page_id])
+        rule = slow_rule(host, path)
+        scored = "block" if host + path and slow_score(host + path, model) > cut else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule and rule.text, rule.verdict if rule else scored)
+
+
+def test_near_copies_stage_against_brute_force(spark, small):
+    import corpus_pipeline as p
+    from test_text_operators import corpus, slow_components
+
+    rows = corpus(5, 60)
+    rows = [(7 if i % 9 == 0 else r[0], *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = p.STAGES[1][1](spark, df, small).collect()
+    _, groups = slow_components(rows)
+    at = {r[:2]: g for r, g in zip(rows, groups)}
+    stay = [(at[(r.doc_id, r.text)], r.doc_id) for r in kept if at[(r.doc_id, r.text)] is not None]
+    least = {g: min((r[0] for r, x in zip(rows, groups) if x == g and r[0] is not None), default=None) for g in set(groups) - {None}}
+    assert sorted(stay, key=str) == sorted(least.items(), key=str)
