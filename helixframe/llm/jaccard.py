@@ -18,11 +18,14 @@ least ``l`` tokens among the first ``n - o + l`` of each. A document may pick it
    tokens are the most frequent (the likely origin of a group of copies), later a random
    one; each class is verified against the leader it shares most prefix tokens with, and
    found links are merged to components.
-5. The rest: pairs of classes of different components in one posting list, of fitting
-   sizes and with the smaller of both ``l`` shared tokens, are verified. Before that a
+5. The rest: pairs of classes of different components that meet in a posting list, of
+   fitting sizes and with the smaller of both ``l`` shared prefix tokens, are verified. A
    parity sketch of 512 bits bounds their overlap from above, so near misses in a large
-   group of copies end inside the join. Pairs inside a component need no test: they can't
-   change it.
+   group of copies end inside the join. The first token that a pair shares lies in both
+   prefixes for ``l = 1``, so only these meet, and a pair is given where none of the
+   ``BEFORE`` tokens ahead on either side is shared as well: at its first token always,
+   at a later one hardly ever, however many it shares. The shared tokens are counted on
+   the two prefixes afterwards. Pairs inside a component need no test: they can't change it.
 
 No link is lost: steps 4 and 5 leave out only pairs that already lie in one component.
 A class key collides with probability n^2 / 2^65 over n classes.
@@ -46,6 +49,8 @@ BLOCK_TOKENS = 1 << 19
 BUCKET_TOKENS = 1_500_000
 #: Numbers of shared prefix tokens from which each document picks.
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Prefix tokens ahead of a posting that are compared to tell whether its pair was met before.
+BEFORE = 6
 #: Leader rounds at most; the exact step follows in any case. The first HUB_ROUNDS of them
 #: take hubs for leaders.
 LEADER_ROUNDS, HUB_ROUNDS = 4, 2
@@ -260,7 +265,10 @@ def _set_batch(keys, sizes, flat, ends, bits):
 
 
 def _choose(num, den):
-    """Sorts a class's shared tokens by frequency and emits the prefix of the cheapest l."""
+    """Sorts a class's shared tokens by frequency and gives the prefix of the cheapest l.
+
+    ``first`` of the prefix's tokens make the prefix for l = 1.
+    """
 
     def run(batches):
         for b in batches:
@@ -269,7 +277,7 @@ def _choose(num, den):
             df = flat.field(0).to_numpy(zero_copy_only=False)
             tok = flat.field(1).to_numpy(zero_copy_only=False)
             at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            keys, ns, ells, hubs, toks = [], [], [], [], []
+            out, toks, ends = {c: [] for c in ("ck", "n", "ell", "hub", "first")}, [], [0]
             for i, (key, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 d, t = df[at[i]:at[i + 1]], tok[at[i]:at[i + 1]]
                 need = int(_need(n, num, den))
@@ -285,17 +293,22 @@ def _choose(num, den):
                     c = scan[r - 1] * (1.0 + n / (8.0 * ell))
                     if cost is None or c < cost:
                         best, cost, size = ell, c, r
-                keys.append(np.full(size, key, np.int64))
-                ns.append(np.full(size, n, np.int64))
-                ells.append(np.full(size, best, np.int32))
-                hubs.append(np.full(size, d.sum() // n))
+                for c, v in zip(out, (key, n, best, int(d.sum() // n), size - best + 1)):
+                    out[c].append(v)
                 toks.append(t[order[:size]])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ns, ells, hubs, toks)], names=["ck", "n", "ell", "hub", "t"])
+                ends.append(ends[-1] + size)
+            if toks:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                arrays = [pa.array(v, kind) for v, kind in zip(out.values(), kinds)]
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(toks)))
+                yield pa.RecordBatch.from_arrays([*arrays, prefix], names=[*out, "prefix"])
 
     return run
 
 
+_PREFIX = "ck long, n long, ell int, hub long, first int, prefix array<long>"
+
+
 def _verify(pairs: DataFrame, tested: int, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) those with enough overlap. Sets that no pair needs aren't moved."""
     left = sets.select(F.col("ck").alias("a"), F.col("toks").alias("ta"), F.col("n").alias("na"))
@@ -345,7 +358,7 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5, scratch:
     tok = sets.select("ck", "n", F.explode("toks").alias("t"))
     freq = tok.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = tok.join(freq, "t").groupBy("ck").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "t")).alias("l"))
-    post = scratch.save(lists.mapInArrow(_choose(num, den), "ck long, n long, ell int, hub long, t long"), "prefixes")
+    post = scratch.save(lists.mapInArrow(_choose(num, den), _PREFIX), "prefixes")
 
     comps = None
     for turn in range(LEADER_ROUNDS):
@@ -355,7 +368,8 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5, scratch:
             comps, links = _merge(comps, _verify(pairs, tested, sets, num, den), scratch)
         if turn + 1 >= HUB_ROUNDS and links * 10 < tested or not tested:
             break
-    pairs = scratch.save(_rest(_live(post, comps), sets, num, den), "rest")
+    met = scratch.save(_rest(_live(post, comps), sets, num, den), "met")
+    pairs = scratch.save(_enough(met, met.count(), post), "rest")
     if tested := pairs.count():
         comps, _ = _merge(comps, _verify(pairs, tested, sets, num, den), scratch)
     if comps is None:
@@ -364,7 +378,7 @@ def classes(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5, scratch:
 
 
 def _live(post: DataFrame, comps) -> DataFrame:
-    """Postings with the component of each class."""
+    """Prefixes with the component of each class."""
     if comps is None:
         return post.withColumn("comp", F.col("ck"))
     table, size = comps
@@ -391,7 +405,7 @@ def _lead(post, comps, turn, num, den, scratch):
     Size classes are powers of den / num, shifted by half a class in every other round.
     """
     size = F.floor(F.log("n") / F.log(F.lit(den / num)) + 0.5 * (turn % 2)).cast("int")
-    live = _live(post, comps).select("ck", "n", "t", "comp", "hub", size.alias("s"))
+    live = _live(post, comps).select("ck", "n", F.explode("prefix").alias("t"), "comp", "hub", size.alias("s"))
     first = -F.col("hub") if turn < HUB_ROUNDS else F.xxhash64("ck", F.lit(turn))
     lead = F.min(F.struct(first.alias("r"), "ck", "n", "comp")).alias("lead")
     heads = live.groupBy("t", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi").select("t", "s", "lead")
@@ -405,20 +419,31 @@ def _lead(post, comps, turn, num, den, scratch):
 
 
 def _rest(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of classes of different components that share enough prefix tokens, and
-    whose sketches don't rule the overlap out."""
-    open_ = live.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
-    mine = live.select("ck", "n", "ell", "t", "comp").join(open_, "t").join(sets.select("ck", *_SKETCH), "ck")
-    names = {"ck": "b", "n": "m", "ell": "ell2", "comp": "comp2", **{w: f"v{w}" for w in _SKETCH}}
+    """Pairs of classes of different components that share a token of their prefixes for
+    l = 1, and whose sketches don't rule the overlap out."""
+    ahead = lambda p: F.transform(p, lambda t, i: F.struct(t.alias("t"), F.slice(p, F.greatest(i - (BEFORE - 1), F.lit(1)), F.least(i, F.lit(BEFORE))).alias("ahead")))
+    post = live.select("ck", "n", "comp", F.slice("prefix", F.lit(1), F.col("first")).alias("p")).select("ck", "n", "comp", F.inline(ahead(F.col("p"))))
+    open_ = post.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
+    mine = post.join(open_, "t").join(sets.select("ck", *_SKETCH), "ck")
+    names = {"ck": "b", "n": "m", "comp": "comp2", "ahead": "ahead2", **{w: f"v{w}" for w in _SKETCH}}
     other = mine.select("t", *[F.col(c).alias(v) for c, v in names.items()])
     apart = F.lit(0)
     for w in _SKETCH:
         apart = apart + F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}")))
     both = F.col("n") + F.col("m")
     may = (both - apart) * (num + den) >= both * (2 * num)
-    met = mine.withColumnRenamed("ck", "a").join(other, (mine["t"] == other["t"]) & (F.col("comp") < F.col("comp2")) & _fits(num, den) & may)
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("ell", "ell2")).alias("least"))
-    return pairs.where("hits >= least").select("a", "b")
+    once = ~F.arrays_overlap("ahead", "ahead2")
+    met = mine.withColumnRenamed("ck", "a").join(other, (mine["t"] == other["t"]) & (F.col("comp") < F.col("comp2")) & _fits(num, den) & may & once)
+    return met.select("a", "b").distinct()
+
+
+def _enough(pairs: DataFrame, met: int, post: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that share the smaller of both l among their prefixes."""
+    left = post.select(F.col("ck").alias("a"), F.col("ell").alias("la"), F.col("prefix").alias("pa"))
+    right = post.select(F.col("ck").alias("b"), F.col("ell").alias("lb"), F.col("prefix").alias("pb"))
+    right = right.join(_small(pairs.select("b").distinct(), met), "b", "left_semi")
+    both = left.join(_small(pairs, met), "a").join(right, "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b")
 
 
 def _rooted(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
