@@ -44,11 +44,10 @@ def correction_counters(corrections: DataFrame) -> DataFrame:
 
 def lookup_counters(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params) -> DataFrame:
     """(kind, lookups, misses) over all windows of the reads in both spectra."""
-    from .functions import codec
-    from .operators.windows import windows
+    from .operators.windows import window_ids
 
     def one(length, table, name, kind):
-        ids = windows(reads, length).select(codec.pack(F.col("bases"), length).alias(name))
+        ids = window_ids(reads, length).select(F.col("id").alias(name))
         hit = ids.join(table.select(name, F.lit(1).alias("hit")), name, "left")
         return hit.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("lookups"), F.count_if(F.col("hit").isNull()).alias("misses"))
 

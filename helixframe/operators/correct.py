@@ -1,9 +1,10 @@
 """Correction of substitution errors, read by read, against the k-mer and tile spectra.
 
 Reads never meet each other here, so they stay where they are: no shuffle, one pass with
-Arrow batches. The spectra go to every worker. Up to BROADCAST_ROWS rows they are
-broadcast as sorted arrays; larger ones are written once to the shared folder as sorted
-shards, and workers map the shards they touch.
+Arrow batches. All reads of a batch take their next step together, so a step is a few
+array operations and two searches in the spectra, whatever the number of reads. The
+spectra go to every worker: up to BROADCAST_ROWS rows as sorted arrays in a broadcast,
+larger ones are written once to the shared folder as sorted shards that workers map.
 """
 
 from __future__ import annotations
@@ -11,238 +12,291 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of both spectra together up to which they are broadcast (9 to 12 bytes a row).
-BROADCAST_ROWS = 20_000_000
+#: Rows of both spectra together up to which they are broadcast: 9 bytes a row in each worker.
+BROADCAST_ROWS = 4_000_000
+#: Reads that take their steps together, and bytes of fetched shards that a worker keeps.
+TOGETHER, KEPT_BYTES = 4096, 512 << 20
 
 ERRORS = "array<struct<pos:int,from:int,to:int,qual:int>>"
-_CODE = np.full(256, -1, np.int64)
+_U = np.uint64
+_CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 
 
-def _reverse(x: int, length: int) -> int:
-    """Reverse complement of a packed identifier."""
-    out = 0
-    for _ in range(length):
-        out = out << 2 | (3 - (x & 3))
-        x >>= 2
-    return out
+def _reverse(x: np.ndarray, length: int) -> np.ndarray:
+    """Reverse complements of packed identifiers."""
+    for by, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        x = (x >> _U(by)) & _U(mask) | (x & _U(mask)) << _U(by)
+    return ~(x >> _U(32) | x << _U(32)) >> _U(64 - 2 * length)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys in sorted arrays."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
-class Corrector:
-    """Decides tiles and walks reads. ``known``: k-mer to bool; ``count``: tile to count or None."""
+class Settler:
+    """Decides many tiles at once. ``known``: k-mers to booleans; ``count``: tiles to counts, -1 if absent."""
 
     def __init__(self, params, known, count):
-        self.p, self.known, self.count = params, known, count
-        self.tile_mask = (1 << 2 * params.step) - 1
-        self.overlap_mask = (1 << 2 * (params.k - params.step)) - 1
-        self.memo: dict = {}
+        p = self.p = params
+        self.known, self.count = known, count
+        self.step_bits = _U(2 * p.step)
+        self.tile_mask = _U((1 << 2 * p.step) - 1)
+        self.kmer_mask = _U((1 << 2 * p.k) - 1)
+        self.overlap_mask = _U((1 << 2 * (p.k - p.step)) - 1)
+        self.flip_at = np.repeat(np.arange(p.k), 3)
+        self.flips = np.array([f << 2 * at for at in range(p.k) for f in (1, 2, 3)], _U)
+
+    # a list of k-mers for each row is (row, id, own): own is the k-mer as read, if known
+    def _start(self, ids):
+        row = np.flatnonzero(self.known(ids))
+        return row, ids[row], np.ones(len(row), bool)
+
+    def _widen(self, lists, rows, lowest):
+        """The lists of ``rows`` with the known one-base neighbours of their members appended."""
+        row, ids, _ = lists
+        take = rows[row] & (lowest[row] < self.p.k)
+        if not take.any():
+            return lists
+        r, x = row[take], ids[take]
+        near = x[:, None] ^ self.flips
+        ok = self.flip_at >= lowest[r][:, None]
+        r, near = np.broadcast_to(r[:, None], near.shape)[ok], near[ok]
+        hit = self.known(near) & (near != 0)
+        r, near = r[hit], near[hit]
+        order = np.lexsort((near, r))
+        r, near = r[order], near[order]
+        if len(r):
+            first = _runs(r, near)
+            r, near = r[first], near[first]
+        return np.concatenate((row, r)), np.concatenate((ids, near)), np.concatenate((lists[2], np.zeros(len(r), bool)))
 
-    # tiles -----------------------------------------------------------------------------
     def _tiles(self, heads, tails):
-        """(tile, count) of overlapping pairs; the first pair is there even if uncounted."""
-        if not heads or not tails:
-            return []
-        shift, by_overlap = 2 * self.p.step, defaultdict(list)
-        for j, t in enumerate(tails):
-            by_overlap[t >> shift].append((j, t & self.tile_mask))
-        out = []
-        for i, h in enumerate(heads):
-            for j, low in by_overlap.get(h & self.overlap_mask, ()):
-                tile = h << shift | low
-                n = self.count(tile)
-                if n is not None:
-                    out.append((tile, n))
-                elif i == 0 and j == 0:
-                    out.append((tile, 0))
-        return out
+        """(row, tile, count, own) of overlapping pairs; the tile as read is there even if uncounted."""
+        (hr, h, ho), (tr, t, to) = heads, tails
+        if not len(h) or not len(t):
+            return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+        _, of = np.unique(np.concatenate((h & self.overlap_mask, t >> self.step_bits)), return_inverse=True)
+        span = int(of.max()) + 1
+        hk, tk = hr * span + of[:len(h)], tr * span + of[len(h):]
+        order = np.argsort(tk, kind="stable")
+        tk = tk[order]
+        a, b = np.searchsorted(tk, hk, "left"), np.searchsorted(tk, hk, "right")
+        n = b - a
+        i = np.repeat(np.arange(len(h)), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+        tile, own = h[i] << self.step_bits | t[j] & self.tile_mask, ho[i] & to[j]
+        count = self.count(tile)
+        keep = (count >= 0) | own
+        return hr[i][keep], tile[keep], np.maximum(count[keep], 0), own[keep]
+
+    def _both(self, lists, size):
+        """Tiles of both strands; counts add up in rows where both strands have tiles."""
+        fr, ft, fn, fo = self._tiles(lists[0], lists[1])
+        rr, rt, rn, ro = self._tiles(lists[2], lists[3])
+        rt = _reverse(rt, self.p.tile)
+        has = np.zeros((2, size), bool)
+        has[0, fr] = has[1, rr] = True
+        row, tile, n, own = (np.concatenate(x) for x in ((fr, rr), (ft, rt), (fn, rn), (fo, ro)))
+        two = (has[0] & has[1])[row]
+        if not two.any():
+            return row, tile, n, own
+        order = np.lexsort((tile[two], row[two]))
+        r, t, c, o = (x[two][order] for x in (row, tile, n, own))
+        at = _runs(r, t)
+        merged = r[at], t[at], np.add.reduceat(c, at), np.logical_or.reduceat(o, at)
+        return tuple(np.concatenate((x[~two], y)) for x, y in zip((row, tile, n, own), merged))
+
+    def settle(self, tile, reach, lowest, low):
+        """(settled, chosen) of tiles as read.
+
+        reach and lowest: for heads and tails, one array each; low: both bits of each base
+        of low quality. Tails are widened first, then heads; the first stage that decides
+        counts. A chosen tile that differs from the one read stands for corrections.
+        """
+        p, size = self.p, len(tile)
+        settled, chosen = np.zeros(size, bool), tile.copy()
+        head, tail = tile >> self.step_bits, tile & self.kmer_mask
+        lists = [self._start(x) for x in (head, tail, _reverse(tail, p.k), _reverse(head, p.k))]
+        back, low_now = np.arange(size), low
+        reach, lowest = [x.copy() for x in reach], list(lowest)
+        done = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        while len(back):
+            m = len(back)
+            ok, to, stands = self._decide(self._both(lists, m), tile[back], low_now)
+            tails = ~ok & (done[1] < reach[1])
+            heads = ~ok & ~tails & (done[0] < reach[0])
+            last = ~ok & ~tails & ~heads
+            ok |= last & stands  # nothing settled it: the tile stands if no other is more frequent
+            settled[back[ok]], chosen[back[ok]] = True, to[ok]
+            for i in (1, 2):
+                lists[i] = self._widen(lists[i], tails, lowest[1])
+            for i in (0, 3):
+                lists[i] = self._widen(lists[i], heads, lowest[0])
+            done[1] += tails
+            done[0] += heads
+            go = tails | heads
+            place = np.cumsum(go) - 1
+            lists = [(place[r[go[r]]], x[go[r]], o[go[r]]) for r, x, o in lists]
+            back, low_now = back[go], low_now[go]
+            reach, lowest, done = ([x[go] for x in v] for v in (reach, lowest, done))
+        return settled, chosen
+
+    def _decide(self, tiles, read, low):
+        """(settled, chosen, whether the tile as read is the most frequent and frequent enough)."""
+        p, size = self.p, len(read)
+        row, tile, n, own = tiles
+        have = np.full(size, -1, np.int64)
+        have[row[own]] = n[own]
+        number = np.bincount(row, minlength=size)
+        most = np.zeros(size, np.int64)
+        np.maximum.at(most, row, n)
+        other = ~own & (n >= p.min_count)
+        row, tile, n = row[other], tile[other], n[other]
+        rare = have < p.min_count
+        level = (have / p.ratio).astype(np.int64)
+        doubtful = (n >= level[row]) & (self._differs(tile ^ read[row]) & low[row] != 0)
+        pick = np.where(rare[row], True, doubtful)
+        options = np.bincount(row[pick], minlength=size)
+        to = read.copy()
+        to[row[pick]] = tile[pick]
+        any_, alone, trusted = number > 0, number == 1, have >= p.trusted_count
+        settled = any_ & (trusted | np.where(alone, ~rare & (low == 0), np.where(rare, options == 1, options <= 1)))
+        to = np.where(trusted | alone | (options != 1), read, to)
+        return settled, to, any_ & ~rare & (most <= have)
+
+    def _differs(self, x):
+        """Both bits of each base that differs."""
+        pairs = (x | x >> _U(1)) & _U(0x5555555555555555)
+        return pairs | pairs << _U(1)
+
+
+def walk(settler: Settler, codes: np.ndarray, quals: np.ndarray, length: np.ndarray):
+    """(read, pos, from, to, qual) of all errors, by read in the order in which they are found.
+
+    codes: reads by positions, 4 where ambiguous; changed in place.
+    """
+    p, tile = settler.p, settler.p.tile
+    places = np.arange(tile)
+    shifts = (2 * (tile - 1 - places)).astype(_U)
+    size = len(codes)
+    pos, last, turn = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
+    crawling = np.zeros(size, bool)
+    reach = [np.full(size, p.max_distance), np.full(size, p.max_distance)]
+    lowest = [np.zeros(size, np.int64), np.full(size, p.k - p.step)]
+    live = np.flatnonzero(length >= tile)
+    found = []
+    while len(live):
+        at = pos[live, None] + places
+        part = codes[live[:, None], at]
+        clean = (part < 4).all(1)
+        live, at, part = live[clean], at[clean], part[clean]
+        q = quals[live[:, None], at]
+        mine = np.bitwise_or.reduce(part.astype(_U) << shifts, axis=1) if len(live) else np.zeros(0, _U)
+        low = np.bitwise_or.reduce(np.where(q < p.low_quality, _U(3), _U(0)) << shifts, axis=1) if len(live) else mine
+        ok, to = settler.settle(mine, [x[live] for x in reach], [x[live] for x in lowest], low)
+        changed = np.flatnonzero(ok & (to != mine))
+        if len(changed):
+            base = (to[changed, None] >> shifts & _U(3)).astype(np.uint8)
+            r, c = np.nonzero((base != part[changed])[:, ::-1])  # right to left
+            c = tile - 1 - c
+            i = changed[r]
+            found.append(np.stack((live[i], at[i, c], base[r, c], part[i, c], q[i, c])))
+            codes[live[i], at[i, c]] = base[r, c]
+        n = length[live]
+        start = pos[live]
+        over = ok & (start + tile == n)
+        last[live[ok]] = start[ok]
+        free = ok & ~over & ~crawling[live]
+        r, s = live[free], start[free]
+        whole = s + p.step <= n[free] - tile
+        lowest[0][r], lowest[1][r] = p.k, np.where(whole, 0, s + tile + p.step - n[free])
+        reach[0][r], reach[1][r] = 0, p.max_distance
+        pos[r] = np.where(whole, s + p.step, n[free] - tile)
+        begin = live[~ok & ~crawling[live]]
+        crawling[begin], turn[begin] = True, pos[begin]
+        crawl = crawling[live] & ~over
+        stop = crawl & ((last[live] == -1) | (pos[live] == last[live] + 1))
+        r = live[crawl & ~stop]
+        pos[r] = last[r] + 1
+        crawling[r] = pos[r] != turn[r]
+        reach[0][r], reach[1][r], lowest[0][r], lowest[1][r] = 0, 1, p.k, p.k - 3
+        live = live[~over & ~stop]
+        live = live[pos[live] + tile <= length[live]]
+    if not found:
+        return np.zeros((5, 0), np.int64)
+    found = np.concatenate(found, axis=1)
+    return found[:, np.argsort(found[0], kind="stable")]
 
-    def _both(self, lists):
-        """Tiles of both strands; counts add up where both strands have tiles at all."""
-        forward, reverse = self._tiles(lists[0], lists[1]), self._tiles(lists[2], lists[3])
-        turned = [(_reverse(t, self.p.tile), n) for t, n in reverse]
-        if not forward or not turned:
-            return forward or turned
-        own, total = forward[0][0], defaultdict(int)
-        for t, n in (*forward, *turned):
-            total[t] += n
-        return [(own, total.pop(own)), *sorted(total.items())]
-
-    def _widen(self, ids, lowest):
-        """The list with the known one-base neighbours of its members appended."""
-        if not ids or lowest >= self.p.k:
-            return ids
-        near = {x ^ (flip << 2 * at) for x in ids for at in range(lowest, self.p.k) for flip in (1, 2, 3)}
-        return ids + [x for x in sorted(near) if x and self.known(x)]
-
-    def stages(self, head, tail, reach, lowest):
-        """Tile lists in search order: tails are widened first, then heads."""
-        k, known = self.p.k, self.known
-        start = (head, tail, _reverse(tail, k), _reverse(head, k))
-        lists = [[x] if known(x) else [] for x in start]
-        a = b = 0
-        while True:
-            yield self._both(lists)
-            b += 1
-            if b <= reach[1]:
-                widen, low = (1, 2), lowest[1]
-            else:
-                a += 1
-                if a > reach[0]:
-                    return
-                widen, low = (0, 3), lowest[0]
-            for i in widen:
-                lists[i] = self._widen(lists[i], low)
-
-    # decisions -------------------------------------------------------------------------
-    def _changes(self, to, own, quals):
-        """(pos, from, to, qual) where tiles differ, right to left; ``from`` is the new base."""
-        x, out, n = to ^ own, [], self.p.tile
-        for p in range(n):
-            if x >> 2 * p & 3:
-                out.append((n - 1 - p, to >> 2 * p & 3, own >> 2 * p & 3, quals[n - 1 - p]))
-        return out
 
-    def decide(self, tiles, quals):
-        """Errors to apply (maybe none) if the tile is settled, else None."""
-        p = self.p
-        if not tiles:
-            return None
-        own, have = tiles[0]
-        if have >= p.trusted_count:
-            return []
-        if len(tiles) == 1:
-            return [] if have >= p.min_count and min(quals) >= p.low_quality else None
-        others = [t for t in tiles[1:] if t[1] >= p.min_count]
-        if have < p.min_count:
-            return self._changes(others[0][0], own, quals) if len(others) == 1 else None
-        level = int(have / p.ratio)
-        doubtful = []
-        for t, n in others:
-            if n >= level:
-                change = self._changes(t, own, quals)
-                if any(e[3] < p.low_quality for e in change):
-                    doubtful.append(change)
-        if len(doubtful) > 1:
-            return None
-        return doubtful[0] if doubtful else []
-
-    def settle(self, head, tail, reach, lowest, quals):
-        key = (head, tail, reach, lowest)
-        found = self.memo.get(key)
-        if found is None:
-            if len(self.memo) >= 100_000:
-                self.memo.clear()
-            found = self.memo[key] = (self.stages(head, tail, reach, lowest), [])
-        source, seen = found
-        at = 0
-        while True:
-            if at == len(seen):
-                tiles = next(source, None)
-                if tiles is None:
-                    break
-                seen.append(tiles)
-            errors = self.decide(seen[at], quals)
-            if errors is not None:
-                return errors
-            at += 1
-        # nothing settled it: the tile stands if no other is more frequent
-        last = seen[-1]
-        if last and last[0][1] >= self.p.min_count and all(n <= last[0][1] for _, n in last[1:]):
-            return []
-        return None
-
-    # reads -----------------------------------------------------------------------------
-    def read(self, bases: bytes, quals: bytes):
-        """Errors (pos, from, to, qual) of a read, in the order in which they are found."""
-        p, k, step, n = self.p, self.p.k, self.p.step, len(bases)
-        codes = _CODE[np.frombuffer(bases, np.uint8)].tolist()
-        errors: list = []
-        pos, last, crawl_to, crawling = 0, -1, -1, False
-        reach, lowest = (p.max_distance, p.max_distance), (0, k - step)
-
-        def ident(at):
-            x = 0
-            for c in codes[at:at + k]:
-                if c < 0:
-                    return None
-                x = x << 2 | c
-            return x
-
-        while pos + p.tile <= n:
-            head, tail = ident(pos), ident(pos + step)
-            if head is None or tail is None:
-                break
-            found = self.settle(head, tail, reach, lowest, quals[pos:pos + p.tile])
-            if found is not None:
-                for at, new, old, q in found:
-                    codes[at + pos] = new
-                    errors.append((at + pos, new, old, q))
-                if pos + p.tile == n:
-                    break
-                last = pos
-                if not crawling:
-                    reach = (0, p.max_distance)
-                    if pos + step <= n - p.tile:
-                        lowest, pos = (k, 0), pos + step
-                    else:
-                        lowest, pos = (k, pos + p.tile + step - n), n - p.tile
-            elif not crawling:
-                crawling, crawl_to = True, pos
-            if crawling:
-                if last == -1 or pos == last + 1:
-                    break
-                pos = last + 1
-                crawling = pos != crawl_to
-                reach, lowest = (0, 1), (k, k - 3)
-        return errors
+# lookups ---------------------------------------------------------------------------------
+def _search(ids, x):
+    """Place of each x in sorted ids, -1 if it isn't there."""
+    if not len(ids):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+    return np.where(ids[at] == x, at, -1)
 
 
-# lookups ---------------------------------------------------------------------------------
 class _Arrays:
-    """Spectra as sorted arrays, the small ones as hash tables."""
+    """Spectra as sorted arrays."""
 
     def __init__(self, kmers, tiles, counts):
-        self.kmers = set(kmers.tolist())
-        self.tiles = dict(zip(tiles.tolist(), counts.tolist()))
+        self.kmers, self.tiles, self.counts = kmers, tiles, counts
 
     def known(self, x):
-        return x in self.kmers
+        return _search(self.kmers, x.ravel()).reshape(x.shape) >= 0
 
     def count(self, x):
-        return self.tiles.get(x if x < 1 << 63 else x - (1 << 64))
+        at = _search(self.tiles, x)
+        return np.where(at >= 0, self.counts[at].astype(np.int64), -1) if len(self.counts) else at
 
 
 class _Shards:
-    """Spectra in sorted shard files: first identifiers tell the shard, a search the row."""
+    """Spectra in sorted shard files: first identifiers tell the shard, one search a shard the rows."""
 
     def __init__(self, index):
         self.index, self.open = index, {}
 
+    def _shard(self, path):
+        if path not in self.open:
+            if path.startswith("/"):
+                self.open[path] = np.load(path, mmap_mode="r")  # pages are shared by all workers of a host
+            else:
+                rows = _fetch(path)
+                while self.open and sum(x.nbytes for x in self.open.values()) + rows.nbytes > KEPT_BYTES:
+                    self.open.pop(next(iter(self.open)))
+                self.open[path] = rows
+        return self.open[path]
+
     def _find(self, which, x):
         firsts, paths = self.index[which]
-        at = int(np.searchsorted(firsts, x, "right")) - 1
-        if at < 0:
-            return None
-        path = paths[at]
-        if path not in self.open:
-            self.open[path] = np.load(path, mmap_mode="r") if path.startswith("/") else _fetch(path)
-        rows = self.open[path]
-        i = int(np.searchsorted(rows["id"], x))
-        return int(rows["cnt"][i]) if i < len(rows) and rows["id"][i] == x else None
+        out = np.full(len(x), -1, np.int64)
+        order = np.argsort(x)
+        cuts = np.searchsorted(x[order], firsts)
+        for i, path in enumerate(paths):
+            mine = order[cuts[i]:cuts[i + 1] if i + 1 < len(paths) else len(x)]
+            if len(mine):
+                rows = self._shard(path)
+                at = _search(rows["id"], x[mine])
+                out[mine] = np.where(at >= 0, rows["cnt"][at], -1)
+        return out
 
     def known(self, x):
-        return self._find("kmer_id", x) is not None
+        return self._find("kmer_id", x.ravel()).reshape(x.shape) >= 0
 
     def count(self, x):
-        return self._find("tile_id", x if x < 1 << 63 else x - (1 << 64))
+        return self._find("tile_id", x)
 
 
 def _fetch(path):
@@ -266,14 +320,12 @@ def _write_shards(spectrum: DataFrame, name: str, folder: str) -> tuple:
 
         ids, cnt = [], []
         for b in batches:
-            ids.append(b.column(0).to_numpy(zero_copy_only=False))
+            ids.append(b.column(0).to_numpy(zero_copy_only=False).view(_U))
             cnt.append(b.column(1).to_numpy(zero_copy_only=False))
-        if not ids:
+        if not sum(map(len, ids)):
             return
-        rows = np.zeros(sum(map(len, ids)), [("id", "<i8"), ("cnt", "<i4")])
+        rows = np.zeros(sum(map(len, ids)), [("id", "<u8"), ("cnt", "<i4")])
         rows["id"], rows["cnt"] = np.concatenate(ids), np.concatenate(cnt)
-        if not len(rows):
-            return
         path = f"{local or folder}/{name}-{uuid.uuid4().hex}.npy"
         files, inner = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(path)
         files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
@@ -281,11 +333,14 @@ def _write_shards(spectrum: DataFrame, name: str, folder: str) -> tuple:
         np.save(data, rows)
         with files.open_output_stream(inner) as f:
             f.write(data.getbuffer())
-        yield pa.RecordBatch.from_arrays([pa.array([int(rows["id"][0])]), pa.array([path])], names=["first", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(rows["id"][0].view(np.int64))]), pa.array([path])], names=["first", "path"])
 
-    rows = spectrum.repartitionByRange(name).sortWithinPartitions(name).mapInArrow(run, "first long, path string").collect()
-    got = sorted((r.first, r.path) for r in rows)  # one row a shard
-    return np.array([g[0] for g in got], np.int64), [g[1] for g in got]
+    # at 32 bases the sign bit belongs to the identifier
+    keyed = spectrum.withColumn("__o", F.col(name).bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    rows = keyed.repartitionByRange("__o").sortWithinPartitions("__o").select(name, "cnt").mapInArrow(run, "first long, path string").collect()
+    firsts = np.array([r.first for r in rows], np.int64).view(_U)  # one row a shard
+    order = np.argsort(firsts)
+    return firsts[order], [rows[i].path for i in order]
 
 
 def _worker_lookup(key, make):
@@ -295,10 +350,32 @@ def _worker_lookup(key, make):
     return kept.lookup
 
 
-def _column(df: DataFrame, *names):
-    """Columns as arrays on the driver; called behind a check of the number of rows."""
-    t = df.select(*names).toArrow()
-    return [t[n].to_numpy() for n in names]
+def _arrays(kmers: DataFrame, tiles: DataFrame):
+    """Sorted arrays on the driver; called behind a check of the number of rows."""
+    ids = kmers.select("kmer_id").toArrow()["kmer_id"].to_numpy().view(_U)
+    t = tiles.select("tile_id", "cnt").toArrow()
+    tid, cnt = t["tile_id"].to_numpy().view(_U), t["cnt"].to_numpy()
+    order = np.argsort(tid)
+    return np.sort(ids), tid[order], cnt[order].astype(np.uint8 if not len(cnt) or cnt.max() < 256 else np.int64)
+
+
+def _matrix(texts: list, length: np.ndarray) -> np.ndarray:
+    """Bytes of the texts of a positive length, one row each, filled up with 0."""
+    out = np.zeros((len(texts), int(length.max(initial=0))), np.uint8)
+    for i in np.flatnonzero(length).tolist():
+        out[i, :length[i]] = np.frombuffer(texts[i].encode("latin-1", "replace"), np.uint8)
+    return out
+
+
+def _walk_batch(settler, ids, bases, quals):
+    """Errors of one piece of a batch; reads of unequal lengths of bases and qualities have none."""
+    b, q = bases.to_pylist(), quals.to_pylist()
+    n = np.array([len(x) if x and y and len(x) == len(y) else 0 for x, y in zip(b, q)], np.int64)
+    found = walk(settler, _CODE[_matrix(b, n)], _matrix(q, n), n)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(found[0].astype(np.int64), minlength=len(ids)))))
+    fields = [pa.array(found[i].astype(np.int32)) for i in range(1, 5)]
+    errors = pa.StructArray.from_arrays(fields, names=["pos", "from", "to", "qual"])
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), errors)], names=["read_id", "errs"])
 
 
 def correct(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, broadcast_rows: int = BROADCAST_ROWS, shared: str | None = None) -> DataFrame:
@@ -306,29 +383,28 @@ def correct(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, broadc
 
     ``from`` is the replacement, ``to`` the base in the read, qual the quality's code. A
     null read, or one shorter than a tile, has no errors. The result does not depend on
-    how reads are split or ordered.
+    how reads are split or ordered. Both spectra are computed once.
     """
     spark, key = reads.sparkSession, uuid.uuid4().hex
-    if kmers.count() + tiles.count() <= broadcast_rows:
-        ids = _column(kmers, "kmer_id")
-        tid, cnt = _column(tiles, "tile_id", "cnt")
-        sent = spark.sparkContext.broadcast((ids[0], tid, cnt))
-        make = lambda: _Arrays(*sent.value)
-    else:
-        folder = f"{shared or spark.conf.get('spark.checkpoint.dir')}/spectra-{key}"
-        sent = spark.sparkContext.broadcast({n: _write_shards(df, n, folder) for n, df in (("kmer_id", kmers), ("tile_id", tiles))})
-        make = lambda: _Shards(sent.value)
+    kmers, tiles = kmers.persist(), tiles.persist()
+    try:
+        if kmers.count() + tiles.count() <= broadcast_rows:
+            sent = spark.sparkContext.broadcast(_arrays(kmers, tiles))
+            make = lambda: _Arrays(*sent.value)
+        else:
+            folder = f"{shared or spark.conf.get('spark.checkpoint.dir')}/spectra-{key}"
+            sent = spark.sparkContext.broadcast({n: _write_shards(df, n, folder) for n, df in (("kmer_id", kmers), ("tile_id", tiles))})
+            make = lambda: _Shards(sent.value)
+    finally:
+        kmers.unpersist()
+        tiles.unpersist()
 
     def run(batches):
         lookup = _worker_lookup(key, make)
-        walker = Corrector(params, lookup.known, lookup.count)
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("qual", pa.int32())]))
+        settler = Settler(params, lookup.known, lookup.count)
         for b in batches:
-            out = []
-            for bases, quals in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                found = walker.read(bases.encode("latin-1", "replace"), quals.encode("latin-1", "replace")) if bases and quals and len(bases) == len(quals) else []
-                out.append([dict(zip(("pos", "from", "to", "qual"), e)) for e in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["read_id", "errs"])
+            for at in range(0, b.num_rows, TOGETHER):
+                yield _walk_batch(settler, *(b.column(i).slice(at, TOGETHER) for i in range(3)))
 
     return reads.select("read_id", "bases", "quals").mapInArrow(run, f"read_id long, errs {ERRORS}")
 

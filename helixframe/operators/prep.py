@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 _AMBIGUOUS = "[^ACGTacgt]"
 
 
+def balanced(rows: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """Rows dealt out by hash of ``key`` where they come in fewer pieces than there are task slots.
+
+    Small inputs often come in one file or row group; what follows expands each read many
+    times. A large input has pieces enough and isn't moved.
+    """
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * tasks, key) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 def clean_only(reads: DataFrame) -> DataFrame:
     """Reads without an ambiguous base."""
     return reads.where(~F.col("bases").rlike(_AMBIGUOUS))

@@ -9,16 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codec
-from .windows import windows
+from .windows import digit_columns, identifier, window_digits
 
 SATURATED = 255
 
 
 def spectrum(reads: DataFrame, length: int, min_count: int = 0, params=None, name: str = "id") -> DataFrame:
     """(id, cnt) of all windows; params asks for good quality as well."""
-    ids = windows(reads, length, params).select(codec.pack(F.col("bases"), length).alias(name))
-    counts = ids.groupBy(name).agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).cast("int").alias("cnt"))
+    counts = window_digits(reads, length, params).groupBy(*digit_columns(length)).agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).cast("int").alias("cnt"))
+    counts = counts.select(identifier(length).alias(name), "cnt")
     return counts.where(F.col("cnt") >= min_count) if min_count else counts
 
 
@@ -55,10 +54,18 @@ def histogram(counts: DataFrame) -> DataFrame:
 
 
 def histograms(reads: DataFrame, params) -> DataFrame:
-    """Both tile histograms, without and with the quality condition, thresholds left out."""
-    plain = histogram(spectrum(reads, params.tile)).select(F.lit("all").alias("section"), "cnt", "n")
-    good = histogram(spectrum(reads, params.tile, params=params)).select(F.lit("quality").alias("section"), "cnt", "n")
-    return plain.unionAll(good)
+    """Both tile histograms, without and with the quality condition, thresholds left out.
+
+    One pass over the windows counts both; a tile without a good window is in the first only.
+    """
+    seen = window_digits(reads, params.tile, params, quality=False)
+    top = F.lit(SATURATED)
+    counts = seen.groupBy(*digit_columns(params.tile)).agg(F.least(F.count(F.lit(1)), top).cast("int").alias("all"), F.least(F.count_if("good"), top).cast("int").alias("quality"))
+    both = counts.groupBy("all", "quality").agg(F.count(F.lit(1)).alias("n"))
+    sections = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).alias("cnt")) for s in ("all", "quality")])
+    have = both.select("n", F.inline(sections)).where("section = 'all' OR cnt > 0").groupBy("section", "cnt").agg(F.sum("n").alias("n"))
+    every = reads.sparkSession.range(256).select(F.col("id").cast("int").alias("cnt"), F.explode(F.array(F.lit("all"), F.lit("quality"))).alias("section"))
+    return every.join(have, ["section", "cnt"], "left").select("section", "cnt", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def ranked(counts: DataFrame, name: str, pieces: int = 1024) -> DataFrame:
@@ -83,6 +90,6 @@ def summary(reads: DataFrame, params) -> DataFrame:
     sizes = one(kmers, "kmers")
     dense = sizes.select(F.lit("absent_kmers").alias("metric"), F.when(F.col("value") * 2 > total, F.lit(total) - F.col("value")).otherwise(F.lit(0)).cast("long").alias("value"))
     return (
-        one(reads, "reads").unionAll(one(windows(reads, params.k), "kmer_windows"))
-        .unionAll(one(windows(reads, params.tile, params), "tile_windows")).unionAll(sizes).unionAll(one(tiles, "tiles")).unionAll(dense)
+        one(reads, "reads").unionAll(one(window_digits(reads, params.k), "kmer_windows"))
+        .unionAll(one(window_digits(reads, params.tile, params), "tile_windows")).unionAll(sizes).unionAll(one(tiles, "tiles")).unionAll(dense)
     )

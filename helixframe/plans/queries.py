@@ -9,6 +9,7 @@ from .. import metrics
 from ..functions import codec
 from ..operators import correct, delta, neighbors, prep, spectrum, tiles, windows
 from ..params import Params
+from . import runs
 from .reads import LETTERS, READ_LENGTH, ROOM, STANDS_FOR, derived_reads
 
 PARAMS = Params(k=10, step=4)
@@ -18,8 +19,11 @@ DENSE = Params(k=6, step=2)
 NODE, BLOCKS = 16, 7
 
 
-def _spectra(spark, sf_dir, p=PARAMS):
+def _spectra(spark, sf_dir, p=PARAMS, often=False):
+    """Reads and both spectra, persisted if the query reads them often."""
     reads = derived_reads(spark, sf_dir)
+    if often:
+        return reads, *runs.spectra(reads, p)
     return reads, spectrum.kmer_spectrum(reads, p), spectrum.tile_spectrum(reads, p)
 
 
@@ -39,8 +43,7 @@ def ambig_replaced(spark, sf_dir):
     return prep.ambiguous_replaced(derived_reads(spark, sf_dir), 3, 1, "A").select("read_id", "bases")
 
 
-def _digest(df, length):
-    ids = df.select("read_id", "pos", codec.pack(F.col("bases"), length).alias("id"))
+def _digest(ids):
     return ids.groupBy("read_id").agg(
         F.count(F.lit(1)).alias("n_windows"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"),
         F.sum("id").cast("long").alias("id_sum"), F.max("id").alias("id_max"),
@@ -48,11 +51,11 @@ def _digest(df, length):
 
 
 def kmer_windows(spark, sf_dir):
-    return _digest(windows.windows(derived_reads(spark, sf_dir), PARAMS.k), PARAMS.k)
+    return _digest(windows.window_ids(derived_reads(spark, sf_dir), PARAMS.k))
 
 
 def tile_windows_q(spark, sf_dir):
-    return _digest(windows.windows(derived_reads(spark, sf_dir), PARAMS.tile, PARAMS), PARAMS.tile)
+    return _digest(windows.window_ids(derived_reads(spark, sf_dir), PARAMS.tile, PARAMS))
 
 
 def kmer_spectrum(spark, sf_dir):
@@ -114,7 +117,7 @@ def _first_tiles(reads, p):
 
 def tile_lookup(spark, sf_dir):
     """First tile of each read: both k-mers known, and the tile's count, 0 if it has none."""
-    reads, kmers, tile = _spectra(spark, sf_dir)
+    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
     first = _first_tiles(reads, PARAMS)
     known = neighbors.present(neighbors.present(first, "head", kmers), "tail", kmers)
     keyed = known.select("read_id", tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step).alias("tile_id"))
@@ -146,14 +149,14 @@ def _merged_tiles(pairs, kmers, tile, p):
 
 def strand_merged_tiles(spark, sf_dir):
     """Tiles within one base of each first tile, counts of both strands added."""
-    reads, kmers, tile = _spectra(spark, sf_dir)
+    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
     pairs = _first_tiles(reads, PARAMS).select("head", "tail").distinct()
     return _merged_tiles(pairs, kmers, tile, PARAMS)
 
 
 def first_tile_decision(spark, sf_dir):
     """Verdict on each read's first tile from all tiles within one base; chosen is -1 if rejected."""
-    reads, kmers, tile = _spectra(spark, sf_dir)
+    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
     first = _first_tiles(reads, PARAMS)
     merged = _merged_tiles(first.select("head", "tail").distinct(), kmers, tile, PARAMS)
     each = first.join(merged, (first["head"] == merged["h0"]) & (first["tail"] == merged["t0"]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prep import balanced
+
 #: Letters of a read, and the factor that leaves room for a document's reads in read_id.
 READ_LENGTH, ROOM = 96, 1 << 20
 
@@ -14,11 +16,12 @@ LETTERS, STANDS_FOR = "ABCDEFGHIKLMNOPRSTUVWYZ", "ACGTACGTACGTACGTACGTACG"
 
 def derived_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, bases, quals): each document's letters as bases, in reads of READ_LENGTH."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    letters = docs.select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("s")).where("length(s) > 0")
-    cut = letters.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / READ_LENGTH).cast("int"))).alias("part"))
-    piece = F.substr("s", F.col("part") * READ_LENGTH + 1, F.lit(READ_LENGTH))
-    reads = cut.select((F.col("doc_id") * ROOM + F.col("part")).alias("read_id"), F.regexp_replace(F.translate(piece, LETTERS, STANDS_FOR), "[^ACGT]", "N").alias("bases"))
+    docs = balanced(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    bases = F.regexp_replace(F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, STANDS_FOR), "[^ACGT]", "N")
+    # one pattern cuts a text in linear time; substr would count from its start for each read
+    pieces = F.regexp_extract_all(bases, F.lit(f".{{1,{READ_LENGTH}}}"), F.lit(0))
+    cut = docs.select("doc_id", F.posexplode(pieces).alias("part", "bases"))
+    reads = cut.select((F.col("doc_id") * ROOM + F.col("part")).alias("read_id"), "bases")
     # the quality at i (from 1) repeats every 41 places: one long string has all of them
     cycle = "".join(chr(33 + (i * 13) % 41) for i in range(1, READ_LENGTH + 42))
     # 13 * 19 = 247 = 1 mod 41, so a shift of 7 * read_id in value is one of 133 * read_id in place

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec
 from ..operators import correct
 from ..operators.spectrum import SATURATED
-from ..operators.windows import windows
+from ..operators.windows import window_ids
 
 
 def fastq_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -26,15 +25,14 @@ def spectrum_stream(reads: DataFrame, length: int, params=None) -> DataFrame:
 
     State holds one count an identifier, so it's bounded by the number of distinct windows.
     """
-    ids = windows(reads, length, params).select(codec.pack(F.col("bases"), length).alias("id"))
+    ids = window_ids(reads, length, params)
     return ids.groupBy("id").agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).cast("int").alias("cnt"))
 
 
 def spectrum_by_time(reads: DataFrame, time: str, window: str, late: str, length: int, params=None) -> DataFrame:
     """(window, id, cnt): spectra of tumbling windows of an event-time column, with a watermark."""
     dated = reads.withWatermark(time, late).withColumn("__w", F.window(time, window))
-    rows = dated.select(F.struct("read_id", "__w").alias("read_id"), "bases", "quals")
-    ids = windows(rows, length, params).select("read_id.__w", codec.pack(F.col("bases"), length).alias("id"))
+    ids = window_ids(dated, length, params, carry=("__w",))
     return ids.groupBy(F.col("__w").alias("window"), "id").agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).cast("int").alias("cnt"))
 
 
