@@ -12,7 +12,7 @@ import pyarrow as pa
 
 _MASK = (1 << 64) - 1
 _MULT = 0x9E3779B97F4A7C15 | 1
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 
 def _tables():
