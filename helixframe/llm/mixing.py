@@ -5,7 +5,8 @@ epochs allowed. Where a child's share is more than it can hold, its siblings sha
 rest by their weights; only what all children together can't hold was never given to
 their parent, as the parent itself is capped in the same way. So shortages are met by
 siblings first and by the siblings of ancestors after that. Each leaf then takes the
-prefix of its documents' token stream: epochs in turn, each a seeded shuffle.
+prefix of its documents' token stream: epochs in turn, each a seeded shuffle, and of the
+document in which the target falls its first tokens only.
 """
 
 from __future__ import annotations
@@ -42,6 +43,13 @@ def token_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(clean, " "), "")).cast("long")
 
 
+def token_prefix(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th token."""
+    clean = F.translate(text.cast("string"), "\t\n\x0b\x0c\r", "     ")  # one character for each
+    at = F.filter(F.transform(F.split(clean, " "), lambda x, i: F.when(x != "", i + 1)), lambda i: i.isNotNull())
+    return F.substr(text.cast("string"), F.lit(1), F.length(F.call_function("substring_index", clean, F.lit(" "), F.get(at, (n - 1).cast("int")))))
+
+
 def domain_of(source: Column, domains) -> Column:
     number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})$", 1)
     at = F.coalesce(F.when(number != "", number).cast("int"), F.lit(0)) % len(domains)
@@ -117,9 +125,11 @@ def _place(params: MixParams, epoch: Column, doc_id: Column, th: Column) -> Colu
 
 
 def copies(docs: DataFrame, params: MixParams, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, domain, lang, source, n_tokens, rows, whole, copies): how often each row is used.
+    """(doc_id, th, domain, lang, source, n_tokens, rows, whole, copies, cut_tokens): how often each row is used.
 
-    ``whole`` epochs hold for the leaf, ``copies`` for each of the ``rows`` that agree in doc_id, text, language and source.
+    ``whole`` epochs hold for the leaf, ``copies`` and ``cut_tokens`` for each of the ``rows``
+    that agree in doc_id, text, language and source; cut_tokens is what the document in
+    which the leaf's target falls gives besides whole copies, 0 for others.
     """
     key = docs.select("doc_id", F.xxhash64("text").alias("th"), "lang", "source", domain_of(F.col("source"), params.domains).alias("domain"), token_count(F.col("text")).alias("n_tokens"))
     rows = key.groupBy("doc_id", "th", "lang", "source", "domain", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
@@ -140,35 +150,48 @@ def copies(docs: DataFrame, params: MixParams, scratch: Scratch) -> DataFrame:
     placed = placed.withColumn("leaf", F.to_json(F.struct(*LEVELS)))
     run = running_totals(placed, ["leaf"], order, "weight", ["doc_id", "th"])
     take = (F.col("before") + F.col("weight") <= F.col("rest")) & (F.col("n_tokens") > 0)
-    return run.select("doc_id", "th", *LEVELS, "n_tokens", "rows", "whole", (F.col("whole") + take.cast("long")).alias("copies"))
+    falls = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("weight") > F.col("rest"))
+    part = F.when(falls, F.floor((F.col("rest") - F.col("before")) / F.col("rows"))).otherwise(lit_long(0)).cast("long")
+    return run.select("doc_id", "th", *LEVELS, "n_tokens", "rows", "whole", (F.col("whole") + take.cast("long")).alias("copies"), part.alias("cut_tokens"))
 
 
 def usage(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, domain, lang, source, n_tokens, copies (0: unused)."""
+    """One row per row of ``docs``: doc_id, domain, lang, source, n_tokens, copies (0: unused), cut_tokens.
+
+    A leaf takes ``copies * n_tokens + cut_tokens`` of each row, its target in total; where
+    the target falls into m rows that agree in doc_id, text, language and source, they share
+    the rest alike and fewer than m tokens stay open. Null or blank texts have no tokens and
+    are used in whole epochs only. Null languages and sources are leaves of their own.
+    Equal hashes of an epoch go by doc_id and text hash. An empty table gives an empty
+    result; other columns of ``docs`` are not looked at.
+    """
     used = copies(docs, params, Scratch(docs.sparkSession, "mix"))
     each = used.withColumn("i", F.explode(F.sequence(lit_long(1), F.col("rows"))))
-    return each.select("doc_id", *LEVELS, "n_tokens", "copies")
+    return each.select("doc_id", *LEVELS, "n_tokens", "copies", "cut_tokens")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The rows of ``docs`` as often as the mix uses them, with all columns.
 
-    A leaf never takes more than its target; a document that no longer fits ends the
-    prefix, so at most one document's tokens are left open. Documents without words cost
-    nothing and are used in whole epochs only. Rows equal in doc_id, text, language and
-    source share one fate. Null languages and sources are leaves of their own.
+    The document in which a leaf's target falls comes once more, with the prefix of its text
+    that the leaf still takes. Cases as in ``usage``; rows equal in doc_id, text, language and
+    source share one fate.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     used = copies(docs, params, scratch)
     order = _place(params, F.col("whole"), F.col("doc_id"), F.col("th"))
     # a leaf's prefix ends at one place of its order: that place tells which rows are in it
     cut = F.max(F.when(F.col("copies") > F.col("whole"), order)).alias("cut")
-    leaves = used.groupBy(*LEVELS[1:]).agg(F.max("whole").alias("whole"), cut)
-    leaves = scratch.save(leaves.select(*[F.col(c).alias(f"__hf_{c}") for c in (*LEVELS[1:], "whole", "cut")]), "cuts")
+    part = F.max(F.when(F.col("cut_tokens") > 0, F.struct(order.alias("place"), "cut_tokens"))).alias("part")
+    leaves = used.groupBy(*LEVELS[1:]).agg(F.max("whole").alias("whole"), cut, part)
+    leaves = scratch.save(leaves.select(*[F.col(c).alias(f"__hf_{c}") for c in (*LEVELS[1:], "whole", "cut", "part")]), "cuts")
     tagged = docs.withColumn("__hf_h", F.xxhash64("text"))
     joined = tagged.join(leaves, tagged["lang"].eqNullSafe(leaves["__hf_lang"]) & tagged["source"].eqNullSafe(leaves["__hf_source"]))
     mine = _place(params, F.col("__hf_whole"), tagged["doc_id"], F.col("__hf_h"))
     extra = F.coalesce(mine <= F.col("__hf_cut"), F.lit(False)) & (token_count(tagged["text"]) > 0)
-    counted = joined.withColumn("__hf_n", F.col("__hf_whole") + extra.cast("long")).where("__hf_n > 0")
-    again = counted.withColumn("__hf_i", F.explode(F.sequence(lit_long(1), F.col("__hf_n"))))
-    return again.drop("__hf_h", "__hf_i", "__hf_n", *leaves.columns)
+    last = F.when(F.coalesce(mine == F.col("__hf_part.place"), F.lit(False)), F.col("__hf_part.cut_tokens")).otherwise(lit_long(0))
+    counted = joined.withColumn("__hf_n", F.col("__hf_whole") + extra.cast("long")).withColumn("__hf_last", last)
+    counted = counted.where("__hf_n > 0 OR __hf_last > 0")
+    again = counted.withColumn("__hf_i", F.explode(F.sequence(lit_long(1), F.col("__hf_n") + (F.col("__hf_last") > 0).cast("long"))))
+    again = again.withColumn("text", F.when(F.col("__hf_i") > F.col("__hf_n"), token_prefix(F.col("text"), F.col("__hf_last"))).otherwise(F.col("text")))
+    return again.drop("__hf_h", "__hf_i", "__hf_n", "__hf_last", *leaves.columns)
