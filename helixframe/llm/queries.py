@@ -10,6 +10,8 @@ from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
 SHARDS = 40
+#: Weights of the shards and of the one that is added: 1, 1.5 and 2 in turn, as of hosts of three sizes.
+WEIGHTS = [1.0 + 0.5 * (s % 3) for s in range(SHARDS + 1)]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -25,12 +27,12 @@ def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     used = mixing.usage(docs, mixing.MixParams())
-    return used.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+    return used.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "cut_tokens")
 
 
 def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sharding.shard_documents(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+    return sharding.shard_documents(docs, WEIGHTS[:SHARDS], WEIGHTS)
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
