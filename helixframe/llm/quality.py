@@ -7,10 +7,13 @@ documents whose squared Mahalanobis distance exceeds a chi-squared quantile are
 
 Estimation covers all documents that pass the base rules and collects none: rates are
 rounded to integers, so group sums are exact and don't depend on the order of rows. Each
-concentration step is one aggregation by (cell, distance bin): the bins up to the wanted
-share of rows give the next mean and covariance. Two starts, median with quartile range
-and plain moments, run side by side; the smaller determinant wins; one reweighting
-follows. Cells of few rows are pooled by language, then over all; where even that is
+concentration step is one aggregation by (cell, distance bin): the nearest bins give the
+next mean and covariance, and of the bin in which the wanted number of rows is reached, all
+rows count with the same fraction, so the weights add up to that number however many rows
+tie. Steps go on until no determinant changes any more. Two starts, median with quartile
+range and plain moments, run side by side; the smaller determinant wins; one reweighting
+follows. Covariances hold the floors' squares on their diagonal throughout, the determinants
+that are compared as well: a regularised estimate. Cells of few rows are pooled by language, then over all; where even that is
 small, the base rules decide alone.
 """
 
@@ -30,7 +33,7 @@ _P = 4
 #: Features are rounded to multiples of 1 / _UNIT.
 _UNIT = 1024
 #: Bins of squared distance: _PER_OCTAVE each factor of two from 2^-10 to 2^30.
-_PER_OCTAVE, _LOW, _HIGH = 16, -10, 30
+_PER_OCTAVE, _LOW, _HIGH = 64, -10, 30
 
 
 @dataclass(frozen=True)
@@ -40,13 +43,15 @@ class McdParams:
     repeated-word rate); they keep features that hardly vary from rejecting small changes,
     and are low enough for the highest rate of each (all lines, half of the words) to
     exceed the cut alone where a cell's documents have none.
-    steps: concentration steps. min_rows: smallest cell with an estimate of its own; five
+    steps: concentration steps at most, settled: change of the logarithm of a determinant below
+    which they end. min_rows: smallest cell with an estimate of its own; five
     rows for each feature, where the floors keep the matrix regular.
     tail: chance that a normal vector is rejected."""
 
     share: float = 0.75
     floors: tuple[float, ...] = (0.08, 0.3, 0.15, 0.12)
-    steps: int = 5
+    steps: int = 20
+    settled: float = 1e-4
     min_rows: int = 20
     tail: float = 1e-6
 
@@ -204,8 +209,10 @@ def _step(rows: DataFrame, params: DataFrame, keys: list[str], share: float | No
     binned = near.withColumn("b", _bin(F.col("d2"))).groupBy(*keys, "b").agg(*_moments())
     w = Window.partitionBy(*keys)
     cum = binned.withColumn("before", F.sum("n").over(w.orderBy("b")) - F.col("n")).withColumn("all", F.sum("n").over(w))
-    inner = cum.where(F.col("before") < share * F.col("all"))
-    return inner.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _MOMENT_NAMES])
+    wanted = F.ceil(share * F.col("all")) - F.col("before")
+    inner = cum.withColumn("part", F.least(F.lit(1.0), wanted / F.col("n"))).where(wanted > 0)
+    # rounded to whole moments, so sums stay exact
+    return inner.groupBy(*keys).agg(*[F.sum(F.round(F.col(c) * F.col("part")).cast("long")).alias(c) for c in _MOMENT_NAMES])
 
 
 def fit(rows: DataFrame, scratch: Scratch, params: McdParams) -> DataFrame:
@@ -217,9 +224,13 @@ def fit(rows: DataFrame, scratch: Scratch, params: McdParams) -> DataFrame:
     plain = rows.groupBy("cell").agg(*_moments()).withColumn("start", F.lit(1))
     start = _median_start(rows, params.floors).unionByName(_estimate(plain, ["cell", "start"], 1.0, params.floors))
     est = spread(start, "start")
+    dets = lambda e: e.select("cell", "start", "logdet").distinct()
     for k in range(params.steps):
-        moments = _step(rows, est, ["cell", "start"], params.share, None)
+        before, moments = dets(est).withColumnRenamed("logdet", "was"), _step(rows, est, ["cell", "start"], params.share, None)
         est = spread(_estimate(moments, ["cell", "start"], share_factor, params.floors), f"step{k}")
+        moved = dets(est).join(before, ["cell", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if not (moved or 0.0) > params.settled:
+            break
     best = est.groupBy("lang", "source", "cell").agg(F.min_by(F.struct("start", *_PARAMS), F.struct("logdet", "start")).alias("e"))
     best = scratch.save(best.select("lang", "source", "cell", *[F.col(f"e.{c}").alias(c) for c in _PARAMS]), "best")
     inner = 0.975
