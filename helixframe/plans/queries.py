@@ -135,16 +135,33 @@ def _lists(pairs, kmers, p):
     return made
 
 
-def _merged_tiles(pairs, kmers, tile, p):
+def _leveled_tiles(pairs, kmers, tile, p):
+    """Candidate tiles of both strands by pair, each with the stage of the search that first has it.
+
+    Stage 0 has the k-mers as read, stage 1 the neighbours of the tail too, stage 2 those of
+    the head as well; on the other strand the tail makes the heads.
+    """
     lists = _lists(pairs, kmers, p)
 
-    def side(heads, tails):
+    def side(heads, tails, from_head, from_tail):
         h = lists[heads].select(F.col("head").alias("h0"), F.col("tail").alias("t0"), F.col("id").alias("head"), F.col("own").alias("own_h"))
         t = lists[tails].select(F.col("head").alias("h0"), F.col("tail").alias("t0"), F.col("id").alias("tail"), F.col("own").alias("own_t"))
         made = tiles.candidates(h, t, ["h0", "t0"], p.k, p.step)
-        return tiles.with_counts(made, tile, F.col("own_h") & F.col("own_t")).select("h0", "t0", "tile_id", "good_cnt")
+        stage = F.when(~F.col(from_head), 2).when(~F.col(from_tail), 1).otherwise(0)
+        return tiles.with_counts(made, tile, F.col("own_h") & F.col("own_t")).select("h0", "t0", "tile_id", "good_cnt", stage.alias("level"))
+
+    return side("heads", "tails", "own_h", "own_t"), side("rheads", "rtails", "own_t", "own_h")
+
+
+def _merged_tiles(pairs, kmers, tile, p):
+    return tiles.merge_strands(*_leveled_tiles(pairs, kmers, tile, p), ["h0", "t0"], p.tile)
 
-    return tiles.merge_strands(side("heads", "tails"), side("rheads", "rtails"), ["h0", "t0"], p.tile)
+
+def _staged_tiles(pairs, kmers, tile, p):
+    """The tiles that each stage (0 to 2) of the search has, counts of both strands added."""
+    stages = lambda df: df.withColumn("stage", F.explode(F.sequence("level", F.lit(2))))
+    forward, reverse = _leveled_tiles(pairs, kmers, tile, p)
+    return tiles.merge_strands(stages(forward), stages(reverse), ["h0", "t0", "stage"], p.tile)
 
 
 def strand_merged_tiles(spark, sf_dir):
@@ -164,6 +181,33 @@ def first_tile_decision(spark, sf_dir):
     return tiles.decide(each.select("read_id", "tile_id", "good_cnt", "quals", own.alias("is_own")), ["read_id"], PARAMS).na.fill(-1, ["chosen"])
 
 
+def first_tile_search(spark, sf_dir):
+    """The staged search on each read's first tile: the first stage that decides, and the tile it chooses.
+
+    Stage 3: no stage decided, and of the last one's tiles none is more frequent than the
+    tile as read. Stage -1, chosen -1: the tile stays unsettled.
+    """
+    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
+    first = _first_tiles(reads, PARAMS).withColumn("own", tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step))
+    staged = _staged_tiles(first.select("head", "tail").distinct(), kmers, tile, PARAMS)
+    each = first.join(staged, (first["head"] == staged["h0"]) & (first["tail"] == staged["t0"]))
+    each = each.select("read_id", "stage", "tile_id", "good_cnt", "quals", (F.col("tile_id") == F.col("own")).alias("is_own"))
+    decided = tiles.decide(each, ["read_id", "stage"], PARAMS).where("verdict <> 'rejected'")
+    decided = decided.groupBy("read_id").agg(F.min(F.struct("stage", "chosen")).alias("d"))
+    last = each.where("stage = 2").groupBy("read_id").agg(F.max("good_cnt").alias("most"), F.max(F.when(F.col("is_own"), F.col("good_cnt"))).alias("have"))
+    stands = last.where((F.col("have") >= PARAMS.min_count) & (F.col("most") <= F.col("have"))).select("read_id", F.lit(True).alias("stands"))
+    out = first.select("read_id", "own").join(decided, "read_id", "left").join(stands, "read_id", "left")
+    stage = F.coalesce("d.stage", F.when(F.col("stands"), 3), F.lit(-1))
+    return out.select("read_id", stage.alias("stage"), F.coalesce("d.chosen", F.when(F.col("stands"), F.col("own")), F.lit(-1)).alias("chosen"), "own")
+
+
+def first_tile_errors(spark, sf_dir):
+    """Corrections in first tiles by replacement and base: how many, in how many reads."""
+    found = first_tile_search(spark, sf_dir).where("stage >= 0 AND chosen <> own")
+    each = found.select("read_id", F.explode(codec.differences(F.col("chosen"), F.col("own"), PARAMS.tile)).alias("e"))
+    return each.groupBy("e.from", "e.to").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_id").alias("n_reads"))
+
+
 def tile_diffs(spark, sf_dir):
     """Differences of neighbouring tiles in the order of identifiers."""
     ranked = spectrum.ranked(tile_spectrum(spark, sf_dir), "tile_id").select("tile_id", "rank")
@@ -220,7 +264,7 @@ def error_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tile_spectrum, kmer_spectrum, tile_spectrum_noq, reads_derived, reads_valid_only, reads_renumbered, ambig_replaced, kmer_windows, tile_windows_q,
     pack_unpack, spectrum_ranked, absent_kmers, spectrum_summary, tile_histogram_both, unit_neighbors, valid_neighbors, hamming1_pairs, tile_lookup,
-    strand_merged_tiles, first_tile_decision, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
+    strand_merged_tiles, first_tile_decision, first_tile_search, first_tile_errors, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
 )}
 
 # SQL -------------------------------------------------------------------------------------
@@ -339,7 +383,49 @@ judged AS (
     WHEN n_cand = 1 THEN 'corrected' ELSE 'rejected' END AS verdict
   FROM firsts JOIN owns USING (read_id) LEFT JOIN cands USING (read_id))"""
 
+def _leveled_sql(name: str, heads: str, tails: str, first: str, second: str) -> str:
+    """Candidates of one strand with the stage that first has them; first and second: what marks stages 2 and 1."""
+    return f"""
+{name}_lc AS (
+  SELECT h.h0, h.t0, (h.id << {2 * _S}) | (t.id & {(1 << 2 * _S) - 1}) AS tile, h.own AND t.own AS own,
+         CASE WHEN NOT {first} THEN 2 WHEN NOT {second} THEN 1 ELSE 0 END AS level
+  FROM {heads} h JOIN {tails} t ON h.h0 = t.h0 AND h.t0 = t.t0 AND (h.id & {(1 << 2 * (_K - _S)) - 1}) = (t.id >> {2 * _S})),
+{name}_l AS (SELECT h0, t0, tile, level, CAST(coalesce(cnt, 0) AS BIGINT) AS n FROM {name}_lc LEFT JOIN ti ON tile = tile_id WHERE cnt IS NOT NULL OR own)"""
+
+
+_SEARCH = (
+    *_MERGED[:-3], _leveled_sql("fw", "lh", "lt", "h.own", "t.own"), _leveled_sql("rv", "rh", "rt", "t.own", "h.own"), f"""
+staged AS (
+  SELECT h0, t0, stage, tile AS tile_id, CAST(sum(n) AS BIGINT) AS good_cnt
+  FROM (SELECT h0, t0, tile, n, level FROM fw_l UNION ALL SELECT h0, t0, {_rc_sql("tile", _T)}, n, level FROM rv_l), (SELECT unnest([0, 1, 2]) AS stage)
+  WHERE level <= stage GROUP BY h0, t0, stage, tile),
+joined AS (SELECT read_id, stage, tile, tile_id, good_cnt, quals, tile = tile_id AS own FROM firsts JOIN staged ON tile >> {2 * _S} = h0 AND tile & {(1 << 2 * _K) - 1} = t0),
+owns AS (SELECT read_id, stage, max(good_cnt) FILTER (own) AS g0, max(good_cnt) AS most, count(*) AS n_tiles FROM joined GROUP BY read_id, stage),
+tested AS (
+  SELECT j.*, g0, good_cnt >= floor(g0 / {PARAMS.ratio}) AND len(list_filter(range(0, {_T}), lambda p: ((tile >> CAST(2 * p AS INT)) & 3) <> ((tile_id >> CAST(2 * p AS INT)) & 3)
+    AND ascii(substr(quals, CAST({_T} - p AS INT), 1)) < {PARAMS.low_quality})) > 0 AS alt
+  FROM joined j JOIN owns USING (read_id, stage) WHERE NOT own AND good_cnt >= {PARAMS.min_count}),
+cands AS (SELECT read_id, stage, count(*) AS n_cand, count(*) FILTER (alt) AS n_alt, max(tile_id) FILTER (alt) AS alt_tile, max(tile_id) AS cand_tile FROM tested GROUP BY read_id, stage),
+judged AS (
+  SELECT read_id, stage, tile, g0, most, CASE
+    WHEN g0 >= {PARAMS.trusted_count} THEN tile
+    WHEN n_tiles = 1 THEN CASE WHEN g0 >= {PARAMS.min_count} AND len(list_filter(range(1, {_T + 1}), lambda i: ascii(substr(quals, CAST(i AS INT), 1)) < {PARAMS.low_quality})) = 0 THEN tile END
+    WHEN g0 >= {PARAMS.min_count} THEN CASE coalesce(n_alt, 0) WHEN 0 THEN tile WHEN 1 THEN alt_tile END
+    WHEN n_cand = 1 THEN cand_tile END AS chosen
+  FROM firsts JOIN owns USING (read_id) LEFT JOIN cands USING (read_id, stage)),
+settled AS (SELECT read_id, min(stage) AS stage, arg_min(chosen, stage) AS chosen FROM judged WHERE chosen IS NOT NULL GROUP BY read_id),
+searched AS (
+  SELECT f.read_id, CAST(CASE WHEN s.stage IS NOT NULL THEN s.stage WHEN j.read_id IS NOT NULL THEN 3 ELSE -1 END AS INT) AS stage,
+         CASE WHEN s.stage IS NOT NULL THEN s.chosen WHEN j.read_id IS NOT NULL THEN f.tile ELSE -1 END AS chosen, f.tile AS own
+  FROM firsts f LEFT JOIN settled s ON f.read_id = s.read_id
+  LEFT JOIN (SELECT read_id FROM judged WHERE stage = 2 AND g0 >= {PARAMS.min_count} AND most <= g0) j ON f.read_id = j.read_id)""",
+)
+
 ORACLE = {
+    "first_tile_search": _with(*_SEARCH) + " SELECT read_id, stage, chosen, own FROM searched",
+    "first_tile_errors": _with(*_SEARCH, """
+      each AS (SELECT read_id, CAST((chosen >> CAST(2 * p AS INT)) & 3 AS INT) AS x, CAST((own >> CAST(2 * p AS INT)) & 3 AS INT) AS y FROM searched, (SELECT unnest(range(0, """ + str(_T) + """)) AS p) WHERE stage >= 0 AND chosen <> own)""")
+      + ' SELECT x AS "from", y AS "to", count(*) AS n, count(DISTINCT read_id) AS n_reads FROM each WHERE x <> y GROUP BY x, y',
     "strand_merged_tiles": _with(*_MERGED) + " SELECT h0, t0, tile_id, good_cnt FROM merged",
     "first_tile_decision": _with(*_MERGED, _DECISION) + f" SELECT read_id, verdict, CASE verdict WHEN 'rejected' THEN -1 WHEN 'corrected' THEN CASE WHEN g0 >= {PARAMS.min_count} THEN alt_tile ELSE cand_tile END ELSE tile END AS chosen FROM judged",
     "tile_spectrum": _with(_TILES2) + " SELECT tile_id, cnt FROM ti",
