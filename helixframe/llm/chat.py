@@ -13,7 +13,7 @@ so no control string can appear in them and each text can be read back exactly.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,12 +123,12 @@ def variant_shape(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), kinds, "")
 
 
-def _shape(mapping: Mapping) -> str:
-    """What variant_shape gives for a record of the mapping's layout (fields by name)."""
+def _shapes(mapping: Mapping) -> list[str]:
+    """What variant_shape gives for records of the mapping's layout (fields by name); lists may be empty."""
     if mapping.turns[0] == "list":
         _, path, role, text = mapping.turns
-        return f"OBJECT<{path}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
-    return f"OBJECT<{', '.join(sorted(mapping.paths))}>"
+        return [f"OBJECT<{path}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>", f"OBJECT<{path}: ARRAY<VOID>>"]
+    return [f"OBJECT<{', '.join(sorted(mapping.paths))}>"]
 
 
 def canonical_turns(records: DataFrame, column: str, mappings=MAPPINGS) -> DataFrame:
@@ -136,7 +136,8 @@ def canonical_turns(records: DataFrame, column: str, mappings=MAPPINGS) -> DataF
 
     ``column`` is a struct or a variant (see ``parse_json``). A layout that no mapping
     fits, or a null record, has a null layout and no turns; it is not dropped. Null roles
-    and texts are empty.
+    and texts are empty, an empty list of messages has no turns. Repeated records are rows
+    like others, other columns pass through, an empty table gives an empty result.
     """
     kind = records.schema[column].dataType
     record = F.col(column)
@@ -148,7 +149,7 @@ def canonical_turns(records: DataFrame, column: str, mappings=MAPPINGS) -> DataF
     shape = F.sha2(variant_shape(record), 256)
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for m in mappings:
-        same = F.col("fingerprint") == hashlib.sha256(_shape(m).encode()).hexdigest()
+        same = F.col("fingerprint").isin([hashlib.sha256(x.encode()).hexdigest() for x in _shapes(m)])
         layout = F.when(same, F.lit(m.name)).otherwise(layout)
         turns = F.when(same, _variant_turns(record, m)).otherwise(turns)
     return records.withColumn("fingerprint", shape).withColumns({"layout": layout, "turns": turns})
@@ -216,14 +217,48 @@ def nest(messages: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.struct(content.alias("messages")).alias("record"))
 
 
-def digest(records: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, all read back from the formatted text."""
-    turns = canonical_turns(records, "record").where(F.col("layout").isNotNull())
+#: Mappings for records whose role names are canonical but for those of the conversations layout.
+CANONICAL_ROLES = tuple(m if m.name == "conversations" else replace(m, renames=()) for m in MAPPINGS)
+
+
+def in_layouts(nested: DataFrame) -> DataFrame:
+    """The records of ``nest`` as variants in four layouts, dealt by the remainder of conv_id.
+
+    Remainder 1 has the conversations layout with its own role names, 2 the turns layout, 3
+    prompt and response. Conversations that a layout can't hold (roles but user, assistant
+    and system; not one question and one answer), remainder 0 and null conv_ids have
+    messages. A record must fit into a variant (128 MiB).
+    """
+    m = F.col("record.messages")
+    told = F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["content"].alias("value")))
+    turns = F.transform(m, lambda x: F.struct(x["role"], x["content"].alias("text")))
+    known = F.forall(m, lambda x: x["role"].isin("user", "assistant", "system"))
+    pair = (F.size(m) == 2) & (F.get(m, F.lit(0))["role"] == "user") & (F.get(m, F.lit(1))["role"] == "assistant")
+    asked = F.struct(F.get(m, F.lit(0))["content"].alias("prompt"), F.get(m, F.lit(1))["content"].alias("response"))
+    turn = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    record = (
+        F.when((turn == 1) & known, F.to_variant_object(F.struct(told.alias("conversations"))))
+        .when(turn == 2, F.to_variant_object(F.struct(turns.alias("turns"))))
+        .when((turn == 3) & pair, F.to_variant_object(asked))
+        .otherwise(F.to_variant_object(F.col("record")))
+    )
+    return nested.select("conv_id", record.alias("record"))
+
+
+def digest(records: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """Digests of formatted conversations (conv_id, record), all read back from the formatted text.
+
+    A record whose layout no mapping fits, null included, keeps its row with null digests.
+    Null and empty texts add nothing but their turn; texts of any length are read back whole.
+    Repeated records are rows like others, other columns are left out, an empty table gives
+    an empty result.
+    """
+    turns = canonical_turns(records, "record", mappings).withColumn("turns", F.when(F.col("layout").isNotNull(), F.col("turns")))
     made = turns.select("conv_id", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("spans"))
     back = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), F.array_join(masked_texts(F.col("formatted"), F.col("spans")), "").alias("loss"))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     long = lambda c: c.cast("long")
     return back.select(
-        "conv_id", long(F.size("back")).alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        "conv_id", long(F.when(F.col("back").isNotNull(), F.size("back"))).alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
         long(F.length("loss")).alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"), long(F.length("formatted")).alias("formatted_chars"),
     )

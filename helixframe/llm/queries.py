@@ -64,7 +64,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = lambda i, role: F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"))
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(turn(0, "user"), turn(1, "assistant"))).alias("t"))
     extra = extra.select("conv_id", "t.turn", "t.role", said.alias("text"))
-    return chat.digest(chat.nest(rows.unionByName(extra)))
+    return chat.digest(chat.in_layouts(chat.nest(rows.unionByName(extra))), chat.CANONICAL_ROLES)
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
