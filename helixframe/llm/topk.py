@@ -8,6 +8,11 @@ skipped. From COORDINATE_FROM on the bucket is pruned by coordinates: those in w
 largest confine the candidate's normalised coordinate to an interval. Below it is pruned by
 length: only vectors of length ``b / |q|`` or more remain. What remains is verified by
 exact integer products.
+
+A block of queries meets a block of candidates only if the longest of these can reach the
+bound of one query; that is decided on block numbers, before any vector moves. Every pair of
+blocks left moves the queries once, so candidate blocks are large and components are kept in
+the narrowest integers that hold them.
 """
 
 from __future__ import annotations
@@ -19,8 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Vectors of a candidate block, and of a query block.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors of a candidate block and of a query block at most, and components of a block.
+BLOCK, QUERY_BLOCK, VALUES = 32768, 1024, 1 << 21
+#: Candidates that are multiplied at a time, and parts that the list of block pairs is cut into.
+AT_ONCE, LISTS = 4096, 64
+#: Dimensions up to which each one's block of the longest vectors is broadcast (16 MB each at most).
+SMALL_DIMS = 8
 #: Local threshold from which coordinates prune, and how many coordinates.
 COORDINATE_FROM, FOCUS = 0.6, 4
 _PER_OCTAVE = 4
@@ -47,7 +56,9 @@ def _pack(t: pa.Table) -> pa.Table:
     size = np.sqrt((mat.astype(np.float64) ** 2).sum(1))
     order = np.lexsort((ids, -size))
     key = [t[c][0].as_py() for c in t.column_names[:3]]
-    out = {"dim": [key[0]], "bucket": [key[1]], "part": [key[2]], "ids": [ids[order].tobytes()], "mat": [mat[order].tobytes()], "longest": [float(size.max())]}
+    most = max(-int(mat.min(initial=0)) - 1, int(mat.max(initial=0)))
+    narrow = next(k for k in (np.int16, np.int32, np.int64) if most <= np.iinfo(k).max)
+    out = {"dim": [key[0]], "bucket": [key[1]], "part": [key[2]], "ids": [ids[order].tobytes()], "mat": [mat[order].astype(narrow).tobytes()], "longest": [float(size.max())]}
     return pa.table(out, schema=_BLOCK)
 
 
@@ -56,10 +67,18 @@ _BLOCK_DDL = "dim int, bucket int, part int, ids binary, mat binary, longest dou
 
 
 def blocks(vectors: DataFrame, rows: int, by_length: bool) -> DataFrame:
-    """Vectors (vec_id, v) packed in blocks of about ``rows`` of one dimension and length bucket."""
+    """Vectors (vec_id, v) packed in blocks of about ``rows`` of one dimension and length bucket.
+
+    Fewer rows where components are many, or where there would be fewer blocks than task
+    slots and rows enough to share out.
+    """
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
     bucket = F.floor(_PER_OCTAVE * F.log2(_length() + 1)).cast("int") if by_length else F.lit(0)
     keyed = vectors.withColumn("dim", F.size("v")).withColumn("bucket", bucket)
-    counts = keyed.groupBy(F.col("dim").alias("d"), F.col("bucket").alias("b")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("parts"))
+    counts = keyed.groupBy(F.col("dim").alias("d"), F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    fit = F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(F.lit(VALUES) / F.greatest("d", F.lit(1)))))
+    parts = F.greatest(F.ceil(F.col("n") / fit), F.least(F.lit(slots), F.ceil(F.col("n") / min(rows, 1024))))
+    counts = counts.select("d", "b", parts.cast("long").alias("parts"))
     # at most 4 * 64 length buckets a dimension: joined without dealing rows out by bucket
     dealt = keyed.join(F.broadcast(counts), (keyed["dim"] == counts["d"]) & (keyed["bucket"] == counts["b"]))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
@@ -67,8 +86,10 @@ def blocks(vectors: DataFrame, rows: int, by_length: bool) -> DataFrame:
     return dealt.groupBy("dim", "bucket", "part").applyInArrow(_pack, _BLOCK_DDL)
 
 
-def _matrix(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(n, -1) if data else np.zeros((n, 0), np.int64)
+def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
+    """A block's vectors; their bytes tell the width of a component."""
+    kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(data) // (n * dim)] if n and dim else np.int64
+    return np.frombuffer(data, kind).reshape(n, dim).astype(np.int64)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,15 +117,25 @@ def _best(ids, score, own, k):
         yield s[order], c[order]
 
 
+_BOUND_DDL = "q_dim int, q_part int, bound binary, need double"
+
+
 def _bounds(k):
+    """Each query's k-th best score in one block, and the least length that reaches one of these bounds."""
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 own = np.frombuffer(r["q_ids"], np.int64)
-                ids = np.frombuffer(r["ids"], np.int64)
-                score = _products(_matrix(r["q_mat"], len(own)), _matrix(r["mat"], len(ids)))
-                bound = [float(s[-1]) if len(s) == k else -np.inf for s, _ in _best(ids, score, own, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["q_dim"]], pa.int32()), pa.array([r["q_part"]], pa.int32()), pa.array([np.array(bound).tobytes()], pa.binary())], names=["q_dim", "q_part", "bound"])
+                ids, dim = np.frombuffer(r["ids"], np.int64), r["q_dim"]
+                q, p = _matrix(r["q_mat"], len(own), dim), _matrix(r["mat"], len(ids), dim)
+                bound = np.full(len(own), -np.inf)
+                for at in range(0, len(own), 128):  # a few queries against the whole block at a time
+                    part = slice(at, at + 128)
+                    bound[part] = [float(s[-1]) if len(s) == k else -np.inf for s, _ in _best(ids, _products(q[part], p), own[part], k)]
+                size = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+                need = np.where((bound > 0) & (size > 0), bound / np.maximum(size, 1e-300) * (1 - 1e-9), 0.0).min()
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([r["q_part"]], pa.int32()), pa.array([bound.tobytes()], pa.binary()), pa.array([float(need)])], names=["q_dim", "q_part", "bound", "need"])
 
     return run
 
@@ -113,11 +144,13 @@ def _search(k):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                own, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, p = _matrix(r["q_mat"], len(own)), _matrix(r["mat"], len(ids))
-                out = retrieve(own, q, np.frombuffer(r["bound"], np.float64), ids, p, k)
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
+                own, ids, dim = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64), r["q_dim"]
+                q, p = _matrix(r["q_mat"], len(own), dim), _matrix(r["mat"], len(ids), dim)
+                bound = np.frombuffer(r["bound"], np.float64)
+                for at in range(0, len(ids), AT_ONCE):
+                    out = retrieve(own, q, bound, ids[at:at + AT_ONCE], p[at:at + AT_ONCE], k)
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -177,13 +210,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = blocks(queries.where("vec_id is not null").select("vec_id", "v").distinct(), QUERY_BLOCK, False)
     asked = scratch.save(asked.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "part", "ids", "mat", "longest")]), "queries")
     top = cand.groupBy(F.col("dim").alias("t_dim")).agg(F.max(F.struct("bucket", "part")).alias("t"))
-    seeds = cand.join(top, (F.col("dim") == F.col("t_dim")) & (F.col("bucket") == F.col("t.bucket")) & (F.col("part") == F.col("t.part"))).drop("t", "t_dim")
-    first = asked.join(seeds, F.col("q_dim") == F.col("dim"))
-    bound = scratch.save(first.mapInArrow(_bounds(k), "q_dim int, q_part int, bound binary"), "bounds")
-    # block numbers only; blocks whose greatest lengths can't reach any bound are left out inside
-    pairs = asked.select("q_dim", "q_part").join(cand.select("dim", "bucket", "part"), F.col("q_dim") == F.col("dim")).drop("dim")
-    ready = asked.join(bound, ["q_dim", "q_part"])
+    top = scratch.save(top, "longest")
+    seeds = cand.join(F.broadcast(top), (F.col("dim") == F.col("t_dim")) & (F.col("bucket") == F.col("t.bucket")) & (F.col("part") == F.col("t.part"))).drop("t", "t_dim")
+    seeds = F.broadcast(seeds) if top.count() <= SMALL_DIMS else seeds
+    first = asked.join(seeds.select("dim", "ids", "mat"), F.col("q_dim") == F.col("dim")).repartition("q_dim", "q_part")
+    ready = asked.join(scratch.save(first.mapInArrow(_bounds(k), _BOUND_DDL), "bounds"), ["q_dim", "q_part"])
+    # block numbers and lengths only; a dimension's list of pairs is cut by the candidate block
+    number = F.pmod(F.xxhash64("bucket", "part"), F.lit(LISTS)).cast("int")
+    some = ready.select("q_dim", "q_part", "need", F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("list"))
+    other = cand.select(F.col("dim").alias("q_dim"), "bucket", "part", "longest", number.alias("list"))
+    pairs = some.join(other, ["q_dim", "list"]).where("longest >= need").select("q_dim", "q_part", "bucket", "part")
     both = pairs.join(ready, ["q_dim", "q_part"]).join(cand.withColumnRenamed("dim", "q_dim"), ["q_dim", "bucket", "part"])
-    found = both.select("q_ids", "q_mat", "bound", "ids", "mat").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = both.select("q_dim", "q_ids", "q_mat", "bound", "ids", "mat").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
