@@ -201,6 +201,30 @@ def test_round_trip_and_mask(spark):
     assert chat.digest(chat.nest(df.where("false"))).count() == 0
 
 
+def test_records_in_four_layouts(spark):
+    rng = random.Random(6)
+    rows = [(None, 0, "user", "x")]
+    for i in range(-8, 120):
+        roles = rng.choice([["user", "assistant"], ["system", "user", "assistant", "user"], ["human", "gpt"], ["bot"], [None, "user"]])
+        rows += [(i, t, role, rng.choice([None, "", "a <b> # \\", "z" * 3000, "é\n"])) for t, role in enumerate(roles)]
+    rows.append((3, 1, "assistant", "q" * 400_000))
+    nested = chat.nest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    mixed = chat.in_layouts(nested)
+    layouts = {r.layout for r in chat.canonical_turns(mixed, "record", chat.CANONICAL_ROLES).select("layout").distinct().collect()}
+    assert layouts == {"messages", "conversations", "turns", "prompt-response"}
+    got = sorted(map(str, chat.digest(mixed, chat.CANONICAL_ROLES).collect()))
+    assert got == sorted(map(str, chat.digest(nested, chat.CANONICAL_ROLES).collect()))
+    assert chat.digest(chat.in_layouts(nested.where("false")), chat.CANONICAL_ROLES).count() == 0
+
+
+def test_unknown_and_empty_layouts_keep_their_row(spark):
+    records = [{"messages": []}, {"messages": [{"role": "user", "content": "a", "name": "n"}]}, {"turns": [{"role": "user", "text": "a"}]}]
+    df = spark.createDataFrame([*((i, json.dumps(r)) for i, r in enumerate(records)), (9, None)], "conv_id long, j string").select("conv_id", F.parse_json("j").alias("record"))
+    got = {r.conv_id: r for r in chat.digest(df).collect()}
+    assert (got[0].n_turns, got[0].formatted_chars, got[2].n_turns) == (0, 0, 1)
+    assert all(got[i].n_turns is None and got[i].turns_sha256 is None for i in (1, 9))
+
+
 # WARC ------------------------------------------------------------------------------------
 def archive(n, rng):
     payloads = [(b"<p>%d</p>" % i) * rng.randint(0, 300) for i in range(n)]
