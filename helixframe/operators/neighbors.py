@@ -48,15 +48,8 @@ def one_mismatch(x: Column) -> Column:
 def hamming1_pairs(ids: DataFrame, column: str, k: int) -> DataFrame:
     """(a, b), a < b: identifiers of the spectrum one base apart.
 
-    Pairs one base apart agree in the whole left or the whole right half, so two
-    equi-joins on halves find all; each pair comes from one half only.
+    Each identifier asks for its larger neighbours, 3k at most, by an equi-join: linear in
+    the spectrum, however many identifiers share a half.
     """
-    right = k // 2
-    mask = F.lit((1 << (2 * right)) - 1).cast("long")
-    keyed = ids.select(F.col(column).alias("id")).select("id", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("id", 2 * right).alias("key")),
-        F.struct(F.lit(1).alias("side"), F.col("id").bitwiseAND(mask).alias("key")),
-    )).alias("h")).select("id", "h.side", "h.key")
-    a, b = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
-    both = a.join(b, ["side", "key"]).where("a < b")
-    return both.where(one_mismatch(F.col("a").bitwiseXOR(F.col("b")))).select("a", "b")
+    near = unit_neighbors(ids.select(F.col(column).alias("a")), "a", k).withColumnRenamed("neighbor", "b").where("a < b")
+    return near.join(ids.select(F.col(column).alias("b")), "b", "left_semi").select("a", "b")

@@ -103,8 +103,8 @@ def valid_neighbors(spark, sf_dir):
 
 
 def hamming1_pairs(spark, sf_dir):
-    kmers = spectrum.kmer_spectrum(derived_reads(spark, sf_dir), Params(k=6, step=2, min_count=100))
-    return neighbors.hamming1_pairs(kmers, "kmer_id", DENSE.k)
+    kmers = spectrum.kmer_spectrum(derived_reads(spark, sf_dir), Params(k=10, step=4, min_count=3))
+    return neighbors.hamming1_pairs(kmers, "kmer_id", PARAMS.k)
 
 
 def _first_tiles(reads, p):
@@ -447,7 +447,7 @@ ORACLE = {
     "tile_histogram_both": _histogram_sql(),
     "unit_neighbors": _with(_DENSE(1)) + _neighbors_sql(6, 2),
     "valid_neighbors": _with(_DENSE(100)) + f" SELECT * FROM ({_neighbors_sql(6, 0)}) WHERE neighbor <> 0 AND neighbor IN (SELECT kmer_id FROM km)",
-    "hamming1_pairs": _with(_DENSE(100)) + f" SELECT kmer_id AS a, neighbor AS b FROM ({_neighbors_sql(6, 0)}) WHERE kmer_id < neighbor AND neighbor IN (SELECT kmer_id FROM km)",
+    "hamming1_pairs": _with(_spectrum_sql("km", _K, False, 3, "kmer_id")) + f" SELECT kmer_id AS a, neighbor AS b FROM ({_neighbors_sql(_K, 0)}) WHERE kmer_id < neighbor AND neighbor IN (SELECT kmer_id FROM km)",
     "tile_lookup": _with(_KMERS, _TILES, f"""
       firsts AS (SELECT read_id, {_pack_sql("substr(bases, 1, " + str(_T) + ")", _T)} AS tile FROM reads WHERE length(bases) >= {_T} AND NOT regexp_matches(substr(bases, 1, {_T}), '[^ACGT]'))""") + f"""
       SELECT read_id, tile AS tile_id, CAST(coalesce(cnt, 0) AS BIGINT) AS good_cnt FROM firsts LEFT JOIN ti ON tile = tile_id

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import delta, neighbors, spectrum
-from helixframe.operators.windows import windows
+from helixframe.operators.windows import window_ids, windows
 from helixframe.params import Params
 
 READS = "read_id long, bases string, quals string"
@@ -100,3 +100,28 @@ def test_neighbors_and_pairs(spark):
     assert near == {(a, b) for a in ids for b in ids if b and apart(a, b) == 1}
     assert neighbors.unit_neighbors(kmers.select("kmer_id"), "kmer_id", 5, 5).count() == 0
     assert neighbors.missing(kmers.select(F.col("kmer_id").alias("x")), "x", kmers).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 16, 17, 31, 32])
+def test_windows_of_every_length(spark, length):
+    """Identifiers and the quality rule against slices of the strings, across the border of the decimal parts."""
+    rng = random.Random(length)
+    p = Params(k=10, step=4, quality_threshold=60, max_bad=length // 2)
+    rows = [(i, "".join(rng.choice("ACGTacgtACGTACGTACGTACGTACGTACGTACGTN" if i % 3 else "ACGT") for _ in range(rng.randint(0, 90)))) for i in range(40)]
+    rows = [(i, b, "".join(chr(rng.randint(33, 126)) for _ in b)) for i, b in rows] + [(90, None, None), (91, "ACGT" * 10, None), (92, "A1.-" * 10, "I" * 40)]
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string")
+
+    def want(quality):
+        out = []
+        for i, b, q in rows:
+            starts = [s for s in range(len(b or "") - length + 1) if set(b[s:s + length].upper()) <= set("ACGT")]
+            if q is None and quality or not any(s < len(b) - length for s in starts):
+                continue
+            for s in starts:
+                if not quality or sum(ord(c) < 60 for c in q[s:s + length]) <= p.max_bad:
+                    x = sum("ACGT".index(c) << 2 * (length - 1 - j) for j, c in enumerate(b[s:s + length].upper()))
+                    out.append((i, s, x - (1 << 64) if x >> 63 else x))
+        return sorted(out)
+
+    assert sorted(map(tuple, window_ids(reads, length).collect())) == want(False)
+    assert sorted(map(tuple, window_ids(reads, length, p).collect())) == want(True)
