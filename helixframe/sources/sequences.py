@@ -7,6 +7,9 @@ any size is read by as many tasks as it has splits, each line exactly once.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +31,26 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(sizes, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(read_id, bases, quals): four lines a record, trimmed; the id is the header's integer.
 
-    A record with an empty line ends its file: records from there on are left out, or an
-    error with strict. Headers that aren't integers give a null id.
+    A record with an empty line is an error; one of empty lines only, as at the end of a
+    file, is passed over. Without strict the first of either ends its file, and records from
+    there on are left out. Headers that aren't integers give a null id.
     """
     lines = numbered_lines(spark, path).withColumn("value", _strip(F.col("value")))
     at = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
     records = lines.groupBy("file", F.floor(F.col("line") / 4).alias("rec")).agg(
         at(0).alias("head"), at(1).alias("bases"), at(2).alias("plus"), at(3).alias("quals")
     )
-    blank = F.lit(False)
-    for c in ("head", "bases", "plus", "quals"):
-        blank = blank | (F.coalesce(F.col(c), F.lit("")) == "")
+    empty = [F.coalesce(F.col(c), F.lit("")) == "" for c in ("head", "bases", "plus", "quals")]
+    blank = reduce(or_, empty)
     if strict:
+        records = records.where(~reduce(and_, empty))
         records = records.withColumn("bases", F.when(blank, F.raise_error(F.concat(F.lit("blank line in record "), F.col("rec")))).otherwise(F.col("bases")))
     else:
         ends = records.where(blank).groupBy("file").agg(F.min("rec").alias("end"))
-        records = records.join(F.broadcast(ends), "file", "left").where(F.col("end").isNull() | (F.col("rec") < F.col("end")))
+        records = records.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("rec") < F.col("end")))
     ident = F.try_to_number(F.regexp_extract("head", r"^@?(\d{1,18})", 1), F.lit("999999999999999999")).cast("long")
     return records.select(ident.alias("read_id"), "bases", "quals")
 
