@@ -36,6 +36,11 @@ _DATE = "2024-01-01T00:00:00Z"
 RECORD_LIMIT = 9 << 30
 #: Bytes of a header block at most where none are inflated, above the longest URL's as well.
 HEADER_LIMIT = 7 << 30
+#: Compressed bytes that are inflated at once.
+_PIECE = 1 << 16
+#: Repeated payloads (a hash and a page_id each) that are broadcast at most; more are joined by salted keys.
+BROADCAST_ROWS = 500_000
+SALTS = 64
 
 
 def digest_of(payload: bytes) -> str:
@@ -138,15 +143,23 @@ def parse_record(data: bytes, at: int = 0, header_limit: int | None = None) -> t
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """One gzip member at ``at``: its content and end; CRC and size are checked."""
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:], RECORD_LIMIT)
-    except zlib.error as e:
-        return f"bad member: {str(e)[:60]}"
+    """One gzip member at ``at``: its content and end; CRC and size are checked.
+
+    Goes on piece by piece, so that what follows the member is never copied.
+    """
+    d, view, out, size = zlib.decompressobj(31), memoryview(data), [], 0
+    while at < len(data) and not d.eof:
+        try:
+            out.append(d.decompress(view[at:at + _PIECE]))
+        except zlib.error as e:
+            return f"bad member: {str(e)[:60]}"
+        at = min(at + _PIECE, len(data))
+        size += len(out[-1])
+        if size > RECORD_LIMIT:
+            return "member too large"
     if not d.eof:
-        return "member without end" if len(out) < RECORD_LIMIT else "member too large"
-    return out, len(data) - len(d.unused_data)
+        return "member without end"
+    return b"".join(out), at - len(d.unused_data)
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
@@ -212,13 +225,14 @@ def _write(folder: str, limit: int):
         files.create_dir(top, recursive=True)
         out, name, size, count = None, "", 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                for r in b.slice(at, 256).to_pylist():
+            for at in range(0, b.num_rows, 32):
+                for r in b.slice(at, 32).to_pylist():
                     payload = (r["html"] or "").encode()
                     if out is None:
                         name, size, count = f"{top}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = files.open_output_stream(name, compression=None)
-                    data = member(build_record(r["page_id"], r["url"], payload, r["digest"], r["refers_to"]))
+                    digest = base64.b32encode(r["sha"]).decode()
+                    data = member(build_record(r["page_id"], r["url"], payload, digest, r["refers_to"]))
                     out.write(data)
                     size += len(data)
                     count += 1
@@ -238,28 +252,36 @@ def _manifest(folder, name, size, count):
     return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["path", "bytes", "records"])
 
 
-def with_references(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): SHA-1 of the payload, and for all but the
-    largest page_id of equal payloads that page_id."""
+def with_references(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(page_id, url, html, sha, refers_to): SHA-1 of the payload, and for all but the
+    largest page_id of equal payloads that page_id.
+
+    Only hashes are grouped. Repeated ones are counted, then broadcast, so that payloads stay
+    where they are read; above BROADCAST_ROWS of them the rows of a payload are dealt out by
+    salts before they are joined.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     first = rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    out = rows.join(first, "sha", "left")
+    first = scratch.save(first, "repeated")
+    if first.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(first), "sha", "left")
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        out = salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["sha", "salt"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return out.select("page_id", "url", "html", "sha", refers.alias("refers_to"))
 
 
-def _digests(batches):
-    for b in batches:
-        sha = b.column(b.schema.get_field_index("sha")).to_pylist()
-        cols = [pa.array([base64.b32encode(x).decode() for x in sha]) if f.name == "sha" else b.column(i) for i, f in enumerate(b.schema)]
-        yield pa.RecordBatch.from_arrays(cols, names=["digest" if f.name == "sha" else f.name for f in b.schema])
-
-
 def write(pages: DataFrame, scratch: Scratch, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the archives and returns their manifest (path, bytes, records)."""
+    """Writes the archives and returns their manifest (path, bytes, records).
+
+    Null urls and htmls are empty, null page_ids are left out of the headers, repeated rows are
+    records of their own, texts of any length are written whole. An empty table gives no
+    archive; other columns are not looked at.
+    """
     folder = f"{scratch.root}/archives-{uuid.uuid4().hex}"
-    rows = with_references(pages).mapInArrow(_digests, "page_id long, url string, html string, digest string, refers_to long")
+    rows = with_references(pages, scratch)
     return scratch.save(rows.mapInArrow(_write(folder, archive_bytes), "path string, bytes long, records long"), "manifest")
 
 

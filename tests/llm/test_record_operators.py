@@ -263,7 +263,9 @@ def test_salvage_of_damaged_archives():
     assert list(warc.read_archive(b"")) == [] and [type(x) for x in warc.read_archive(b"nothing here")] == [warc.Gap]
 
 
-def test_written_archives_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_written_archives_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
     rng = random.Random(2)
     rows = [(i, f"http://h/{i}", rng.choice(["same", "", None, f"own {i}", "é" * 50])) for i in range(200)] + [(None, None, "same"), (None, "u", "only null"), (5, "x", "same"), (199, "http://dup", None), (1000, "u\r\nv", "z" * 3_000_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).repartition(3)
