@@ -1,10 +1,11 @@
 """Packing into optimal length buckets.
 
 The histogram of token lengths over all documents is one aggregation. Dynamic programming
-over it picks the bucket boundaries that need the least padding; lengths up to EXACT are
-told apart one by one, longer ones in steps of 1/256, so the histogram has a bounded size
-whatever the corpus. In each bucket documents form batches of at most the token budget,
-padding counted; a document longer than the budget is a batch of its own.
+over it picks the bucket boundaries that need the least padding. Every length has its own
+place: d distinct lengths need d * d / 2 tokens at least, so 2e13 tokens have 6.4 million
+places of 16 bytes at most, and far fewer in texts that people write. In each bucket
+documents form batches of at most the token budget, padding counted; a document longer than
+the budget is a batch of its own.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from .common import Scratch
 from .mixing import token_count
 from .numbering import running_totals
 
-#: Lengths that have a place of their own in the histogram; 256 places an octave beyond.
-EXACT = 4096
-
 
 @dataclass(frozen=True)
 class PackParams:
@@ -30,43 +28,37 @@ class PackParams:
     seed: int = 11
 
 
-def cell(length: Column) -> Column:
-    """Histogram place of a length, in the order of lengths."""
-    octave = F.floor(F.log2(length.cast("double") / EXACT))
-    step = F.pow(F.lit(2.0), octave) * (EXACT / 256)
-    far = EXACT + 256 * octave + F.floor((length - EXACT * F.pow(F.lit(2.0), octave)) / step)
-    return F.when(length < EXACT, length).otherwise(far).cast("long")
-
-
-def boundaries(tops, counts, sums, buckets: int) -> list[int]:
+def boundaries(tops, counts, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least padding.
 
-    tops, counts, sums: greatest length, documents and tokens of each histogram place in
-    ascending order. A bucket pads to the top of its last place. The cost of a bucket meets
-    the quadrangle inequality, so each layer is found by divide and conquer.
+    tops, counts: distinct lengths in ascending order and their documents. A bucket pads to
+    its greatest length. The cost of a bucket meets the quadrangle inequality, so the best
+    starts of a layer ascend: each level of halving finds the middle places of all its
+    ranges in one pass over at most twice as many candidates as there are lengths.
     """
     m = len(tops)
     if not m:
         return []
     top = np.asarray(tops, np.float64)
     n = np.concatenate(([0], np.cumsum(np.asarray(counts, np.float64))))
-    best = top * n[1:]  # one bucket for places 0..j; sums are constant and left out
-    choice = [np.zeros(m, np.int64)]
+    best = top * n[1:]  # one bucket for places 0..j; tokens are constant and left out
+    choice = [np.zeros(m, np.int32)]
     for _ in range(1, min(buckets, m)):
-        new, pick = np.empty(m), np.zeros(m, np.int64)
-        stack = [(0, m - 1, 0, m - 1)]
-        while stack:
-            lo, hi, a, b = stack.pop()
-            if lo > hi:
-                continue
+        before, new, pick = np.concatenate(([0.0], best)), np.empty(m), np.zeros(m, np.int32)
+        lo, hi, a, b = (np.array([x]) for x in (0, m - 1, 0, m - 1))
+        while lo.size:
             mid = (lo + hi) // 2
             # the last bucket starts at place i, a <= i <= min(mid, b); i = 0: one bucket
-            i = np.arange(a, min(mid, b) + 1)
-            cost = np.where(i > 0, best[i - 1], 0.0) + top[mid] * (n[mid + 1] - n[i])
-            k = int(cost.argmin())
-            new[mid], pick[mid] = cost[k], a + k
-            stack.append((lo, mid - 1, a, a + k))
-            stack.append((mid + 1, hi, a + k, b))
+            sizes = np.minimum(mid, b) - a + 1
+            begin = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) + np.repeat(a - begin, sizes)
+            cost = before[i] + np.repeat(top[mid], sizes) * (np.repeat(n[mid + 1], sizes) - n[i])
+            least = np.minimum.reduceat(cost, begin)
+            at = np.flatnonzero(cost == np.repeat(least, sizes))
+            k = i[at[np.searchsorted(at, begin)]]
+            new[mid], pick[mid] = least, k
+            left, right = lo < mid, mid < hi
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (a[left], k[right]), (k[left], b[right])))
         best = new
         choice.append(pick)
     out, j = [], m - 1
@@ -89,9 +81,8 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), length: Column | No
     size = token_count(F.col("text")) if length is None else length.cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), size.alias("n_tokens"))
     rows = scratch.save(rows.groupBy("doc_id", "th", "n_tokens").agg(F.count(F.lit(1)).alias("copies")), "lengths")
-    hist = rows.groupBy(cell(F.col("n_tokens")).alias("c")).agg(F.max("n_tokens").alias("top"), F.sum("copies").alias("n"), F.sum(F.col("n_tokens") * F.col("copies")).alias("s"))
-    places = sorted(tuple(r) for r in hist.collect())  # at most EXACT + 256 for each octave of length
-    bounds = boundaries([p[1] for p in places], [p[2] for p in places], [p[3] for p in places], params.buckets)
+    hist = rows.groupBy("n_tokens").agg(F.sum("copies").alias("n")).orderBy("n_tokens").toArrow()
+    bounds = boundaries(hist["n_tokens"].to_numpy(), hist["n"].to_numpy(), params.buckets)
     known = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     bucket = F.size(F.filter(known, lambda b: b < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket).withColumn("boundary", F.get(known, F.col("bucket")))

@@ -310,17 +310,37 @@ def test_boundaries_are_optimal():
     for _ in range(150):
         m = rng.randint(1, 9)
         tops, counts, k = sorted(rng.sample(range(0, 60), m)), [rng.randint(1, 9) for _ in range(m)], rng.randint(1, 4)
-        got = packing.boundaries(tops, counts, None, k)
+        got = packing.boundaries(tops, counts, k)
         cost = lambda bs: sum(c * min(b for b in bs if b >= t) for t, c in zip(tops, counts))
         best = min(cost([*s, tops[-1]]) for r in range(min(k, m)) for s in itertools.combinations(tops[:-1], r))
         assert len(got) <= k and cost(got) == best
-    assert packing.boundaries([], [], [], 4) == []
-
-
-def test_cells_keep_the_order(spark):
-    rows = [0, 1, 4095, 4096, 4111, 4112, 8191, 8192, 10**6, 10**7]
-    got = [r.c for r in spark.createDataFrame([(x,) for x in rows], "n long").select("n", packing.cell(F.col("n")).alias("c")).orderBy("n").collect()]
-    assert got[:4] == rows[:4] and got == sorted(got) and got[4] == 4096 and got[5] == 4097 and got[7] == 4352
+    assert packing.boundaries([], [], 4) == []
+
+
+def test_boundaries_of_long_lengths(spark):
+    # neighbours far above 4096 that a coarser histogram would take for one
+    lengths = [3] * 4 + [100_000] * 50 + [100_001] * 40 + [100_002] * 3 + [900_001] * 2 + [900_007] * 9
+    hist = sorted(Counter(lengths).items())
+    tops, counts = [t for t, _ in hist], [n for _, n in hist]
+    cost = lambda bs: sum(c * min(b for b in bs if b >= t) for t, c in hist)
+    for k in (1, 2, 3, 4, 6):
+        best = min(cost([*s, tops[-1]]) for s in itertools.combinations(tops[:-1], k - 1))
+        assert cost(packing.boundaries(tops, counts, k)) == best
+    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(lengths)], "doc_id long, text string, n long")
+    got = packing.pack(df, packing.PackParams(buckets=4), F.col("n")).collect()
+    assert {r.boundary for r in got} == set(packing.boundaries(tops, counts, 4)) and len(got) == len(lengths)
+
+
+def test_boundaries_of_many_lengths():
+    rng = random.Random(8)
+    tops = sorted(rng.sample(range(10**6), 300))
+    counts = [rng.randint(1, 1000) for _ in tops]
+    n = np.concatenate(([0], np.cumsum(counts)))
+    best = [tops[j] * int(n[j + 1]) for j in range(300)]
+    for _ in range(6):  # plain dynamic programming over all starts
+        best = [min(best[j], min((best[i - 1] + tops[j] * int(n[j + 1] - n[i]) for i in range(1, j + 1)), default=best[j])) for j in range(300)]
+    bs = packing.boundaries(tops, counts, 7)
+    assert len(bs) <= 7 and sum(c * min(b for b in bs if b >= t) for t, c in zip(tops, counts)) == best[-1]
 
 
 def test_packing(spark):
@@ -332,7 +352,7 @@ def test_packing(spark):
     assert sorted(str((r.doc_id, r.n_tokens)) for r in got) == sorted(str((r[0], n)) for r, n in zip(rows, lengths))
     hist = Counter(lengths)
     tops = sorted(hist)
-    want = packing.boundaries(tops, [hist[t] for t in tops], None, 5)
+    want = packing.boundaries(tops, [hist[t] for t in tops], 5)
     for r in got:
         assert r.boundary == min(b for b in want if b >= r.n_tokens) and r.padding == r.boundary - r.n_tokens and want[r.bucket] == r.boundary
     batches = defaultdict(list)
