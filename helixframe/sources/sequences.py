@@ -20,9 +20,9 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): line numbers from 0 in each file."""
-    lines = spark.read.text(path).select(
+def numbered_lines(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
+    """(file, line, value): line numbers from 0 in each file; ``ends`` separates lines, or any line end."""
+    lines = spark.read.text(path, lineSep=ends).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")
     )
     sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
@@ -57,19 +57,21 @@ def read_fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, header, seq): ``>`` starts a record, ``;`` lines are comments, sequences
-    may span lines. Lines before the first header are left out."""
-    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", "")).where(~F.startswith("value", F.lit(";")))
-    head = F.startswith("value", F.lit(">"))
-    marked = lines.withColumn("is_head", head)
-    # records are numbered by line of their header: the greatest header line so far
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("rec", F.max(F.when(F.col("is_head"), F.col("line"))).over(w)).where("rec is not null")
-    parts = placed.groupBy("file", "rec").agg(
-        F.max(F.when(F.col("is_head"), F.substring("value", 2, 1 << 30))).alias("header"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_head"), F.struct("line", "value")))).alias("p"),
-    )
-    seq = F.array_join(F.transform("p", lambda x: x["value"]), "")
-    return parts.select("file", "rec", "header", seq.alias("seq")).withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("rec")) - 1).select("file", "ord", "header", "seq")
+    may span lines. Text before the first header is left out.
+
+    A line feed before ``>`` separates records for the text reader, so a file is cut into
+    records by as many tasks as it has splits, and only a record must fit into a row.
+    """
+    records = numbered_lines(spark, path, "\n>")
+    headed = F.startswith("value", F.lit(">"))
+    first = F.col("line") == 0
+    # a file that begins with other text has one piece too many
+    late = records.where(first & ~headed).select("file", F.lit(1).alias("late"))
+    lines = F.split(F.when(first, F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value")), "\r\n|\r|\n")
+    body = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: ~F.startswith(x, F.lit(";")))
+    kept = records.where(~first | headed).select("file", "line", lines.alias("lines")).join(late, "file", "left")
+    ord_ = F.col("line") - F.coalesce("late", F.lit(0))
+    return kept.select("file", ord_.alias("ord"), F.get("lines", F.lit(0)).alias("header"), F.array_join(body, "").alias("seq"))
 
 
 def join_quality(fasta: DataFrame, quality: DataFrame) -> DataFrame:

@@ -23,26 +23,48 @@ def read_spectrum(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Records of one slice of a binary file.
+SLICE = 1 << 20
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    files, inner = fs.FileSystem.from_uri(uri)
+    return files.open_input_file(inner)
+
+
 def _decode(fields, name):
     kind = np.dtype(fields)
 
     def run(batches):
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = np.frombuffer(data, kind, len(data) // kind.itemsize)
-                for at in range(0, len(rows), 1 << 20):
-                    part = rows[at:at + (1 << 20)]
-                    ids = part["id"].astype(np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part["cnt"].astype(np.int32))], names=[name, "cnt"])
+            for path, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                with _open(path) as f:
+                    f.seek(at * kind.itemsize)
+                    rows = np.frombuffer(f.read(n * kind.itemsize), kind)
+                if len(rows) != n:
+                    raise ValueError(f"{path} is shorter than it was")
+                ids = rows["id"].astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows["cnt"].astype(np.int32))], names=[name, "cnt"])
 
     return run
 
 
 def read_binary_spectrum(spark: SparkSession, path: str, tiles: bool) -> DataFrame:
-    """(id, cnt) from files in the binary layout; each file is read by one task."""
+    """(id, cnt) from files of any size in the binary layout, read in slices by many tasks.
+
+    Only names and lengths are listed; bytes after the last whole record are left out.
+    """
     name, fields = ("tile_id", TILE_RECORD) if tiles else ("kmer_id", KMER_RECORD)
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_decode(fields, name), f"{name} long, cnt int")
+    width = np.dtype(fields).itemsize
+    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / width).alias("n")).where("n > 0")
+    slices = files.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))).alias("at"))
+    slices = slices.select("path", "at", F.least(F.col("n") - F.col("at"), F.lit(SLICE)).alias("n"))
+    parts = slices.count()
+    return slices.repartition(max(1, parts), "path", "at").mapInArrow(_decode(fields, name), f"{name} long, cnt int")
 
 
 def encode_binary_spectrum(spectrum: DataFrame, tiles: bool) -> DataFrame:

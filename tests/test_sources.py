@@ -61,6 +61,36 @@ def test_fasta_and_quality(spark, tmp_path):
     assert back.seq == "A" * 170 and sequences.fasta_lines(wide).first().value == ">h\n" + "A" * 79 + "\n" + "A" * 79 + "\n" + "A" * 12
 
 
+def test_fasta_in_many_splits(spark, tmp_path):
+    want = [(i, f"h{i} >x", "ACGT" * (i % 9) + "T" * (i % 4)) for i in range(300)]
+    for name, lead in (("a.fa", ""), ("b.fa", ";top\n\n")):
+        with open(tmp_path / name, "w") as f:
+            f.write(lead + "".join(f">{h}\n{s[:7]}\n;c\n{s[7:]}\n" for _, h, s in want))
+    (tmp_path / "c.fa").write_text("")
+    (tmp_path / "d.fa").write_text("no records\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        found = sequences.read_fasta(spark, str(tmp_path / "*.fa"))
+        assert sequences.numbered_lines(spark, str(tmp_path / "a.fa")).select(F.spark_partition_id()).distinct().count() > 3
+        rows = [(r.file[-4:], r.ord, r.header, r.seq) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(rows) == sorted((n, *w) for n in ("a.fa", "b.fa") for w in want)
+
+
+def test_binary_spectrum_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SLICE", 7)
+    kmers = spark.range(50).select(F.col("id").alias("kmer_id"), (F.col("id") % 200 + 1).cast("int").alias("cnt"))
+    for name, lo, hi in (("a", 0, 29), ("b", 29, 50)):
+        data = b"".join(bytes(r.content) for r in tables.encode_binary_spectrum(kmers.where(f"kmer_id >= {lo} and kmer_id < {hi}"), False).collect())
+        (tmp_path / f"{name}.bin").write_bytes(data + b"\0" * (3 if name == "b" else 0))
+    (tmp_path / "c.bin").write_bytes(b"")
+    back = tables.read_binary_spectrum(spark, str(tmp_path / "*.bin"), False)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, kmers.collect()))
+    assert back.rdd.getNumPartitions() == 8
+
+
 def test_binary_and_text_layouts(spark, tmp_path):
     kmers = spark.createDataFrame([(5, 1), (2**32 - 1, 255)], "kmer_id long, cnt int")
     data = b"".join(bytes(r.content) for r in tables.encode_binary_spectrum(kmers, False).collect())
