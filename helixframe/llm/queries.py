@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, sharding, tokens, topk, urls, warc
+from . import audit, chat, jaccard, mixing, packing, quality, sharding, simhash, tokens, topk, urls, vcodes, warc
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -71,7 +71,19 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_hierarchical_mix, op3_rendezvous_shards, op4_length_buckets, op5_ngram_jaccard, op6_bpe_counts, op7_topk_search, op8_url_filter, op9_chat_format, op10_warc_round_trip)}
+def op11_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mcd_quality, op2_hierarchical_mix, op3_rendezvous_shards, op4_length_buckets, op5_ngram_jaccard, op6_bpe_counts, op7_topk_search, op8_url_filter, op9_chat_format, op10_warc_round_trip, op11_simhash_pivots, op12_filter_audit, op13_vector_codes)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
@@ -152,4 +164,64 @@ SELECT page_id, n AS payload_bytes,
 FROM bits
 """
 
-ORACLE = {"op5_ngram_jaccard": _JACCARD_SQL, "op10_warc_round_trip": _WARC_SQL, "op7_topk_search": _TOPK_SQL, "op9_chat_format": _CHAT_SQL}
+_AUDIT_SQL = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), judged AS (
+  SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM base
+), flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM judged LEFT JOIN flags USING (doc_id)
+), kinds AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM docs GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [v.i, w.i, x.i, y.i, z.i] AS o FROM letters v, letters w, letters x, letters y, letters z
+  WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5
+), steps AS (SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i AS INT), 1)), '') AS filter_order, CAST(i AS INT) AS step FROM orders, letters),
+placed AS (
+  SELECT part, filter_order, step, o[step] AS f, fails, n, good, toxic,
+         list_position(list_transform(o, lambda i: fails[i]), true) AS leaves
+  FROM kinds, steps
+), summed AS (
+  SELECT part, filter_order, step, any_value(f) AS f, sum(CASE WHEN leaves IS NULL OR leaves > step THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN leaves = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails[f] AND leaves < step THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN leaves = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN leaves = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM placed GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """All rounds one after another, every distance computed."""
+    ctes = [f"""
+rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+parts AS MATERIALIZED (SELECT r, i, list_slice(v, CAST(i * (len(v) // {parts}) + 1 AS INT), CAST((i + 1) * (len(v) // {parts}) AS INT)) AS x FROM rows, (SELECT unnest(range(0, {parts})) AS i))""", f"""
+b0 AS MATERIALIZED (SELECT i, e, x AS c FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM rows QUALIFY e < {entries}) USING (r))"""]
+    near = lambda book: f"SELECT r, p.i, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT), e := e)) AS m FROM parts p JOIN {book} b ON p.i = b.i GROUP BY r, p.i"
+    for n in range(rounds):
+        ctes.append(f"""
+a{n} AS MATERIALIZED ({near(f'b{n}')}),
+u{n} AS (SELECT i, m.e AS e, unnest(x) AS y, unnest(range(0, len(x))) AS pos FROM parts JOIN a{n} USING (r, i)),
+m{n} AS (SELECT i, e, list(y ORDER BY pos) AS c FROM (SELECT i, e, pos, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM u{n} GROUP BY i, e, pos) GROUP BY i, e),
+b{n + 1} AS MATERIALIZED (SELECT o.i, o.e, coalesce(m.c, o.c) AS c FROM b{n} o LEFT JOIN m{n} m ON o.i = m.i AND o.e = m.e)""")
+    return "WITH " + ",".join(ctes) + f""",
+last AS MATERIALIZED ({near(f'b{rounds}')}),
+coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY i) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM last GROUP BY r),
+hash AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY i, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM rows JOIN coded USING (r), hash
+"""
+
+
+ORACLE = {"op12_filter_audit": _AUDIT_SQL, "op13_vector_codes": _codes_sql(), "op5_ngram_jaccard": _JACCARD_SQL, "op10_warc_round_trip": _WARC_SQL, "op7_topk_search": _TOPK_SQL, "op9_chat_format": _CHAT_SQL}
