@@ -92,15 +92,30 @@ def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(n, dim).astype(np.int64)
 
 
+#: Ends of 64 bits: scores beyond them are held at these.
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows; by floating point where that is exact."""
-    length = lambda m: float(np.sqrt((m.astype(np.float64) ** 2).sum(1)).max(initial=0))
-    top = length(a) * length(b) * (1 + 1e-9)  # bounds every partial sum
+    """Exact integer products of all rows; by floating point where that is exact.
+
+    Pairs whose lengths could lead out of 64 bits are multiplied in Python's integers; products
+    that do lead out are held at the ends.
+    """
+    length = lambda m: np.sqrt((m.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+    la, lb = length(a), length(b)
+    top = la.max(initial=0) * lb.max(initial=0)  # bounds every partial sum
     if top < 2.0**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if top < 2.0**63:
-        return a @ b.T
-    raise OverflowError("inner products beyond 64 bits")
+    out = a @ b.T
+    if top >= 2.0**63:
+        rows = np.flatnonzero(la * lb.max() >= 2.0**63)
+        cols = np.flatnonzero(lb * la.max() >= 2.0**63)
+        for i in rows.tolist():
+            near = cols[la[i] * lb[cols] >= 2.0**63]
+            exact = b[near].astype(object) @ a[i].astype(object)
+            out[i, near] = [min(max(x, _LOW), _HIGH) for x in exact.tolist()]
+    return out
 
 
 def _best(ids, score, own, k):
@@ -203,7 +218,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``vectors`` and ``queries`` hold vec_id and v, an array of integers without nulls.
     Only vectors of the query's dimension are compared; a query's own vec_id is left out.
     Ties go to the smaller vec_id; a query with fewer candidates gets them all. Repeated
-    rows are candidates each. Null identifiers take no part.
+    rows are candidates each. Null identifiers take no part. Components may have any size
+    that 64 bits hold; only a score among the results that reaches their ends is an error.
+    An empty table gives an empty result; other columns are left out, whatever their names.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     cand = scratch.save(blocks(vectors.where("vec_id is not null").select("vec_id", "v"), BLOCK, True), "candidates")
@@ -223,4 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     both = pairs.join(ready, ["q_dim", "q_part"]).join(cand.withColumnRenamed("dim", "q_dim"), ["q_dim", "bucket", "part"])
     found = both.select("q_dim", "q_ids", "q_mat", "bound", "ids", "mat").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    beyond = (F.col("score") >= _HIGH) | (F.col("score") <= _LOW)
+    score = F.when(beyond, F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
