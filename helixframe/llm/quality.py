@@ -82,8 +82,8 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, some).otherwise(F.lit(0))
 
 
-def base_stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source) and the counts of each text; a null text has none, hence fails.
+def base_stats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source), the columns ``carry`` and the counts of each text; a null text has none, hence fails.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows.
     """
@@ -93,9 +93,9 @@ def base_stats(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " " + _SPACES, "")) > 0)
     counts = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("rep")))
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    out = docs.select("doc_id", "lang", "source", counts.alias("w"), line_counts.alias("l"), F.length(solid).alias("c"), (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).alias("s"))
+    out = docs.select(*carry, "doc_id", "lang", "source", counts.alias("w"), line_counts.alias("l"), F.length(solid).alias("c"), (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).alias("s"))
     long = lambda c, name: F.col(c).cast("long").alias(name)
-    out = out.select("doc_id", "lang", "source", long("w.n", "n_words"), long("c", "word_chars"), long("s", "n_symbols"), long("l.dup", "n_dup_lines"), long("w.rep", "n_repeat_words"), long("l.n", "n_lines"))
+    out = out.select(*carry, "doc_id", "lang", "source", long("w.n", "n_words"), long("c", "word_chars"), long("s", "n_symbols"), long("l.dup", "n_dup_lines"), long("w.rep", "n_repeat_words"), long("l.n", "n_lines"))
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -267,19 +267,15 @@ def assess(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
 def keep_good(docs: DataFrame, params: McdParams = McdParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, with all columns.
 
-    Verdicts are computed beside each row from its own text and the estimates of its cell,
-    so no row is matched by identifier and no text is shuffled.
+    Rows are saved with their counts beside them, so texts are counted once, no row is
+    matched by identifier and no text is shuffled. Null and empty texts fail the base
+    rules and go; repeated rows and rows of one doc_id are rows like others; columns of any
+    name pass through; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(vectors(base_stats(docs)), "stats")
-    est = fit(stats.where(~F.col("base_failed")), scratch, params)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    carried = docs.select(row.alias("__hf_row"), "doc_id", "lang", "source", "text")
-    inner = base_stats_of(carried)
-    return judge(vectors(inner), est, params).where("kept").select("__hf_row.*")
-
-
-def base_stats_of(docs: DataFrame) -> DataFrame:
-    """base_stats with the column __hf_row passed through."""
-    plain = base_stats(docs.withColumn("doc_id", F.col("__hf_row")))
-    return plain.withColumnRenamed("doc_id", "__hf_row")
+    names = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()], *[F.col(c).alias(c) for c in ("doc_id", "lang", "source", "text")])
+    counted = scratch.save(vectors(base_stats(carried, tuple(names))), "counted", "zstd")
+    est = fit(counted.where(~F.col("base_failed")).select("lang", "source", *_Q), scratch, params)
+    kept = judge(counted, est, params).where("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in names.items()])
