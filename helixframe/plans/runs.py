@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import correct, spectrum
 from ..params import Params
-from ..sources import sequences, tables
+from ..sources import fastq, tables
 
 
 def spectra(reads: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def run(spark: SparkSession, params: Params, reads: DataFrame | None = None) ->
     Corrections are returned, and written as text if ``output_prefix`` is set.
     """
     params.check()
-    reads = sequences.read_fastq(spark, params.input_path) if reads is None else reads
+    reads = fastq.read_fastq_splits(spark, params.input_path) if reads is None else reads
     kmers, tiles = stored_spectra(spark, params) if params.run_type == 2 else spectra(reads, params)
     if params.run_type == 1 or params.write_spectrum and params.run_type == 0:
         tables.write_spectrum(kmers, params.kmer_out, "kmer_id")

@@ -27,7 +27,8 @@ def read_spectrum(spark: SparkSession, path: str) -> DataFrame:
 SLICE = 1 << 20
 
 
-def _open(uri: str):
+def open_file(uri: str):
+    """A file of any file system that Arrow knows, for reading at any place."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
@@ -42,7 +43,7 @@ def _decode(fields, name):
     def run(batches):
         for b in batches:
             for path, at, n in zip(*(c.to_pylist() for c in b.columns)):
-                with _open(path) as f:
+                with open_file(path) as f:
                     f.seek(at * kind.itemsize)
                     rows = np.frombuffer(f.read(n * kind.itemsize), kind)
                 if len(rows) != n:
