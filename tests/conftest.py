@@ -9,12 +9,15 @@ SMALL = os.environ.get("HELIXFRAME_TESTDATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    folder = tmp_path_factory.mktemp("spark")
+
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", f"file://{folder}/warehouse").config("spark.checkpoint.dir", f"file://{folder}/shared").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
