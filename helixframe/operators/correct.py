@@ -2,9 +2,9 @@
 
 Reads never meet each other here, so they stay where they are: no shuffle, one pass with
 Arrow batches. All reads of a batch take their next step together, so a step is a few
-array operations and two searches in the spectra, whatever the number of reads. The
-spectra go to every worker: up to BROADCAST_ROWS rows as sorted arrays in a broadcast,
-larger ones are written once to the shared folder as sorted shards that workers map.
+array operations and two searches in the spectra, whatever the number of reads. Spectra of
+up to BROADCAST_ROWS rows go to every worker as sorted arrays in a broadcast. Larger ones
+stay where they are and the questions go to them: see ``routed``.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of both spectra together up to which they are broadcast: 9 bytes a row in each worker.
 BROADCAST_ROWS = 4_000_000
-#: Reads that take their steps together, and bytes of fetched shards that a worker keeps.
-TOGETHER, KEPT_BYTES = 4096, 512 << 20
+#: Reads that take their steps together.
+TOGETHER = 4096
 
 ERRORS = "array<struct<pos:int,from:int,to:int,qual:int>>"
 _U = np.uint64
@@ -45,11 +46,17 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Settler:
-    """Decides many tiles at once. ``known``: k-mers to booleans; ``count``: tiles to counts, -1 if absent."""
+    """Decides many tiles at once.
 
-    def __init__(self, params, known, count):
+    ``lookup.known``: k-mers to booleans; ``lookup.count``: tiles to counts, -1 if absent; both are
+    also told for which of the tiles to be decided each question is. A lookup that can't answer yet marks those in
+    ``lookup.held``: they are left undecided, and nothing that is returned for them counts.
+    """
+
+    def __init__(self, params, lookup):
         p = self.p = params
-        self.known, self.count = known, count
+        self.lookup = lookup
+        self.of = np.zeros(0, np.int64)  # of each row at work, its place among the tiles to be decided
         self.step_bits = _U(2 * p.step)
         self.tile_mask = _U((1 << 2 * p.step) - 1)
         self.kmer_mask = _U((1 << 2 * p.k) - 1)
@@ -59,7 +66,7 @@ class Settler:
 
     # a list of k-mers for each row is (row, id, own): own is the k-mer as read, if known
     def _start(self, ids):
-        row = np.flatnonzero(self.known(ids))
+        row = np.flatnonzero(self.lookup.known(ids, self.of))
         return row, ids[row], np.ones(len(row), bool)
 
     def _widen(self, lists, rows, lowest):
@@ -72,7 +79,7 @@ class Settler:
         near = x[:, None] ^ self.flips
         ok = self.flip_at >= lowest[r][:, None]
         r, near = np.broadcast_to(r[:, None], near.shape)[ok], near[ok]
-        hit = self.known(near) & (near != 0)
+        hit = self.lookup.known(near, self.of[r]) & (near != 0)
         r, near = r[hit], near[hit]
         order = np.lexsort((near, r))
         r, near = r[order], near[order]
@@ -96,7 +103,7 @@ class Settler:
         i = np.repeat(np.arange(len(h)), n)
         j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
         tile, own = h[i] << self.step_bits | t[j] & self.tile_mask, ho[i] & to[j]
-        count = self.count(tile)
+        count = self.lookup.count(tile, self.of[hr[i]])
         keep = (count >= 0) | own
         return hr[i][keep], tile[keep], np.maximum(count[keep], 0), own[keep]
 
@@ -126,6 +133,8 @@ class Settler:
         """
         p, size = self.p, len(tile)
         settled, chosen = np.zeros(size, bool), tile.copy()
+        self.lookup.begin(size)
+        self.of = np.arange(size)
         head, tail = tile >> self.step_bits, tile & self.kmer_mask
         lists = [self._start(x) for x in (head, tail, _reverse(tail, p.k), _reverse(head, p.k))]
         back, low_now = np.arange(size), low
@@ -134,9 +143,11 @@ class Settler:
         while len(back):
             m = len(back)
             ok, to, stands = self._decide(self._both(lists, m), tile[back], low_now)
-            tails = ~ok & (done[1] < reach[1])
-            heads = ~ok & ~tails & (done[0] < reach[0])
-            last = ~ok & ~tails & ~heads
+            held = self.lookup.held[back]
+            ok &= ~held
+            tails = ~ok & ~held & (done[1] < reach[1])
+            heads = ~ok & ~held & ~tails & (done[0] < reach[0])
+            last = ~ok & ~held & ~tails & ~heads
             ok |= last & stands  # nothing settled it: the tile stands if no other is more frequent
             settled[back[ok]], chosen[back[ok]] = True, to[ok]
             for i in (1, 2):
@@ -149,6 +160,7 @@ class Settler:
             place = np.cumsum(go) - 1
             lists = [(place[r[go[r]]], x[go[r]], o[go[r]]) for r, x, o in lists]
             back, low_now = back[go], low_now[go]
+            self.of = back
             reach, lowest, done = ([x[go] for x in v] for v in (reach, lowest, done))
         return settled, chosen
 
@@ -181,62 +193,86 @@ class Settler:
         return pairs | pairs << _U(1)
 
 
+class Walk:
+    """Reads on their way, all at their own place. Codes (4 where ambiguous) are changed in place.
+
+    ``found`` has (read, pos, from, to, qual) of the errors so far, in the order in which they were found.
+    """
+
+    STATE = ("codes", "quals", "length", "alive", "pos", "last", "turn", "crawling", "reach", "lowest", "found")
+
+    def __init__(self, params, codes: np.ndarray, quals: np.ndarray, length: np.ndarray):
+        p, size = params, len(codes)
+        self.p, self.codes, self.quals, self.length = p, codes, quals, length
+        self.pos, self.last, self.turn = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
+        self.crawling, self.alive = np.zeros(size, bool), length >= p.tile
+        self.reach = np.full((2, size), p.max_distance)
+        self.lowest = np.stack((np.zeros(size, np.int64), np.full(size, p.k - p.step)))
+        self.found = np.zeros((5, 0), np.int64)
+
+    def run(self, settler: Settler) -> None:
+        """Takes all living reads to their ends, or as far as the lookup has answers."""
+        p, tile = self.p, self.p.tile
+        codes, quals, length, pos, last, turn, crawling, reach, lowest = self.codes, self.quals, self.length, self.pos, self.last, self.turn, self.crawling, self.reach, self.lowest
+        places = np.arange(tile)
+        shifts = (2 * (tile - 1 - places)).astype(_U)
+        live = np.flatnonzero(self.alive)
+        found = [self.found]
+        while len(live):
+            at = pos[live, None] + places
+            part = codes[live[:, None], at]
+            clean = (part < 4).all(1)
+            self.alive[live[~clean]] = False
+            live, at, part = live[clean], at[clean], part[clean]
+            q = quals[live[:, None], at]
+            mine = np.bitwise_or.reduce(part.astype(_U) << shifts, axis=1) if len(live) else np.zeros(0, _U)
+            low = np.bitwise_or.reduce(np.where(q < p.low_quality, _U(3), _U(0)) << shifts, axis=1) if len(live) else mine
+            ok, to = settler.settle(mine, [x[live] for x in reach], [x[live] for x in lowest], low)
+            go = ~settler.lookup.held
+            live, at, part, q, mine, ok, to = (x[go] for x in (live, at, part, q, mine, ok, to))
+            changed = np.flatnonzero(ok & (to != mine))
+            if len(changed):
+                base = (to[changed, None] >> shifts & _U(3)).astype(np.uint8)
+                r, c = np.nonzero((base != part[changed])[:, ::-1])  # right to left
+                c = tile - 1 - c
+                i = changed[r]
+                found.append(np.stack((live[i], at[i, c], base[r, c], part[i, c], q[i, c])))
+                codes[live[i], at[i, c]] = base[r, c]
+            n = length[live]
+            start = pos[live]
+            over = ok & (start + tile == n)
+            last[live[ok]] = start[ok]
+            free = ok & ~over & ~crawling[live]
+            r, s = live[free], start[free]
+            whole = s + p.step <= n[free] - tile
+            lowest[0][r], lowest[1][r] = p.k, np.where(whole, 0, s + tile + p.step - n[free])
+            reach[0][r], reach[1][r] = 0, p.max_distance
+            pos[r] = np.where(whole, s + p.step, n[free] - tile)
+            begin = live[~ok & ~crawling[live]]
+            crawling[begin], turn[begin] = True, pos[begin]
+            crawl = crawling[live] & ~over
+            stop = crawl & ((last[live] == -1) | (pos[live] == last[live] + 1))
+            r = live[crawl & ~stop]
+            pos[r] = last[r] + 1
+            crawling[r] = pos[r] != turn[r]
+            reach[0][r], reach[1][r], lowest[0][r], lowest[1][r] = 0, 1, p.k, p.k - 3
+            settler.lookup.ahead(self, live[changed], begin)
+            self.alive[live[over | stop]] = False
+            live = live[~over & ~stop]
+            fits = pos[live] + tile <= length[live]
+            self.alive[live[~fits]] = False
+            live = live[fits]
+        self.found = np.concatenate(found, axis=1)
+
+
 def walk(settler: Settler, codes: np.ndarray, quals: np.ndarray, length: np.ndarray):
     """(read, pos, from, to, qual) of all errors, by read in the order in which they are found.
 
     codes: reads by positions, 4 where ambiguous; changed in place.
     """
-    p, tile = settler.p, settler.p.tile
-    places = np.arange(tile)
-    shifts = (2 * (tile - 1 - places)).astype(_U)
-    size = len(codes)
-    pos, last, turn = np.zeros(size, np.int64), np.full(size, -1), np.full(size, -1)
-    crawling = np.zeros(size, bool)
-    reach = [np.full(size, p.max_distance), np.full(size, p.max_distance)]
-    lowest = [np.zeros(size, np.int64), np.full(size, p.k - p.step)]
-    live = np.flatnonzero(length >= tile)
-    found = []
-    while len(live):
-        at = pos[live, None] + places
-        part = codes[live[:, None], at]
-        clean = (part < 4).all(1)
-        live, at, part = live[clean], at[clean], part[clean]
-        q = quals[live[:, None], at]
-        mine = np.bitwise_or.reduce(part.astype(_U) << shifts, axis=1) if len(live) else np.zeros(0, _U)
-        low = np.bitwise_or.reduce(np.where(q < p.low_quality, _U(3), _U(0)) << shifts, axis=1) if len(live) else mine
-        ok, to = settler.settle(mine, [x[live] for x in reach], [x[live] for x in lowest], low)
-        changed = np.flatnonzero(ok & (to != mine))
-        if len(changed):
-            base = (to[changed, None] >> shifts & _U(3)).astype(np.uint8)
-            r, c = np.nonzero((base != part[changed])[:, ::-1])  # right to left
-            c = tile - 1 - c
-            i = changed[r]
-            found.append(np.stack((live[i], at[i, c], base[r, c], part[i, c], q[i, c])))
-            codes[live[i], at[i, c]] = base[r, c]
-        n = length[live]
-        start = pos[live]
-        over = ok & (start + tile == n)
-        last[live[ok]] = start[ok]
-        free = ok & ~over & ~crawling[live]
-        r, s = live[free], start[free]
-        whole = s + p.step <= n[free] - tile
-        lowest[0][r], lowest[1][r] = p.k, np.where(whole, 0, s + tile + p.step - n[free])
-        reach[0][r], reach[1][r] = 0, p.max_distance
-        pos[r] = np.where(whole, s + p.step, n[free] - tile)
-        begin = live[~ok & ~crawling[live]]
-        crawling[begin], turn[begin] = True, pos[begin]
-        crawl = crawling[live] & ~over
-        stop = crawl & ((last[live] == -1) | (pos[live] == last[live] + 1))
-        r = live[crawl & ~stop]
-        pos[r] = last[r] + 1
-        crawling[r] = pos[r] != turn[r]
-        reach[0][r], reach[1][r], lowest[0][r], lowest[1][r] = 0, 1, p.k, p.k - 3
-        live = live[~over & ~stop]
-        live = live[pos[live] + tile <= length[live]]
-    if not found:
-        return np.zeros((5, 0), np.int64)
-    found = np.concatenate(found, axis=1)
-    return found[:, np.argsort(found[0], kind="stable")]
+    w = Walk(settler.p, codes, quals, length)
+    w.run(settler)
+    return w.found[:, np.argsort(w.found[0], kind="stable")]
 
 
 # lookups ---------------------------------------------------------------------------------
@@ -248,99 +284,25 @@ def _search(ids, x):
     return np.where(ids[at] == x, at, -1)
 
 
-class _Arrays:
-    """Spectra as sorted arrays."""
+class Arrays:
+    """Spectra as sorted arrays: every question is answered at once."""
 
     def __init__(self, kmers, tiles, counts):
         self.kmers, self.tiles, self.counts = kmers, tiles, counts
+        self.held = np.zeros(0, bool)
+
+    def begin(self, size):
+        self.held = np.zeros(size, bool)
 
-    def known(self, x):
-        return _search(self.kmers, x.ravel()).reshape(x.shape) >= 0
+    def known(self, x, rows=None):
+        return _search(self.kmers, x) >= 0
 
-    def count(self, x):
+    def count(self, x, rows=None):
         at = _search(self.tiles, x)
         return np.where(at >= 0, self.counts[at].astype(np.int64), -1) if len(self.counts) else at
 
-
-class _Shards:
-    """Spectra in sorted shard files: first identifiers tell the shard, one search a shard the rows."""
-
-    def __init__(self, index):
-        self.index, self.open = index, {}
-
-    def _shard(self, path):
-        if path not in self.open:
-            if path.startswith("/"):
-                self.open[path] = np.load(path, mmap_mode="r")  # pages are shared by all workers of a host
-            else:
-                rows = _fetch(path)
-                while self.open and sum(x.nbytes for x in self.open.values()) + rows.nbytes > KEPT_BYTES:
-                    self.open.pop(next(iter(self.open)))
-                self.open[path] = rows
-        return self.open[path]
-
-    def _find(self, which, x):
-        firsts, paths = self.index[which]
-        out = np.full(len(x), -1, np.int64)
-        order = np.argsort(x)
-        cuts = np.searchsorted(x[order], firsts)
-        for i, path in enumerate(paths):
-            mine = order[cuts[i]:cuts[i + 1] if i + 1 < len(paths) else len(x)]
-            if len(mine):
-                rows = self._shard(path)
-                at = _search(rows["id"], x[mine])
-                out[mine] = np.where(at >= 0, rows["cnt"][at], -1)
-        return out
-
-    def known(self, x):
-        return self._find("kmer_id", x.ravel()).reshape(x.shape) >= 0
-
-    def count(self, x):
-        return self._find("tile_id", x)
-
-
-def _fetch(path):
-    import io
-
-    from pyarrow import fs
-
-    files, inner = fs.FileSystem.from_uri(path)
-    with files.open_input_stream(inner) as f:
-        return np.load(io.BytesIO(f.read()))
-
-
-def _write_shards(spectrum: DataFrame, name: str, folder: str) -> tuple:
-    """Sorted shards in the shared folder; returns their first identifiers and paths."""
-    from pyarrow import fs
-
-    local = folder.removeprefix("file://") if folder.startswith("file:") else None
-
-    def run(batches):
-        import io
-
-        ids, cnt = [], []
-        for b in batches:
-            ids.append(b.column(0).to_numpy(zero_copy_only=False).view(_U))
-            cnt.append(b.column(1).to_numpy(zero_copy_only=False))
-        if not sum(map(len, ids)):
-            return
-        rows = np.zeros(sum(map(len, ids)), [("id", "<u8"), ("cnt", "<i4")])
-        rows["id"], rows["cnt"] = np.concatenate(ids), np.concatenate(cnt)
-        path = f"{local or folder}/{name}-{uuid.uuid4().hex}.npy"
-        files, inner = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(path)
-        files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        data = io.BytesIO()
-        np.save(data, rows)
-        with files.open_output_stream(inner) as f:
-            f.write(data.getbuffer())
-        yield pa.RecordBatch.from_arrays([pa.array([int(rows["id"][0].view(np.int64))]), pa.array([path])], names=["first", "path"])
-
-    # at 32 bases the sign bit belongs to the identifier
-    keyed = spectrum.withColumn("__o", F.col(name).bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    rows = keyed.repartitionByRange("__o").sortWithinPartitions("__o").select(name, "cnt").mapInArrow(run, "first long, path string").collect()
-    firsts = np.array([r.first for r in rows], np.int64).view(_U)  # one row a shard
-    order = np.argsort(firsts)
-    return firsts[order], [rows[i].path for i in order]
+    def ahead(self, walk, changed, crawling):
+        """Nothing to be asked in advance."""
 
 
 def _worker_lookup(key, make):
@@ -378,6 +340,51 @@ def _walk_batch(settler, ids, bases, quals):
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), errors)], names=["read_id", "errs"])
 
 
+class Corrector:
+    """Both spectra made ready once, for any number of read tables.
+
+    Up to ``broadcast_rows`` rows are broadcast; larger spectra are stored in buckets, and reads are corrected
+    in supersteps. Either way the spectra are computed once, and tables that the caller keeps
+    persisted stay so. ``shared``: folder for the tables of supersteps, by default
+    ``spark.checkpoint.dir``. ``close`` frees what was made.
+    """
+
+    def __init__(self, kmers: DataFrame, tiles: DataFrame, params, broadcast_rows: int = BROADCAST_ROWS, shared: str | None = None):
+        self.params, self.key, self.routed = params, uuid.uuid4().hex, None
+        spark = kmers.sparkSession
+        own = [df.persist() for df in (kmers, tiles) if df.storageLevel == StorageLevel.NONE]
+        try:
+            if kmers.count() + tiles.count() <= broadcast_rows:
+                self.sent = spark.sparkContext.broadcast(_arrays(kmers, tiles))
+            else:
+                from .routed import Routed
+
+                self.routed = Routed(kmers, tiles, params, shared)
+        finally:
+            for df in own:
+                df.unpersist()
+
+    def correct(self, reads: DataFrame) -> DataFrame:
+        """(read_id, errs) of every read, errs empty where nothing is corrected."""
+        if self.routed:
+            return self.routed.correct(reads)
+        params, key, sent = self.params, self.key, self.sent
+
+        def run(batches):
+            settler = Settler(params, _worker_lookup(key, lambda: Arrays(*sent.value)))
+            for b in batches:
+                for at in range(0, b.num_rows, TOGETHER):
+                    yield _walk_batch(settler, *(b.column(i).slice(at, TOGETHER) for i in range(3)))
+
+        return reads.select("read_id", "bases", "quals").mapInArrow(run, f"read_id long, errs {ERRORS}")
+
+    def close(self) -> None:
+        if self.routed:
+            self.routed.close()
+        else:
+            self.sent.destroy()
+
+
 def correct(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, broadcast_rows: int = BROADCAST_ROWS, shared: str | None = None) -> DataFrame:
     """(read_id, errs) of every read, errs empty where nothing is corrected.
 
@@ -385,28 +392,11 @@ def correct(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, broadc
     null read, or one shorter than a tile, has no errors. The result does not depend on
     how reads are split or ordered. Both spectra are computed once.
     """
-    spark, key = reads.sparkSession, uuid.uuid4().hex
-    kmers, tiles = kmers.persist(), tiles.persist()
-    try:
-        if kmers.count() + tiles.count() <= broadcast_rows:
-            sent = spark.sparkContext.broadcast(_arrays(kmers, tiles))
-            make = lambda: _Arrays(*sent.value)
-        else:
-            folder = f"{shared or spark.conf.get('spark.checkpoint.dir')}/spectra-{key}"
-            sent = spark.sparkContext.broadcast({n: _write_shards(df, n, folder) for n, df in (("kmer_id", kmers), ("tile_id", tiles))})
-            make = lambda: _Shards(sent.value)
-    finally:
-        kmers.unpersist()
-        tiles.unpersist()
-
-    def run(batches):
-        lookup = _worker_lookup(key, make)
-        settler = Settler(params, lookup.known, lookup.count)
-        for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                yield _walk_batch(settler, *(b.column(i).slice(at, TOGETHER) for i in range(3)))
-
-    return reads.select("read_id", "bases", "quals").mapInArrow(run, f"read_id long, errs {ERRORS}")
+    ready = Corrector(kmers, tiles, params, broadcast_rows, shared)
+    out = ready.correct(reads)
+    if ready.routed:
+        ready.close()  # its result lies in the shared folder
+    return out
 
 
 def apply_errors(bases: Column, errs: Column) -> Column:

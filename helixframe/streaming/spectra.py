@@ -11,10 +11,16 @@ from ..operators.windows import window_ids
 
 
 def fastq_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """(read_id, bases, quals) of files that arrive in a folder; a file is one row, so files should be moderate."""
+    """(read_id, bases, quals) of files that arrive in a folder; a file is one row, so files should be moderate.
+
+    A record that is cut off at the end of its file is an error.
+    """
     files = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path, wholetext=True)
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", "")))
-    placed = files.select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 4) / 4).cast("int"))).alias("i")).where("size(l) >= 4")
+    # lines after the last whole record
+    rest = F.filter(F.slice("l", F.floor(F.size("l") / 4).cast("int") * 4 + 1, 4), lambda x: x != "")
+    whole = F.when(F.size(rest) > 0, F.raise_error(F.lit("a record is cut off")).cast("array<string>")).otherwise(F.col("l"))
+    placed = files.select(lines.alias("l")).select(whole.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 4) / 4).cast("int"))).alias("i")).where("size(l) >= 4")
     at = lambda k: F.get("l", F.col("i") * 4 + k)
     ident = F.regexp_extract(at(0), r"^@?(\d{1,18})", 1)
     return placed.select(F.when(ident != "", ident).cast("long").alias("read_id"), at(1).alias("bases"), at(3).alias("quals")).where("length(bases) > 0")
@@ -36,11 +42,18 @@ def spectrum_by_time(reads: DataFrame, time: str, window: str, late: str, length
     return ids.groupBy(F.col("__w").alias("window"), "id").agg(F.least(F.count(F.lit(1)), F.lit(SATURATED)).cast("int").alias("cnt"))
 
 
-def correct_stream(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, path: str, checkpoint: str):
-    """Starts a query that appends the corrections of each batch of reads to Parquet files."""
+def correct_stream(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params, path: str, checkpoint: str, shared: str | None = None):
+    """Starts a query that writes the corrections of each batch of reads under ``path``, each batch once.
+
+    Both spectra are made ready before the first batch and serve all of them; no later
+    batch computes anything on them. A batch has a folder of its own, named by its number, and
+    overwrites it: a batch that is replayed after a failure leaves no second copy. Reading
+    ``path`` gives read_id, errs and batch.
+    """
+    ready = correct.Corrector(kmers, tiles, params, shared=shared)
 
     def batch(df: DataFrame, number: int) -> None:
-        found = correct.correct(df, kmers, tiles, params).where(F.size("errs") > 0)
-        found.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        found = ready.correct(df).where(F.size("errs") > 0)
+        found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

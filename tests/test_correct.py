@@ -181,3 +181,49 @@ def test_apply_and_odd_reads(spark):
     assert out[12].upper() == TEMPLATE and out[12][20] == "g" and out[13] is None and out[14] == "ACG"
     assert fixed.where(F.col("errs").isNull()).count() == 0
     assert correct.correct(reads.where("false"), spectrum.kmer_spectrum(reads, P), spectrum.tile_spectrum(reads, P), P).count() == 0
+
+
+def test_supersteps_give_the_same_errors_and_end(spark, tmp_path):
+    """Reads in small blocks against stored spectra, for one and two substitutions; the report tells the work."""
+    from helixframe.operators.routed import Routed
+
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(300))
+    rows = []
+    for i in range(160):
+        at, n = rng.randint(0, 240), rng.randint(3, 60)
+        b = "".join(rng.choice("ACGTN") if rng.random() < 0.04 else c for c in genome[at:at + n])
+        rows.append((i, b, "".join(chr(rng.choice([35, 48, 60, 73, 73])) for _ in b)))
+    rows += [(None, rows[0][1], rows[0][2]), (7, rows[7][1], rows[7][2]), (900, None, None), (901, "ACGT", None), (902, "ACG", "II")]
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string").repartition(3)
+    key = lambda r: (str(r[0]), r[1])
+    for p in (Params(k=6, step=3, max_distance=1, min_count=2, quality_threshold=50, max_bad=2, low_quality=65), Params(k=6, step=2, max_distance=2, min_count=2, quality_threshold=50, max_bad=2, low_quality=65)):
+        kmers, tiles = spectrum.kmer_spectrum(reads, p), spectrum.tile_spectrum(reads, p)
+        errors = lambda df: sorted(((r.read_id, [tuple(e) for e in r.errs]) for r in df.collect()), key=key)
+        want = errors(correct.correct(reads, kmers, tiles, p))
+        ready = Routed(kmers, tiles, p, "file://" + str(tmp_path), buckets=3)
+        try:
+            for block in (1000, 7):
+                assert errors(ready.correct(reads, block)) == want
+                assert 1 < len(ready.report) < 400
+                left = [r["reads"] for r in ready.report]
+                assert left == sorted(left, reverse=True) and left[0] <= len(rows)
+                assert all(r["asked_kmers"] + r["asked_tiles"] > 0 and r["key_bytes"] > 0 for r in ready.report)
+            assert ready.correct(reads.where("false")).count() == 0
+            # a later step moves questions and blocks, the spectra stay in their buckets
+            plan = ready.stored["kmer_id"].lookup(spark.range(9).withColumnRenamed("id", "x"), "x")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") <= 1 and "Bucketed: true" in plan
+        finally:
+            ready.close()
+    assert any(e for _, e in want)
+
+
+def test_tables_that_the_caller_keeps_stay_kept(spark):
+    reads = spark.createDataFrame(template_rows(20, "#"), "read_id long, bases string, quals string")
+    kmers, tiles = spectrum.kmer_spectrum(reads, P).persist(), spectrum.tile_spectrum(reads, P).persist()
+    ready = correct.Corrector(kmers, tiles, P)
+    assert kmers.is_cached and kmers.storageLevel.useMemory and tiles.storageLevel.useMemory
+    assert ready.correct(reads).where("size(errs) > 0").count() == 1
+    assert ready.correct(reads.where("read_id < 5")).where("size(errs) > 0").count() == 0
+    kmers.unpersist()
+    tiles.unpersist()
