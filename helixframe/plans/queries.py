@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import metrics
 from ..functions import codec
-from ..operators import correct, delta, neighbors, prep, spectrum, tiles, windows
+from ..operators import correct, delta, neighbors, prep, search, spectrum, tiles, windows
 from ..params import Params
-from . import runs
 from .reads import LETTERS, READ_LENGTH, ROOM, STANDS_FOR, derived_reads
 
 PARAMS = Params(k=10, step=4)
 #: Short words: nearly all occur, so the complement and saturation come into play.
 DENSE = Params(k=6, step=2)
+#: Words of medium length, for restart counts: some hundred steps of one byte.
+MIDDLE = Params(k=8, step=2)
+#: Two rounds of neighbours, rarer words left out.
+TWO = Params(k=10, step=4, max_distance=2, min_count=2)
 #: Items of a node in the delta-code estimate, and blocks of the block assignment.
 NODE, BLOCKS = 16, 7
 
 
-def _spectra(spark, sf_dir, p=PARAMS, often=False):
-    """Reads and both spectra, persisted if the query reads them often."""
+def _spectra(spark, sf_dir, p=PARAMS):
     reads = derived_reads(spark, sf_dir)
-    if often:
-        return reads, *runs.spectra(reads, p)
     return reads, spectrum.kmer_spectrum(reads, p), spectrum.tile_spectrum(reads, p)
 
 
@@ -107,78 +107,41 @@ def hamming1_pairs(spark, sf_dir):
     return neighbors.hamming1_pairs(kmers, "kmer_id", PARAMS.k)
 
 
-def _first_tiles(reads, p):
-    """(read_id, head, tail, quals) of the first tile of reads that begin with clean bases."""
-    first = reads.where(F.length("bases") >= p.tile).select("read_id", F.substring("bases", 1, p.tile).alias("b"), F.substring("quals", 1, p.tile).alias("quals"))
-    clean = first.where(F.translate("b", codec.BASES, "") == "")
-    tile = codec.pack(F.col("b"), p.tile)
-    return clean.select("read_id", codec.head_of(tile, p.step).alias("head"), codec.tail_of(tile, p.k).alias("tail"), "quals")
+def hamming2_pairs(spark, sf_dir):
+    """Tiles of the spectrum that differ in one or two bases."""
+    often = spectrum.tile_spectrum(derived_reads(spark, sf_dir), Params(k=10, step=4, min_count=2))
+    return neighbors.hamming_pairs(often, "tile_id", PARAMS.tile, 2)
 
 
 def tile_lookup(spark, sf_dir):
     """First tile of each read: both k-mers known, and the tile's count, 0 if it has none."""
-    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
-    first = _first_tiles(reads, PARAMS)
-    known = neighbors.present(neighbors.present(first, "head", kmers), "tail", kmers)
-    keyed = known.select("read_id", tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step).alias("tile_id"))
+    reads, kmers, tile = _spectra(spark, sf_dir)
+    known = neighbors.present(neighbors.present(search.first_tiles(reads, PARAMS), "h0", kmers), "t0", kmers)
+    keyed = known.select("read_id", tiles.tile_key(F.col("h0"), F.col("t0"), PARAMS.step).alias("tile_id"))
     return tiles.with_counts(keyed, tile, F.lit(True)).withColumn("good_cnt", F.col("good_cnt").cast("long"))
 
 
-def _lists(pairs, kmers, p):
-    """The four lists of k-mers of each pair (head, tail), widened by one base, as (keys, id, own)."""
-    rc = lambda c: codec.revcomp_id(F.col(c), p.k)
-    made = {}
-    for name, column, low in (("heads", F.col("head"), 0), ("tails", F.col("tail"), p.k - p.step), ("rheads", rc("tail"), p.k - p.step), ("rtails", rc("head"), 0)):
-        own = neighbors.present(pairs.select("head", "tail", column.alias("id")), "id", kmers)
-        near = neighbors.valid_neighbors(own, "id", kmers, p.k, low).select("head", "tail", F.col("neighbor").alias("id"), F.lit(False).alias("own"))
-        made[name] = own.withColumn("own", F.lit(True)).unionAll(near)
-    return made
-
-
-def _leveled_tiles(pairs, kmers, tile, p):
-    """Candidate tiles of both strands by pair, each with the stage of the search that first has it.
-
-    Stage 0 has the k-mers as read, stage 1 the neighbours of the tail too, stage 2 those of
-    the head as well; on the other strand the tail makes the heads.
-    """
-    lists = _lists(pairs, kmers, p)
-
-    def side(heads, tails, from_head, from_tail):
-        h = lists[heads].select(F.col("head").alias("h0"), F.col("tail").alias("t0"), F.col("id").alias("head"), F.col("own").alias("own_h"))
-        t = lists[tails].select(F.col("head").alias("h0"), F.col("tail").alias("t0"), F.col("id").alias("tail"), F.col("own").alias("own_t"))
-        made = tiles.candidates(h, t, ["h0", "t0"], p.k, p.step)
-        stage = F.when(~F.col(from_head), 2).when(~F.col(from_tail), 1).otherwise(0)
-        return tiles.with_counts(made, tile, F.col("own_h") & F.col("own_t")).select("h0", "t0", "tile_id", "good_cnt", stage.alias("level"))
-
-    return side("heads", "tails", "own_h", "own_t"), side("rheads", "rtails", "own_t", "own_h")
-
-
-def _merged_tiles(pairs, kmers, tile, p):
-    return tiles.merge_strands(*_leveled_tiles(pairs, kmers, tile, p), ["h0", "t0"], p.tile)
-
-
-def _staged_tiles(pairs, kmers, tile, p):
-    """The tiles that each stage (0 to 2) of the search has, counts of both strands added."""
-    stages = lambda df: df.withColumn("stage", F.explode(F.sequence("level", F.lit(2))))
-    forward, reverse = _leveled_tiles(pairs, kmers, tile, p)
-    return tiles.merge_strands(stages(forward), stages(reverse), ["h0", "t0", "stage"], p.tile)
+def _near_tiles(first, kmers, tile, p):
+    return search.candidates(first.select("h0", "t0").distinct(), kmers, tile, p, (p.max_distance, p.max_distance))
 
 
 def strand_merged_tiles(spark, sf_dir):
     """Tiles within one base of each first tile, counts of both strands added."""
-    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
-    pairs = _first_tiles(reads, PARAMS).select("head", "tail").distinct()
-    return _merged_tiles(pairs, kmers, tile, PARAMS)
+    reads, kmers, tile = _spectra(spark, sf_dir)
+    return search.merged(_near_tiles(search.first_tiles(reads, PARAMS), kmers, tile, PARAMS))
 
 
 def first_tile_decision(spark, sf_dir):
     """Verdict on each read's first tile from all tiles within one base; chosen is -1 if rejected."""
-    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
-    first = _first_tiles(reads, PARAMS)
-    merged = _merged_tiles(first.select("head", "tail").distinct(), kmers, tile, PARAMS)
-    each = first.join(merged, (first["head"] == merged["h0"]) & (first["tail"] == merged["t0"]))
-    own = F.col("tile_id") == tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step)
-    return tiles.decide(each.select("read_id", "tile_id", "good_cnt", "quals", own.alias("is_own")), ["read_id"], PARAMS).na.fill(-1, ["chosen"])
+    reads, kmers, tile = _spectra(spark, sf_dir)
+    first = search.first_tiles(reads, PARAMS)
+    known = search.stages(_near_tiles(first, kmers, tile, PARAMS), PARAMS, [2 * PARAMS.max_distance])
+    return search.judged(first, known, PARAMS).select("read_id", "verdict", "chosen").na.fill(-1, ["chosen"])
+
+
+def _first_tile_search(spark, sf_dir, p):
+    reads, kmers, tile = _spectra(spark, sf_dir, p)
+    return search.search(search.first_tiles(reads, p), kmers, tile, p)
 
 
 def first_tile_search(spark, sf_dir):
@@ -187,18 +150,12 @@ def first_tile_search(spark, sf_dir):
     Stage 3: no stage decided, and of the last one's tiles none is more frequent than the
     tile as read. Stage -1, chosen -1: the tile stays unsettled.
     """
-    reads, kmers, tile = _spectra(spark, sf_dir, often=True)
-    first = _first_tiles(reads, PARAMS).withColumn("own", tiles.tile_key(F.col("head"), F.col("tail"), PARAMS.step))
-    staged = _staged_tiles(first.select("head", "tail").distinct(), kmers, tile, PARAMS)
-    each = first.join(staged, (first["head"] == staged["h0"]) & (first["tail"] == staged["t0"]))
-    each = each.select("read_id", "stage", "tile_id", "good_cnt", "quals", (F.col("tile_id") == F.col("own")).alias("is_own"))
-    decided = tiles.decide(each, ["read_id", "stage"], PARAMS).where("verdict <> 'rejected'")
-    decided = decided.groupBy("read_id").agg(F.min(F.struct("stage", "chosen")).alias("d"))
-    last = each.where("stage = 2").groupBy("read_id").agg(F.max("good_cnt").alias("most"), F.max(F.when(F.col("is_own"), F.col("good_cnt"))).alias("have"))
-    stands = last.where((F.col("have") >= PARAMS.min_count) & (F.col("most") <= F.col("have"))).select("read_id", F.lit(True).alias("stands"))
-    out = first.select("read_id", "own").join(decided, "read_id", "left").join(stands, "read_id", "left")
-    stage = F.coalesce("d.stage", F.when(F.col("stands"), 3), F.lit(-1))
-    return out.select("read_id", stage.alias("stage"), F.coalesce("d.chosen", F.when(F.col("stands"), F.col("own")), F.lit(-1)).alias("chosen"), "own")
+    return _first_tile_search(spark, sf_dir, PARAMS)
+
+
+def first_tile_search_two(spark, sf_dir):
+    """The same with two rounds of neighbours and five stages; 5: none decided, and the tile stands."""
+    return _first_tile_search(spark, sf_dir, TWO)
 
 
 def first_tile_errors(spark, sf_dir):
@@ -235,7 +192,11 @@ def delta_bytes_per_node(spark, sf_dir):
 
 
 def delta_restarts(spark, sf_dir):
-    return delta.restart_table(spectrum.kmer_spectrum(derived_reads(spark, sf_dir), DENSE).persist(), "kmer_id", (1, 2))
+    kmers = spectrum.kmer_spectrum(derived_reads(spark, sf_dir), MIDDLE).persist()
+    try:
+        return delta.restart_table(kmers, "kmer_id", range(1, 8))
+    finally:
+        kmers.unpersist()
 
 
 def lookup_counters(spark, sf_dir):
@@ -263,8 +224,8 @@ def error_summary(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tile_spectrum, kmer_spectrum, tile_spectrum_noq, reads_derived, reads_valid_only, reads_renumbered, ambig_replaced, kmer_windows, tile_windows_q,
-    pack_unpack, spectrum_ranked, absent_kmers, spectrum_summary, tile_histogram_both, unit_neighbors, valid_neighbors, hamming1_pairs, tile_lookup,
-    strand_merged_tiles, first_tile_decision, first_tile_search, first_tile_errors, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
+    pack_unpack, spectrum_ranked, absent_kmers, spectrum_summary, tile_histogram_both, unit_neighbors, valid_neighbors, hamming1_pairs, hamming2_pairs, tile_lookup,
+    strand_merged_tiles, first_tile_decision, first_tile_search, first_tile_search_two, first_tile_errors, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
 )}
 
 # SQL -------------------------------------------------------------------------------------
@@ -297,7 +258,7 @@ def _windows_sql(name: str, n: int, quality: bool) -> str:
 
 def _spectrum_sql(name: str, n: int, quality: bool, least: int, column: str) -> str:
     return f"""{_windows_sql(name + "_w", n, quality)},
-{name} AS (SELECT {_pack_sql("w", n)} AS {column}, CAST(least(c, 255) AS INT) AS cnt FROM (SELECT w, count(*) AS c FROM {name}_w GROUP BY w) WHERE least(c, 255) >= {least})"""
+{name} AS MATERIALIZED (SELECT {_pack_sql("w", n)} AS {column}, CAST(least(c, 255) AS INT) AS cnt FROM (SELECT w, count(*) AS c FROM {name}_w GROUP BY w) WHERE least(c, 255) >= {least})"""
 
 
 def _with(*parts: str) -> str:
@@ -421,7 +382,140 @@ searched AS (
   LEFT JOIN (SELECT read_id FROM judged WHERE stage = 2 AND g0 >= {PARAMS.min_count} AND most <= g0) j ON f.read_id = j.read_id)""",
 )
 
+def _rounds_sql(name: str, source: str, low: int, rounds: int) -> str:
+    """A list of k-mers with the round in which each occurrence is appended."""
+    flips = f"(SELECT unnest(range({low}, {_K})) AS p), (SELECT unnest([1, 2, 3]) AS x)"
+    out = [f"{name}_0 AS (SELECT h0, t0, {source} AS id FROM pairs WHERE {source} IN (SELECT kmer_id FROM km))"]
+    for r in range(1, rounds + 1):
+        have = " UNION ".join(f"SELECT h0, t0, id FROM {name}_{i}" for i in range(r))
+        out.append(f"{name}_{r} AS MATERIALIZED (SELECT DISTINCT h0, t0, nb AS id FROM (SELECT h0, t0, xor(id, CAST(x AS BIGINT) << CAST(2 * p AS INT)) AS nb FROM ({have}), {flips}) WHERE nb <> 0 AND nb IN (SELECT kmer_id FROM km))")
+    return ",".join((*out, f"{name} AS (" + " UNION ALL ".join(f"SELECT h0, t0, id, {r} AS level FROM {name}_{r}" for r in range(rounds + 1)) + ")"))
+
+
+def _occurrences_sql(name: str, heads: str, tails: str, early: str, late: str, rounds: int) -> str:
+    return f"""
+{name} AS (
+  SELECT h0, t0, tile, own, level, CAST(coalesce(cnt, 0) AS BIGINT) AS n FROM (
+    SELECT h.h0, h.t0, (h.id << {2 * _S}) | (t.id & {(1 << 2 * _S) - 1}) AS tile, h.level + t.level = 0 AS own,
+           greatest({early}, CASE WHEN {late} > 0 THEN {rounds} + {late} ELSE 0 END) AS level
+    FROM {heads} h JOIN {tails} t ON h.h0 = t.h0 AND h.t0 = t.t0 AND (h.id & {(1 << 2 * (_K - _S)) - 1}) = (t.id >> {2 * _S}))
+  LEFT JOIN ti ON tile = tile_id WHERE cnt IS NOT NULL OR own)"""
+
+
+def _bag_search_sql(p: Params) -> str:
+    d = p.max_distance
+    return "WITH " + ",".join((
+        _READS, _spectrum_sql("km", _K, False, p.min_count, "kmer_id"), _spectrum_sql("ti", _T, True, p.min_count, "tile_id"), _MERGED[2],
+        _rounds_sql("lh", "h0", 0, d), _rounds_sql("lt", "t0", _K - _S, d), _rounds_sql("rh", _rc_sql("t0", _K), _K - _S, d), _rounds_sql("rt", _rc_sql("h0", _K), 0, d),
+        _occurrences_sql("fw", "lh", "lt", "t.level", "h.level", d), _occurrences_sql("rv", "rh", "rt", "h.level", "t.level", d), f"""
+occ AS (
+  SELECT h0, t0, stage, strand, tile, n, own
+  FROM (SELECT h0, t0, tile, n, own, level, 0 AS strand FROM fw UNION ALL SELECT h0, t0, {_rc_sql("tile", _T)}, n, own, level, 1 FROM rv), (SELECT unnest(range(0, {2 * d + 1})) AS stage)
+  WHERE level <= stage),
+strands AS (SELECT h0, t0, count(DISTINCT strand) AS strands FROM occ GROUP BY h0, t0),
+entries AS MATERIALIZED (
+  SELECT h0, t0, stage, tile AS tile_id, CAST(sum(n) AS BIGINT) AS good_cnt, bool_or(own) AS own FROM occ JOIN strands USING (h0, t0) WHERE strands = 2 GROUP BY h0, t0, stage, tile
+  UNION ALL SELECT h0, t0, stage, tile, n, own FROM occ JOIN strands USING (h0, t0) WHERE strands = 1),
+owns AS (SELECT h0, t0, stage, max(good_cnt) FILTER (own) AS g0, max(good_cnt) AS most, count(*) AS n_tiles FROM entries GROUP BY h0, t0, stage),
+joined AS (
+  SELECT read_id, f.tile, f.quals, e.* FROM firsts f JOIN entries e ON f.tile >> {2 * _S} = e.h0 AND f.tile & {(1 << 2 * _K) - 1} = e.t0
+  WHERE NOT own AND good_cnt >= {p.min_count}),
+tested AS (
+  SELECT read_id, stage, tile_id, good_cnt >= floor(g0 / {p.ratio}) AND len(list_filter(range(0, {_T}), lambda p: ((tile >> CAST(2 * p AS INT)) & 3) <> ((tile_id >> CAST(2 * p AS INT)) & 3)
+    AND ascii(substr(quals, CAST({_T} - p AS INT), 1)) < {p.low_quality})) > 0 AS alt
+  FROM joined JOIN owns USING (h0, t0, stage)),
+cands AS (SELECT read_id, stage, count(*) AS n_cand, count(*) FILTER (alt) AS n_alt, max(tile_id) FILTER (alt) AS alt_tile, max(tile_id) AS cand_tile FROM tested GROUP BY read_id, stage),
+judged AS (
+  SELECT read_id, stage, tile, g0, most, CASE
+    WHEN g0 >= {p.trusted_count} THEN tile
+    WHEN n_tiles = 1 THEN CASE WHEN g0 >= {p.min_count} AND len(list_filter(range(1, {_T + 1}), lambda i: ascii(substr(quals, CAST(i AS INT), 1)) < {p.low_quality})) = 0 THEN tile END
+    WHEN g0 >= {p.min_count} THEN CASE coalesce(n_alt, 0) WHEN 0 THEN tile WHEN 1 THEN alt_tile END
+    WHEN n_cand = 1 THEN cand_tile END AS chosen
+  FROM firsts f JOIN owns o ON f.tile >> {2 * _S} = o.h0 AND f.tile & {(1 << 2 * _K) - 1} = o.t0 LEFT JOIN cands USING (read_id, stage)),
+settled AS (SELECT read_id, min(stage) AS stage, arg_min(chosen, stage) AS chosen FROM judged WHERE chosen IS NOT NULL GROUP BY read_id)
+SELECT f.read_id, CAST(CASE WHEN s.stage IS NOT NULL THEN s.stage WHEN j.read_id IS NOT NULL THEN {2 * d + 1} ELSE -1 END AS INT) AS stage,
+       CASE WHEN s.stage IS NOT NULL THEN s.chosen WHEN j.read_id IS NOT NULL THEN f.tile ELSE -1 END AS chosen, f.tile AS own
+FROM firsts f LEFT JOIN settled s ON f.read_id = s.read_id
+LEFT JOIN (SELECT read_id FROM judged WHERE stage = {2 * d} AND g0 >= {p.min_count} AND most <= g0) j ON f.read_id = j.read_id""",
+    ))
+
+
+def _correction_sql(p: Params) -> tuple[str, ...]:
+    """The walk of every read as a recursion with one row for each read and turn, for one substitution.
+
+    A row has the place, the last place that was accepted, whether the read crawls and until where, how far and
+    from which base on heads and tails may be changed, the bases as corrected so far, and the errors of its turn.
+    """
+    k, t, s = p.k, p.tile, p.step
+    error = "STRUCT(pos INT, f INT, t INT, q INT)[]"
+    return (f"""
+state(read_id, pos, last, crawl, turn, heads, tails, lowh, lowt, b, q, n, found, e, alive) AS (
+  SELECT read_id, 0, -1, false, -1, {p.max_distance}, {p.max_distance}, 0, {k - s}, bases, quals, CAST(length(bases) AS INT), 0, CAST([] AS {error}), true FROM reads WHERE length(bases) >= {t}
+  UNION ALL (
+  WITH live AS (
+    SELECT *, {_pack_sql(f"substr(b, pos + 1, {t})", t)} AS tile FROM state WHERE alive AND NOT regexp_matches(substr(b, pos + 1, {t}), '[^ACGT]')),
+  ends AS (SELECT *, tile >> {2 * s} AS h0, tile & {(1 << 2 * k) - 1} AS t0 FROM live),
+  starts AS (
+    SELECT read_id, unnest([0, 1, 2, 3]) AS list, unnest([h0, t0, {_rc_sql("t0", k)}, {_rc_sql("h0", k)}]) AS id,
+           unnest([lowh, lowt, lowt, lowh]) AS low, unnest([heads, tails, tails, heads]) AS most FROM ends),
+  own AS (SELECT * FROM starts WHERE id IN (SELECT kmer_id FROM km)),
+  near AS (
+    SELECT read_id, list, xor(id, CAST(x AS BIGINT) << CAST(2 * p AS INT)) AS id FROM own, (SELECT unnest(range(0, {k})) AS p), (SELECT unnest([1, 2, 3]) AS x) WHERE most >= 1 AND p >= low),
+  lists AS (
+    SELECT read_id, list, id, 0 AS level FROM own
+    UNION ALL SELECT read_id, list, id, 1 FROM near WHERE id <> 0 AND id IN (SELECT kmer_id FROM km)),
+  made AS (
+    SELECT h.read_id, h.list // 2 AS strand, (h.id << {2 * s}) | (t.id & {(1 << 2 * s) - 1}) AS tile, h.level + t.level = 0 AS own,
+           CASE WHEN h.list = 0 THEN t.level ELSE h.level END AS early, CASE WHEN h.list = 0 THEN h.level ELSE t.level END AS late
+    FROM lists h JOIN lists t ON h.read_id = t.read_id AND t.list = h.list + 1 AND h.list IN (0, 2) AND (h.id & {(1 << 2 * (k - s)) - 1}) = (t.id >> {2 * s})),
+  counted AS (
+    SELECT read_id, CASE strand WHEN 0 THEN tile ELSE {_rc_sql("tile", t)} END AS tile, own, early, late, CAST(coalesce(cnt, 0) AS BIGINT) AS n
+    FROM made LEFT JOIN ti ON tile = tile_id WHERE cnt IS NOT NULL OR own),
+  staged AS (
+    SELECT read_id, stage, c.tile AS other, sum(c.n) AS n, bool_or(own) AS own
+    FROM counted c JOIN (SELECT read_id, heads, tails, unnest(range(0, heads + tails + 1)) AS stage FROM ends) USING (read_id)
+    WHERE greatest(early, CASE WHEN late > 0 THEN tails + late ELSE 0 END) <= stage GROUP BY read_id, stage, c.tile),
+  owns AS (SELECT read_id, stage, max(n) FILTER (own) AS g0, max(n) AS most, count(*) AS n_tiles FROM staged GROUP BY read_id, stage),
+  tested AS (
+    SELECT read_id, stage, other, o.n >= floor(g0 / {p.ratio}) AND len(list_filter(range(0, {t}), lambda p: ((tile >> CAST(2 * p AS INT)) & 3) <> ((other >> CAST(2 * p AS INT)) & 3)
+      AND ascii(substr(q, CAST(pos + {t} - p AS INT), 1)) < {p.low_quality})) > 0 AS alt
+    FROM staged o JOIN owns USING (read_id, stage) JOIN ends USING (read_id) WHERE NOT own AND o.n >= {p.min_count}),
+  cands AS (SELECT read_id, stage, count(*) AS n_cand, count(*) FILTER (alt) AS n_alt, max(other) FILTER (alt) AS alt_tile, max(other) AS cand_tile FROM tested GROUP BY read_id, stage),
+  judged AS (
+    SELECT read_id, stage, stage = heads + tails AND g0 >= {p.min_count} AND most <= g0 AS stands, tile, CASE
+      WHEN g0 >= {p.trusted_count} THEN tile
+      WHEN n_tiles = 1 THEN CASE WHEN g0 >= {p.min_count} AND len(list_filter(range(1, {t + 1}), lambda i: ascii(substr(q, CAST(pos + i AS INT), 1)) < {p.low_quality})) = 0 THEN tile END
+      WHEN g0 >= {p.min_count} THEN CASE coalesce(n_alt, 0) WHEN 0 THEN tile WHEN 1 THEN alt_tile END
+      WHEN n_cand = 1 THEN cand_tile END AS chosen
+    FROM ends JOIN owns USING (read_id) LEFT JOIN cands USING (read_id, stage)),
+  settled AS (SELECT read_id, coalesce(arg_min(chosen, stage) FILTER (chosen IS NOT NULL), max(tile) FILTER (stands)) AS chosen FROM judged GROUP BY read_id),
+  taken AS (SELECT e.*, s.chosen, s.chosen IS NOT NULL AS ok FROM ends e LEFT JOIN settled s USING (read_id)),
+  changed AS (
+    SELECT *, CASE WHEN ok AND chosen <> tile THEN CAST(list_transform(list_filter(range(0, {t}), lambda p: ((tile >> CAST(2 * p AS INT)) & 3) <> ((chosen >> CAST(2 * p AS INT)) & 3)),
+      lambda p: struct_pack(pos := pos + {t - 1} - p, f := (chosen >> CAST(2 * p AS INT)) & 3, t := (tile >> CAST(2 * p AS INT)) & 3, q := ascii(substr(q, CAST(pos + {t} - p AS INT), 1)))) AS {error}) ELSE CAST([] AS {error}) END AS errors,
+      CASE WHEN ok THEN substr(b, 1, pos) || upper({_BASES_OF("chosen", t)}) || substr(b, pos + {t + 1}) ELSE b END AS fixed,
+      ok AND pos + {t} = n AS over, CASE WHEN ok THEN pos ELSE last END AS reached, pos + {s} <= n - {t} AS whole, crawl OR NOT ok AS crawls, CASE WHEN NOT ok AND NOT crawl THEN pos ELSE turn END AS until
+    FROM taken),
+  moved AS (SELECT *, crawls AND (reached = -1 OR pos = reached + 1) AS stop, CASE WHEN crawls THEN reached + 1 WHEN whole THEN pos + {s} ELSE n - {t} END AS next FROM changed)
+  SELECT read_id, next, reached, crawls AND next <> until, until, 0, CASE WHEN crawls THEN 1 ELSE {p.max_distance} END, {k}, CASE WHEN crawls THEN {k - 3} WHEN whole THEN 0 ELSE pos + {t + s} - n END,
+         fixed, q, n, found + len(e), errors, NOT over AND NOT stop AND next + {t} <= n FROM moved))""", """
+errors AS (SELECT read_id, unnest(range(found, found + len(e))) AS ord, unnest(e, recursive := true) FROM state WHERE len(e) > 0)""")
+
+
+_CORRECTION = "WITH RECURSIVE " + ",".join((_READS, _KMERS, _TILES, *_correction_sql(PARAMS)))
+
 ORACLE = {
+    "read_correction": _CORRECTION + ' SELECT read_id, CAST(ord AS INT) AS ord, pos, f AS "from", t AS "to", q AS qual FROM errors',
+    "corrected_reads": _CORRECTION + """,
+      fixes AS (SELECT read_id, map_from_entries(list(struct_pack(k := pos, v := f))) AS m FROM (SELECT read_id, pos, arg_max(f, ord) AS f FROM errors GROUP BY read_id, pos) GROUP BY read_id)
+      SELECT read_id, CASE WHEN m IS NULL THEN bases ELSE array_to_string(list_transform(range(0, length(bases)), lambda i: coalesce(substr('acgt', m[CAST(i AS INT)] + 1, 1), substr(bases, CAST(i + 1 AS INT), 1))), '') END AS bases
+      FROM reads LEFT JOIN fixes USING (read_id)""",
+    "error_summary": _CORRECTION + ' SELECT f AS "from", t AS "to", count(*) AS n, count(DISTINCT read_id) AS n_reads FROM errors GROUP BY f, t',
+    "first_tile_search_two": _bag_search_sql(TWO),
+    "hamming2_pairs": _with(_TILES2, f"""
+      masks AS (SELECT a.p AS p, b.p AS q, ~((3::BIGINT << CAST(2 * a.p AS INT)) | (3::BIGINT << CAST(2 * b.p AS INT))) AS m FROM (SELECT unnest(range(0, {_T})) AS p) a, (SELECT unnest(range(0, {_T})) AS p) b WHERE a.p < b.p),
+      keyed AS (SELECT tile_id, p, q, tile_id & m AS key FROM ti, masks)""")
+      + " SELECT DISTINCT a.tile_id AS a, b.tile_id AS b FROM keyed a JOIN keyed b ON a.p = b.p AND a.q = b.q AND a.key = b.key AND a.tile_id < b.tile_id",
     "first_tile_search": _with(*_SEARCH) + " SELECT read_id, stage, chosen, own FROM searched",
     "first_tile_errors": _with(*_SEARCH, """
       each AS (SELECT read_id, CAST((chosen >> CAST(2 * p AS INT)) & 3 AS INT) AS x, CAST((own >> CAST(2 * p AS INT)) & 3 AS INT) AS y FROM searched, (SELECT unnest(range(0, """ + str(_T) + """)) AS p) WHERE stage >= 0 AND chosen <> own)""")
@@ -461,10 +555,12 @@ ORACLE = {
       numbered AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS i, count(*) OVER () AS n FROM reads),
       bounds AS (SELECT b, b * n // {BLOCKS} AS lo, (b + 1) * n // {BLOCKS} AS hi FROM (SELECT unnest(range(0, {BLOCKS})) AS b), (SELECT count(*) AS n FROM reads))""")
       + " SELECT b AS block, hi - lo AS rows, lo AS low, hi - 1 AS high FROM bounds WHERE hi > lo",
-    "delta_restarts": "WITH RECURSIVE " + ",".join((_READS, _DENSE(1), """
+    "delta_restarts": "WITH RECURSIVE " + ",".join((_READS, _spectrum_sql("km", MIDDLE.k, False, 1, "kmer_id"), """
+      steps AS MATERIALIZED (SELECT w AS width, kmer_id AS id, 1 << (8 * w) AS step FROM km, (SELECT unnest(range(1, 8)) AS w)),
+      jumps AS MATERIALIZED (SELECT width, id, min(id) OVER (PARTITION BY width ORDER BY id RANGE BETWEEN step FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM steps),
       chain(width, ref) AS (
-        SELECT w, (SELECT min(kmer_id) FROM km) FROM (SELECT unnest([1, 2]) AS w)
-        UNION ALL SELECT width, (SELECT min(kmer_id) FROM km WHERE kmer_id >= ref + (1 << (8 * width))) FROM chain WHERE ref IS NOT NULL)"""))
+        SELECT w, (SELECT min(kmer_id) FROM km) FROM (SELECT unnest(range(1, 8)) AS w)
+        UNION ALL SELECT j.width, j.next FROM chain c JOIN jumps j ON j.width = c.width AND j.id = c.ref WHERE j.next IS NOT NULL)"""))
       + " SELECT CAST(width AS INT) AS width, count(ref) AS \"references\", (SELECT count(*) FROM km) - count(ref) AS deltas FROM chain GROUP BY width",
     "lookup_counters": _with(_spectrum_sql("km", _K, False, 3, "kmer_id"), _spectrum_sql("ti", _T, True, 3, "tile_id"), _windows_sql("tw", _T, False)) + f"""
       SELECT 'kmer' AS kind, count(*) AS lookups, CAST(count_if({_pack_sql("w", _K)} NOT IN (SELECT kmer_id FROM km)) AS BIGINT) AS misses FROM km_w
