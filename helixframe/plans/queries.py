@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import metrics
-from ..functions import codec
+from ..functions import codec, sql
 from ..operators import correct, delta, neighbors, prep, search, spectrum, tiles, windows
 from ..params import Params
 from .reads import LETTERS, READ_LENGTH, ROOM, STANDS_FOR, derived_reads
@@ -158,6 +158,22 @@ def first_tile_search_two(spark, sf_dir):
     return _first_tile_search(spark, sf_dir, TWO)
 
 
+def sql_frequent_kmers(spark, sf_dir):
+    """k-mers that occur three times or more, with their bases and reverse complements; written in SQL alone."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        SELECT kmer_id, dna_unpack(kmer_id, 10) AS bases, dna_revcomp_id(kmer_id, 10) AS rc_id, dna_mismatches(kmer_id, dna_revcomp_id(kmer_id, 10)) AS rc_distance, cnt
+        FROM (
+          SELECT dna_pack(t.w) AS kmer_id, CAST(least(count(*), 255) AS INT) AS cnt
+          FROM {reads} AS r, LATERAL dna_windows(r.bases, 10) AS t
+          GROUP BY t.w)
+        WHERE cnt >= 3
+        """,
+        reads=derived_reads(spark, sf_dir),
+    )
+
+
 def first_tile_errors(spark, sf_dir):
     """Corrections in first tiles by replacement and base: how many, in how many reads."""
     found = first_tile_search(spark, sf_dir).where("stage >= 0 AND chosen <> own")
@@ -225,7 +241,7 @@ def error_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     tile_spectrum, kmer_spectrum, tile_spectrum_noq, reads_derived, reads_valid_only, reads_renumbered, ambig_replaced, kmer_windows, tile_windows_q,
     pack_unpack, spectrum_ranked, absent_kmers, spectrum_summary, tile_histogram_both, unit_neighbors, valid_neighbors, hamming1_pairs, hamming2_pairs, tile_lookup,
-    strand_merged_tiles, first_tile_decision, first_tile_search, first_tile_search_two, first_tile_errors, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
+    strand_merged_tiles, first_tile_decision, first_tile_search, first_tile_search_two, first_tile_errors, sql_frequent_kmers, tile_diffs, quality_profile, block_assignment, delta_bytes_per_node, delta_restarts, lookup_counters, read_correction, corrected_reads, error_summary,
 )}
 
 # SQL -------------------------------------------------------------------------------------
@@ -505,6 +521,8 @@ errors AS (SELECT read_id, unnest(range(found, found + len(e))) AS ord, unnest(e
 _CORRECTION = "WITH RECURSIVE " + ",".join((_READS, _KMERS, _TILES, *_correction_sql(PARAMS)))
 
 ORACLE = {
+    "sql_frequent_kmers": _with(_spectrum_sql("km", _K, False, 3, "kmer_id"), f"turned AS (SELECT *, {_rc_sql('kmer_id', _K)} AS rc_id FROM km)")
+      + f" SELECT kmer_id, {_BASES_OF('kmer_id', _K)} AS bases, rc_id, CAST(len(list_filter(range(0, {_K}), lambda p: ((kmer_id >> CAST(2 * p AS INT)) & 3) <> ((rc_id >> CAST(2 * p AS INT)) & 3))) AS INT) AS rc_distance, cnt FROM turned",
     "read_correction": _CORRECTION + ' SELECT read_id, CAST(ord AS INT) AS ord, pos, f AS "from", t AS "to", q AS qual FROM errors',
     "corrected_reads": _CORRECTION + """,
       fixes AS (SELECT read_id, map_from_entries(list(struct_pack(k := pos, v := f))) AS m FROM (SELECT read_id, pos, arg_max(f, ord) AS f FROM errors GROUP BY read_id, pos) GROUP BY read_id)
