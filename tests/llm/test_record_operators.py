@@ -327,3 +327,34 @@ def test_archives_of_other_writers(spark, tmp_path):
         mine = [(r.record_type, r.payload_bytes, r.payload_digest) for r in got if r.path.endswith("/" + name)]
         assert mine == [("warcinfo", 13, None), ("request", 18, None), ("response", len(http), sha.decode()), ("response", 5, warc.digest_of(b"plain")), ("revisit", None, sha.decode())]
     assert [(r.record_type, bool(r.gap_reason)) for r in got if r.path.endswith("c.warc.gz")] == [("warcinfo", False), (None, True), ("request", False)]
+
+
+def test_threshold_and_what_an_unseen_word_gets():
+    """The kept threshold is the table's own; held-out words and kinds are told far worse than held-out names."""
+    rows = urls.labelled_rows()
+    known = urls.labelled_urls()
+    y = np.array([b == 1 for _, b in known])
+    names = urls.held_out_scores(known)
+    assert urls.best_cut(names, y) == pytest.approx(urls.THRESHOLD)
+    recall = {}
+    for what, groups in (("word", [w for _, _, w, _ in rows]), ("kind", [kind if b else w for _, b, w, kind in rows])):
+        recall[what] = np.mean(urls.held_out_scores(known, 6, groups)[y] > urls.THRESHOLD)
+    assert 0.6 < recall["word"] < 0.75 and 0.5 < recall["kind"] < 0.7  # as the README says
+
+
+def test_products_beyond_64_bits(spark):
+    """A long vector fails nothing but a result whose score leaves 64 bits."""
+    rows = [(1, [1 << 40, 0]), (2, [0, 1 << 40]), (3, [1, 1]), (4, [-(1 << 40), 5])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {}
+    for q, v in rows[:3]:
+        best = sorted(((-score(v, w), c) for c, w in rows if c != q))[:2]
+        want[q] = [(c, -s) for s, c in best]
+    got = {}
+    for r in topk.search(df, df.where("vec_id < 4"), 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+    far = spark.createDataFrame([*rows, (5, [1 << 40, 1])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.search(far, far.where("vec_id = 1"), 1).collect()
