@@ -18,6 +18,11 @@ def is_clean(bases: Column) -> Column:
     return F.length(F.translate(F.upper(bases), BASES, "")).eqNullSafe(0) & (F.length(bases) > 0)
 
 
+def is_alphabet(c: Column) -> Column:
+    """Whether a text begins with a letter of a read: A, C, G, T or N in either case."""
+    return F.coalesce(c.rlike("^[ACGTNacgtn]"), F.lit(False))
+
+
 def base_code(c: Column) -> Column:
     """0 to 3, or -1 for anything else."""
     up = F.upper(c)

@@ -42,6 +42,13 @@ def correction_counters(corrections: DataFrame) -> DataFrame:
     return corrections.agg(F.count(F.lit(1)).alias("reads"), F.count_if(n > 0).alias("corrected_reads"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("corrections"))
 
 
+def spread(by_task: DataFrame) -> DataFrame:
+    """(counter, tasks, total, least, mean, greatest) of every column but ``task`` of statistics by task."""
+    names = [c for c in by_task.columns if c != "task"]
+    each = by_task.select(F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("double").alias("x")) for c in names])).alias("e")).select("e.*")
+    return each.groupBy("counter").agg(F.count(F.lit(1)).alias("tasks"), F.sum("x").alias("total"), F.min("x").alias("least"), F.avg("x").alias("mean"), F.max("x").alias("greatest"))
+
+
 def lookup_counters(reads: DataFrame, kmers: DataFrame, tiles: DataFrame, params) -> DataFrame:
     """(kind, lookups, misses) over all windows of the reads in both spectra."""
     from .operators.windows import window_ids

@@ -305,6 +305,41 @@ class Arrays:
         """Nothing to be asked in advance."""
 
 
+class Counting:
+    """A lookup that counts its questions and those that the spectra have no answer for."""
+
+    def __init__(self, lookup):
+        self.lookup, self.asked, self.missed = lookup, [0, 0], [0, 0]
+
+    def begin(self, size):
+        self.lookup.begin(size)
+
+    @property
+    def held(self):
+        return self.lookup.held
+
+    def _count(self, kind, n, missed):
+        self.asked[kind] += n
+        self.missed[kind] += int(missed)
+
+    def known(self, x, rows=None):
+        hit = self.lookup.known(x, rows)
+        self._count(0, len(x), len(x) - hit.sum())
+        return hit
+
+    def count(self, x, rows=None):
+        n = self.lookup.count(x, rows)
+        self._count(1, len(x), (n < 0).sum())
+        return n
+
+    def ahead(self, walk, changed, crawling):
+        self.lookup.ahead(walk, changed, crawling)
+
+
+#: What a task tells of itself: its number, reads, reads with errors, lookups and misses, and seconds of its own.
+TASK_STATS = [("task", pa.int32()), *((n, pa.int64()) for n in ("reads", "corrected", "kmer_lookups", "kmer_misses", "tile_lookups", "tile_misses")), ("seconds", pa.float64())]
+
+
 def _worker_lookup(key, make):
     kept = sys.modules.setdefault("_helixframe_spectra", types.ModuleType("_helixframe_spectra"))
     if getattr(kept, "key", None) != key:
@@ -378,6 +413,43 @@ class Corrector:
 
         return reads.select("read_id", "bases", "quals").mapInArrow(run, f"read_id long, errs {ERRORS}")
 
+    def correct_counted(self, reads: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+        """Corrections as of ``correct``, and a row of statistics for each task, both from one pass written to ``path``.
+
+        A task's statistics are its last row and are committed with its corrections, so an attempt that is
+        lost or repeated counts once. For broadcast spectra; supersteps have a report of their own.
+        """
+        if self.routed:
+            raise ValueError("supersteps report their own work")
+        params, key, sent = self.params, self.key, self.sent
+        kind = pa.struct(TASK_STATS)
+
+        def run(batches):
+            import time
+
+            from pyspark import TaskContext
+
+            began, n, corrected = time.perf_counter(), 0, 0
+            lookup = Counting(_worker_lookup(key, lambda: Arrays(*sent.value)))
+            settler = Settler(params, lookup)
+            for b in batches:
+                for at in range(0, b.num_rows, TOGETHER):
+                    out = _walk_batch(settler, *(b.column(i).slice(at, TOGETHER) for i in range(3)))
+                    n += out.num_rows
+                    corrected += int((np.diff(out.column(1).offsets.to_numpy()) > 0).sum())
+                    yield out.append_column("stats", pa.nulls(out.num_rows, kind))
+            each = [TaskContext.get().partitionId(), n, corrected, lookup.asked[0], lookup.missed[0], lookup.asked[1], lookup.missed[1], time.perf_counter() - began]
+            row = dict(zip((x for x, _ in TASK_STATS), each))
+            errors = pa.array([None], pa.list_(pa.struct([(x, pa.int32()) for x in ("pos", "from", "to", "qual")])))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), errors, pa.array([row], kind)], names=["read_id", "errs", "stats"])
+
+        names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
+        schema = f"read_id long, errs {ERRORS}, stats struct<{', '.join(f'{x}: {names[t]}' for x, t in TASK_STATS)}>"
+        rows = reads.select(F.col("read_id").cast("long").alias("read_id"), "bases", "quals").mapInArrow(run, schema)
+        rows.write.mode("overwrite").parquet(path)
+        table = reads.sparkSession.read.schema(rows.schema).parquet(path)
+        return table.where("stats IS NULL").select("read_id", "errs"), table.where("stats IS NOT NULL").select("stats.*")
+
     def close(self) -> None:
         if self.routed:
             self.routed.close()

@@ -15,9 +15,9 @@ def spectra(reads: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
 
 
 def stored_spectra(spark: SparkSession, params: Params) -> tuple[DataFrame, DataFrame]:
-    """Spectra of an earlier run; a k-mer complement is turned back into the present set."""
+    """Spectra of an earlier run; a k-mer complement, told by counts of 0 or by the parameter, is turned back into the present set."""
     kmers = tables.read_spectrum(spark, params.kmer_in)
-    if params.kmer_in_absent:
+    if params.kmer_in_absent or not kmers.where("cnt = 0").isEmpty():
         from pyspark.sql import functions as F
 
         kmers = spectrum.absent(kmers, params.k).withColumn("cnt", F.lit(params.min_count))
@@ -27,13 +27,15 @@ def stored_spectra(spark: SparkSession, params: Params) -> tuple[DataFrame, Data
 def run(spark: SparkSession, params: Params, reads: DataFrame | None = None) -> DataFrame | None:
     """Runs by ``run_type``: 0 both, 1 spectra to files, 2 correction with stored spectra.
 
+    A k-mer spectrum of more than half of all identifiers is written as its complement, with counts of 0.
     Corrections are returned, and written as text if ``output_prefix`` is set.
     """
     params.check()
     reads = fastq.read_fastq_splits(spark, params.input_path) if reads is None else reads
     kmers, tiles = stored_spectra(spark, params) if params.run_type == 2 else spectra(reads, params)
     if params.run_type == 1 or params.write_spectrum and params.run_type == 0:
-        tables.write_spectrum(kmers, params.kmer_out, "kmer_id")
+        # of more than half of all k-mers the absent ones are written
+        tables.write_spectrum(spectrum.stored_form(kmers, params.k)[0], params.kmer_out, "kmer_id")
         tables.write_spectrum(tiles, params.tile_out, "tile_id")
     if params.run_type == 1:
         return None

@@ -222,3 +222,57 @@ def test_tables_that_the_caller_keeps_stay_kept(spark):
     assert ready.correct(reads.where("read_id < 5")).where("size(errs) > 0").count() == 0
     kmers.unpersist()
     tiles.unpersist()
+
+
+def test_statistics_by_task(spark, tmp_path):
+    """Totals are those of one walk over all reads, however reads are dealt out; corrections are the same."""
+    import numpy as np
+
+    from helixframe import metrics
+
+    rows = [*template_rows(20, "#"), *[(100 + r[0], r[1], r[2]) for r in template_rows(10, "#")], (300, None, None), (301, "ACG", "III")]
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string")
+    kmers, tiles = spectrum.kmer_spectrum(reads, P), spectrum.tile_spectrum(reads, P)
+    lookup = correct.Counting(correct.Arrays(*correct._arrays(kmers, tiles)))
+    texts = [b or "" for _, b, _ in rows]
+    n = np.array([len(b) for b in texts])
+    correct.walk(correct.Settler(P, lookup), correct._CODE[correct._matrix(texts, n)], correct._matrix([q or "" for _, _, q in rows], n), n)
+    ready = correct.Corrector(kmers, tiles, P)
+    plain = sorted((r.read_id, [tuple(e) for e in r.errs]) for r in ready.correct(reads).collect())
+    for parts in (1, 3):
+        found, stats = ready.correct_counted(reads.repartition(parts), str(tmp_path / f"s{parts}"))
+        assert sorted((r.read_id, [tuple(e) for e in r.errs]) for r in found.collect()) == plain
+        got = {r.counter: r for r in metrics.spread(stats).collect()}
+        assert {c: got[c].total for c in got if c != "seconds"} == {
+            "reads": len(rows), "corrected": sum(bool(e) for _, e in plain), "kmer_lookups": lookup.asked[0], "kmer_misses": lookup.missed[0], "tile_lookups": lookup.asked[1], "tile_misses": lookup.missed[1]}
+        assert all(r.tasks == parts and r.least <= r.mean <= r.greatest for r in got.values()) and got["kmer_lookups"].total > got["kmer_misses"].total > 0
+        assert sorted(r.task for r in stats.collect()) == list(range(parts))
+
+
+def test_a_replayed_batch_leaves_one_copy(spark, tmp_path):
+    """The sink's batch function run again for one batch number, as after a failure; the spectra are computed once."""
+    import shutil
+
+    from helixframe.streaming import spectra as streams
+
+    rows = template_rows(20, "#")
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string")
+    kmers, tiles = spectrum.kmer_spectrum(reads, P), spectrum.tile_spectrum(reads, P)
+    for n, part in enumerate((rows[:6], rows[6:])):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.fq").write_text("".join(f"@{i}\n{b}\n+\n{q}\n" for i, b, q in part))
+    live = lambda: streams.fastq_stream(spark, str(tmp_path / "in"), max_files=1)
+    run = lambda: streams.correct_stream(live(), kmers, tiles, P, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    run()
+    want = sorted((r.read_id, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [i for i, _ in want] == [12]
+    # the checkpoint forgets that the last batch was done, so it is played again
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    shutil.rmtree(tmp_path / "cp" / "commits" / f".{last.name}.crc", ignore_errors=True)
+    (tmp_path / "cp" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert sorted((r.read_id, r.batch) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    (tmp_path / "in" / "9.fq").write_text("@1\nACGT\n+\n")
+    with pytest.raises(Exception, match="cut off"):
+        run()

@@ -193,3 +193,27 @@ def test_chains_compose_like_one_range():
         whole = delta.Chain.of(ids, step)
         assert (both.at.tolist(), both.refs.tolist(), both.last.tolist()) == (whole.at.tolist(), whole.refs.tolist(), whole.last.tolist())
         assert whole.refs[0] == walked(ids.tolist(), step)
+
+
+def test_a_dense_spectrum_is_written_as_its_complement(spark, tmp_path):
+    """Run type 1 writes absent k-mers where most occur; run type 2 reads either form."""
+    from helixframe.functions import codec
+    from helixframe.plans import runs
+
+    rng = np.random.RandomState(2)
+    rows = [(i, "".join(rng.choice(list("ACGT"), 60)), "".join(chr(c) for c in rng.choice([40, 73], 60))) for i in range(12)]
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string")
+    for k, dense in ((4, True), (6, False)):
+        p = Params(k=k, step=2, max_bad=99, low_quality=65, run_type=1, kmer_out=str(tmp_path / f"k{k}"), tile_out=str(tmp_path / f"t{k}"))
+        runs.run(spark, p, reads)
+        have = {r.kmer_id for r in spectrum.kmer_spectrum(reads, p).collect()}
+        written = {r.kmer_id: r.cnt for r in spark.read.parquet(p.kmer_out).collect()}
+        assert (len(have) > 4 ** k / 2) == dense
+        assert written.keys() == (set(range(4 ** k)) - have if dense else have) and (set(written.values()) == {0}) == dense
+        again = Params(**{**p.__dict__, "run_type": 2, "kmer_in": p.kmer_out, "tile_in": p.tile_out})
+        assert {r.kmer_id for r in runs.stored_spectra(spark, again)[0].collect()} == have
+        errors = lambda df: sorted((r.read_id, tuple(r.errs)) for r in df.collect())
+        whole = Params(**{**p.__dict__, "run_type": 0})
+        assert errors(runs.run(spark, again, reads)) == errors(runs.run(spark, whole, reads))
+    letters = spark.createDataFrame([("A",), ("n",), ("x",), ("",), (None,), ("@A",)], "c string")
+    assert [r[0] for r in letters.select(codec.is_alphabet(F.col("c"))).collect()] == [True, True, False, False, False, False]
