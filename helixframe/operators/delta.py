@@ -11,13 +11,13 @@ from ..functions import codec
 from .spectrum import ranked
 
 
-def node_bytes(counts: DataFrame, name: str, node: int) -> DataFrame:
+def node_bytes(counts: DataFrame, name: str, node: int, length: int | None = None) -> DataFrame:
     """(node, rows, bytes): bytes of each run of ``node`` identifiers in order.
 
     The first is stored whole, the second as its distance from the first, the others as
     their distances from the second, each in the fewest bytes.
     """
-    placed = ranked(counts, name).withColumn("node", F.floor((F.col("rank") - 1) / node).cast("long"))
+    placed = ranked(counts, name, length=length).withColumn("node", F.floor((F.col("rank") - 1) / node).cast("long"))
     w = Window.partitionBy("node").orderBy(name)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = F.row_number().over(w)
@@ -26,9 +26,9 @@ def node_bytes(counts: DataFrame, name: str, node: int) -> DataFrame:
     return each.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.sum("b").cast("long").alias("bytes"))
 
 
-def node_summary(counts: DataFrame, name: str, node: int) -> DataFrame:
+def node_summary(counts: DataFrame, name: str, node: int, length: int | None = None) -> DataFrame:
     """One row: mean, least and greatest bytes of a node."""
-    return node_bytes(counts, name, node).agg(F.avg("bytes").alias("mean"), F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
+    return node_bytes(counts, name, node, length).agg(F.avg("bytes").alias("mean"), F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
 
 
 #: Steps in the span of all identifiers up to which references are looked up one by one.

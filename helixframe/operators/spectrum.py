@@ -68,14 +68,18 @@ def histograms(reads: DataFrame, params) -> DataFrame:
     return every.join(have, ["section", "cnt"], "left").select("section", "cnt", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def ranked(counts: DataFrame, name: str, pieces: int = 1024) -> DataFrame:
+def ranked(counts: DataFrame, name: str, pieces: int = 1024, length: int | None = None) -> DataFrame:
     """Adds ``rank``, from 1 in the order of identifiers, without one task seeing them all.
 
-    Identifiers below 2^62 are cut into equal ranges; ranks inside a range add to the
-    running size of the ranges before.
+    Identifiers below 2^62 are cut into equal ranges; ranks inside a range add to the running size
+    of the ranges before. With ``length``, the bases of an identifier, ranges follow from its
+    first bits; else from the greatest identifier, which is another pass.
     """
-    top = counts.agg(F.max(name).alias("top"))
-    cut = counts.join(F.broadcast(top)).withColumn("__p", F.floor(F.col(name) / (F.col("top") + 1) * pieces).cast("int")).drop("top")
+    if length is not None:
+        cut = counts.withColumn("__p", F.shiftright(F.col(name), max(0, 2 * length - (pieces - 1).bit_length())).cast("int"))
+    else:
+        top = counts.agg(F.max(name).alias("top"))
+        cut = counts.join(F.broadcast(top)).withColumn("__p", F.floor(F.col(name) / (F.col("top") + 1) * pieces).cast("int")).drop("top")
     sizes = cut.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("__n")).alias("__b"))
     own = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(name)))

@@ -77,7 +77,7 @@ def pack_unpack(spark, sf_dir):
 
 
 def spectrum_ranked(spark, sf_dir):
-    return spectrum.ranked(spectrum.kmer_spectrum(derived_reads(spark, sf_dir), DENSE), "kmer_id")
+    return spectrum.ranked(spectrum.kmer_spectrum(derived_reads(spark, sf_dir), DENSE), "kmer_id", length=DENSE.k)
 
 
 def absent_kmers(spark, sf_dir):
@@ -183,7 +183,7 @@ def first_tile_errors(spark, sf_dir):
 
 def tile_diffs(spark, sf_dir):
     """Differences of neighbouring tiles in the order of identifiers."""
-    ranked = spectrum.ranked(tile_spectrum(spark, sf_dir), "tile_id").select("tile_id", "rank")
+    ranked = spectrum.ranked(tile_spectrum(spark, sf_dir), "tile_id", length=PARAMS.tile).select("tile_id", "rank")
     other = ranked.select(F.col("tile_id").alias("before"), (F.col("rank") + 1).alias("rank"))
     d = ranked.join(other, "rank").select("tile_id", "before", F.explode(codec.differences(F.col("tile_id"), F.col("before"), PARAMS.tile)).alias("e"))
     return d.groupBy("tile_id", "before").agg(F.count(F.lit(1)).alias("n_diff"), F.min("e.pos").cast("long").alias("first_pos"), F.sum(F.col("e.from") * 4 + F.col("e.to")).alias("codes"))
@@ -204,7 +204,7 @@ def block_assignment(spark, sf_dir):
 
 
 def delta_bytes_per_node(spark, sf_dir):
-    return delta.node_bytes(kmer_spectrum(spark, sf_dir), "kmer_id", NODE)
+    return delta.node_bytes(kmer_spectrum(spark, sf_dir), "kmer_id", NODE, PARAMS.k)
 
 
 def delta_restarts(spark, sf_dir):

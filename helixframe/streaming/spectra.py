@@ -13,7 +13,8 @@ from ..operators.windows import window_ids
 def fastq_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """(read_id, bases, quals) of files that arrive in a folder; a file is one row, so files should be moderate.
 
-    A record that is cut off at the end of its file is an error.
+    A record that is cut off at the end of its file or has an empty line is an error; empty
+    lines at the end are passed over.
     """
     files = spark.readStream.schema("value string").option("maxFilesPerTrigger", max_files).text(path, wholetext=True)
     lines = F.transform(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", "")))
@@ -23,6 +24,9 @@ def fastq_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     placed = files.select(lines.alias("l")).select(whole.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor((F.size("l") - 4) / 4).cast("int"))).alias("i")).where("size(l) >= 4")
     at = lambda k: F.get("l", F.col("i") * 4 + k)
     ident = F.regexp_extract(at(0), r"^@?(\d{1,18})", 1)
+    blank = [at(i) == "" for i in range(4)]
+    odd = (blank[0] | blank[1] | blank[2] | blank[3]) & ~(blank[0] & blank[1] & blank[2] & blank[3])
+    placed = placed.withColumn("l", F.when(odd, F.raise_error(F.lit("a record is cut off or has an empty line")).cast("array<string>")).otherwise(F.col("l")))
     return placed.select(F.when(ident != "", ident).cast("long").alias("read_id"), at(1).alias("bases"), at(3).alias("quals")).where("length(bases) > 0")
 
 
