@@ -111,9 +111,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 # pivot tables -------------------------------------------------------------------------------
 def distances(fp: Column, refs: list[int]) -> list[Column]:
-    """Whole-length distances to the references, eight to a long, eight bits each."""
+    """Whole-length distances to the references, seven to a long, eight bits each."""
     one = [F.bit_count(fp.bitwiseXOR(F.lit(r).cast("long"))).cast("long") for r in refs]
-    return [reduce(add, [F.shiftleft(d, 8 * i) for i, d in enumerate(one[at:at + 8])]) for at in range(0, len(one), 8)]
+    return [reduce(add, [F.shiftleft(d, 8 * i) for i, d in enumerate(one[at:at + 7])]) for at in range(0, len(one), 7)]
 
 
 def band_distances(fp: Column, at: Column, width: int, refs: list[int]) -> Column:
@@ -126,11 +126,11 @@ def band_distances(fp: Column, at: Column, width: int, refs: list[int]) -> Colum
 def within(a: Column, b: Column) -> Column:
     """Whether no eight-bit coordinate of two packed tables differs by more than NEAR = 2.
 
-    Coordinates are 0 to 64. a - b + 66 lies in 64 to 68 exactly where they are close: no
+    Coordinates are 0 to 64, seven to a long, so sums stay positive. a - b + 66 lies in 64 to 68 exactly where they are close: no
     field borrows from its neighbour, bits 3 to 7 tell 64 to 71, and adding 3 to the low
     bits tells 69 and more.
     """
-    each = lambda x: F.lit(int.from_bytes(bytes([x]) * 8, "big", signed=True)).cast("long")
+    each = lambda x: F.lit(int.from_bytes(bytes([x]) * 7, "big")).cast("long")
     t = a + each(66) - b
     top = t.bitwiseAND(each(0xF8)) == each(0x40)
     return top & ((t.bitwiseAND(each(7)) + each(3)).bitwiseAND(each(8)) == 0)

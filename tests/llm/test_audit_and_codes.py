@@ -82,13 +82,18 @@ def test_pieces_of_a_long_text_are_one_text(monkeypatch):
 def test_every_coordinate_test_is_a_bound(spark):
     """Coordinates of packed tables: close exactly where no two differ by more than two."""
     rng = np.random.RandomState(5)
-    a = rng.randint(0, 65, (400, 8))
+    a = rng.randint(0, 65, (400, 7))
     b = np.clip(a + rng.randint(-3, 4, a.shape) * (rng.rand(*a.shape) < 0.3), 0, 64)
-    pack = lambda x: x.astype(np.uint8).view("<i8")[:, 0].tolist()
+    pack = lambda x: [sum(int(v) << 8 * i for i, v in enumerate(row)) for row in x]
     rows = list(zip(pack(a), pack(b), (np.abs(a - b).max(1) <= 2).tolist()))
     df = spark.createDataFrame(rows, "a long, b long, want boolean")
     assert df.where(simhash.within(F.col("a"), F.col("b")) != F.col("want")).isEmpty()
     assert 0 < sum(r[2] for r in rows) < len(rows)
+    # the ends of all coordinates at once
+    ends = spark.createDataFrame([(0, -1), (-1, 0), (0, 3), (-1, -4)], "x long, y long")
+    table = lambda c: simhash.distances(F.col(c), [0, -1] * 6)
+    close = ends.select(*[simhash.within(a, b) for a, b in zip(table("x"), table("y"))]).collect()
+    assert [all(r) for r in close] == [False, False, True, True]
 
 
 @pytest.mark.parametrize("bucket", [2, 16, 4096])
@@ -101,7 +106,8 @@ def test_links_of_dense_groups(spark, bucket):
             x = base
             for i in rng.choice(64, rng.randint(0, 6)).tolist() if base % 2 else rng.choice(12, rng.randint(0, 6)).tolist():
                 x ^= 1 << i
-            values.add(x - (1 << 64) if x >= 1 << 63 else x)
+            x %= 1 << 64
+            values.add(x - (1 << 64) if x >> 63 else x)
     values = sorted(values | {0, 3, -1})
     v = np.array(values, np.int64)
     want = {(values[i], values[j]) for i in range(len(v)) for j in (np.flatnonzero(np.bitwise_count((v[i + 1:] ^ v[i]).view(np.uint64)) <= 2) + i + 1).tolist()}
