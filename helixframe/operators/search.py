@@ -17,8 +17,6 @@ with it; only the qualities of the bases differ between those.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,31 +54,33 @@ def adjacency(ids: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
 
 
 def _lists(pairs: DataFrame, kmers: DataFrame, p, rounds: tuple[int, int]) -> DataFrame:
-    """(h0, t0, lists): for each list the members (id, level) of its rounds; ``rounds``: of heads and of tails."""
+    """(h0, t0, l0 to l3): for each list the members (id, level) of its rounds; ``rounds``: of heads and of tails.
+
+    A list is an array of at most all k-mers within its rounds. From two rounds on, neighbours are made for
+    the whole spectrum, as nearly all of it is asked for, and each round joins with the same table.
+    """
     rc = lambda c: codec.revcomp_id(F.col(c), p.k)
     start = [(HEADS, F.col("h0")), (TAILS, F.col("t0")), (RHEADS, rc("t0")), (RTAILS, rc("h0"))]
     each = pairs.select("h0", "t0", F.explode(F.array(*[F.struct(F.lit(n).alias("list"), c.alias("id")) for n, c in start])).alias("e")).select("h0", "t0", "e.list", "e.id")
-    # a flip at ``lowest`` or further left changes the identifier by this much at least
-    by_list = lambda heads, tails: F.when(F.col("list").isin(HEADS, RTAILS), F.lit(heads)).otherwise(F.lit(tails))
-    least = by_list(1, 1 << 2 * (p.k - p.step)).cast("long")
-    grown = lambda of: F.filter("near", lambda x: x.bitwiseXOR(of) >= F.col("least"))
-    first = adjacency(each.select("id").distinct(), kmers, p.k)
-    own = each.join(first, "id").withColumn("least", least).withColumn("most", by_list(*rounds))
-    keys = ["h0", "t0", "list"]
-    member = lambda ids, level: F.transform(ids, lambda x: F.struct(x.alias("id"), F.lit(level).alias("level")))
-    one = F.when(F.col("most") >= 1, grown(F.col("id"))).otherwise(F.array().cast("array<long>"))
-    made = own.select(*keys, "least", "most", F.col("id").alias("own"), one.alias("one"))
-    parts = [made.select(*keys, F.concat(member(F.array("own"), 0), member(F.col("one"), 1)).alias("m"))]
-    have = made.where("most >= 2").select(*keys, "least", "most", F.explode(F.concat(F.array("own"), "one")).alias("id"))
-    for level in range(2, max(rounds) + 1):
-        # the round before, with its neighbours; the spectrum's neighbours are made once for each member
-        next_ = have.join(adjacency(have.select("id").distinct(), kmers, p.k), "id")
-        new = next_.select(*keys, "least", "most", F.explode(grown(F.col("id"))).alias("id")).distinct()
-        parts.append(new.groupBy(*keys).agg(F.collect_list(F.struct("id", F.lit(level).alias("level"))).alias("m")))
-        have = have.unionAll(new).distinct().where(F.col("most") > level)
-    all_ = reduce(DataFrame.unionAll, parts)
-    list_of = lambda n: F.flatten(F.collect_list(F.when(F.col("list") == n, F.col("m")))).alias(f"l{n}")
-    return all_.groupBy("h0", "t0").agg(*[list_of(n) for n in range(4)])
+    # a flip at the lowest base that may change, or further left, changes the identifier by this much at least
+    far = F.col("list").isin(HEADS, RTAILS)
+    least = F.when(far, F.lit(1)).otherwise(F.lit(1 << 2 * (p.k - p.step))).cast("long")
+    most = F.when(far, F.lit(rounds[0])).otherwise(F.lit(rounds[1]))
+    ids = each.select("id").distinct() if max(rounds) < 2 else kmers.select(F.col("kmer_id").alias("id"))
+    near, keys = adjacency(ids, kmers, p.k), ["h0", "t0", "list"]
+    members = each.withColumn("level", F.lit(0))
+    for level in range(1, max(rounds) + 1):
+        # the neighbours of all members so far are the next ones, members among them
+        own = F.col("id")
+        grown = F.when(most >= level, F.filter("near", lambda x: x.bitwiseXOR(own) >= least)).otherwise(F.array().cast("array<long>"))
+        both = members.join(near, "id").select(*keys, F.struct("id", "level").alias("m"), grown.alias("g"))
+        all_ = both.groupBy(*keys).agg(F.collect_list("m").alias("m"), F.array_distinct(F.flatten(F.collect_list("g"))).alias("g"))
+        new = F.transform("g", lambda x: F.struct(x.alias("id"), F.lit(level).alias("level")))
+        members = all_.select(*keys, F.inline(F.concat("m", new)))
+    if not max(rounds):
+        members = members.join(near.select("id"), "id", "left_semi")
+    list_of = lambda n: F.collect_list(F.when(F.col("list") == n, F.struct("id", "level"))).alias(f"l{n}")
+    return members.groupBy("h0", "t0").agg(*[list_of(n) for n in range(4)])
 
 
 def candidates(pairs: DataFrame, kmers: DataFrame, tiles: DataFrame, p, rounds: tuple[int, int]) -> DataFrame:

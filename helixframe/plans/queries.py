@@ -108,8 +108,8 @@ def hamming1_pairs(spark, sf_dir):
 
 
 def hamming2_pairs(spark, sf_dir):
-    """Tiles of the spectrum that differ in one or two bases."""
-    often = spectrum.tile_spectrum(derived_reads(spark, sf_dir), Params(k=10, step=4, min_count=2))
+    """Tiles that occur four times or more and differ in one or two bases."""
+    often = spectrum.tile_spectrum(derived_reads(spark, sf_dir), Params(k=10, step=4, min_count=4))
     return neighbors.hamming_pairs(often, "tile_id", PARAMS.tile, 2)
 
 
@@ -530,7 +530,7 @@ ORACLE = {
       FROM reads LEFT JOIN fixes USING (read_id)""",
     "error_summary": _CORRECTION + ' SELECT f AS "from", t AS "to", count(*) AS n, count(DISTINCT read_id) AS n_reads FROM errors GROUP BY f, t',
     "first_tile_search_two": _bag_search_sql(TWO),
-    "hamming2_pairs": _with(_TILES2, f"""
+    "hamming2_pairs": _with(_spectrum_sql("ti", _T, True, 4, "tile_id"), f"""
       masks AS (SELECT a.p AS p, b.p AS q, ~((3::BIGINT << CAST(2 * a.p AS INT)) | (3::BIGINT << CAST(2 * b.p AS INT))) AS m FROM (SELECT unnest(range(0, {_T})) AS p) a, (SELECT unnest(range(0, {_T})) AS p) b WHERE a.p < b.p),
       keyed AS (SELECT tile_id, p, q, tile_id & m AS key FROM ti, masks)""")
       + " SELECT DISTINCT a.tile_id AS a, b.tile_id AS b FROM keyed a JOIN keyed b ON a.p = b.p AND a.q = b.q AND a.key = b.key AND a.tile_id < b.tile_id",

@@ -276,3 +276,31 @@ def test_a_replayed_batch_leaves_one_copy(spark, tmp_path):
     (tmp_path / "in" / "9.fq").write_text("@1\nACGT\n+\n")
     with pytest.raises(Exception, match="cut off"):
         run()
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_first_tiles_by_joins_are_settled_as_by_the_kernel(spark, distance):
+    import numpy as np
+
+    from helixframe.operators import search
+
+    rng = random.Random(distance)
+    p = Params(k=5, step=2, max_distance=distance, min_count=1, quality_threshold=45, max_bad=3, low_quality=62, trusted_count=12)
+    genome = "".join(rng.choice("ACGT") for _ in range(70))
+    rows = []
+    for i in range(150):
+        at, n = rng.randint(0, 55), rng.randint(6, 15)
+        b = "".join(rng.choice("ACGT") if rng.random() < 0.06 else c for c in genome[at:at + n])
+        rows.append((i, b[::-1].translate(COMPLEMENT) if i % 3 == 0 else b, "".join(chr(rng.choice([35, 48, 60, 70, 73])) for _ in b)))
+    reads = spark.createDataFrame(rows, "read_id long, bases string, quals string")
+    kmers, tiles = spectrum.kmer_spectrum(reads, p), spectrum.tile_spectrum(reads, p)
+    settler = correct.Settler(p, correct.Arrays(*correct._arrays(kmers, tiles)))
+    first = [(i, b[:p.tile], q[:p.tile]) for i, b, q in rows if len(b) >= p.tile]
+    number = lambda b: sum("ACGT".index(c) << 2 * (p.tile - 1 - j) for j, c in enumerate(b))
+    low = [sum(3 << 2 * (p.tile - 1 - j) for j, c in enumerate(q) if ord(c) < p.low_quality) for _, _, q in first]
+    n, u = len(first), lambda x: np.array(x, np.uint64)
+    ok, to = settler.settle(u([number(b) for _, b, _ in first]), [np.full(n, distance)] * 2, [np.zeros(n, np.int64), np.full(n, p.k - p.step)], u(low))
+    want = {i: int(t) if k else -1 for (i, _, _), k, t in zip(first, ok, to)}
+    got = {r.read_id: r for r in search.search(search.first_tiles(reads, p), kmers, tiles, p).collect()}
+    assert {i: r.chosen for i, r in got.items()} == want
+    assert {-1} < set(want.values()) and any(r.chosen not in (-1, r.own) for r in got.values()) and len({r.stage for r in got.values()}) > 2
