@@ -102,8 +102,8 @@ def test_op6_counts_are_the_library_s(spark, small, docs):
 
 
 def test_very_long_texts(spark):
-    """A text of some megabytes among short ones, in each operator on texts."""
-    long = " ".join(f"word{i % 4999} Part{i * 7 % 131}" for i in range(150_000)) + "\nend\nend"
+    """Texts of megabytes among short ones, in each operator on texts."""
+    long = " ".join(f"word{i % 4999} Part{i * 7 % 131}" for i in range(90_000)) + "\nend\nend"
     near = long + " and a little more"
     rows = [(1, long, "en", "s1"), (2, near, "en", "s1"), (3, "a few short words only", "de", "s2"), (4, long, "en", "s1"), (5, "x" * 3_000_000, "en", "s1")]
     df = spark.createDataFrame(rows, DOCS)
