@@ -60,3 +60,17 @@ def test_first_tiles_are_searched_and_merged_in_the_workers(spark, small):
 def test_sql_query_groups_counts_not_windows(spark, small):
     plan = _plan(queries.sql_frequent_kmers(spark, small))
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_counts_are_dealt_out_as_blocks(spark, small):
+    """Same counts as row by row; before, each identifier that a task had counted was a row to be dealt out."""
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import tallies
+
+    reads, p = _reads(spark, small).repartition(3).localCheckpoint(), Params(k=10, step=4)
+    for length, params, quality in ((3, None, True), (10, None, True), (14, p, True), (14, p, False)):
+        got, each = tallies.window_totals(reads, length, params, quality), tallies.window_counts(reads, length, params, quality)
+        want = each.groupBy("id").agg(*[F.sum(c).alias(c) for c in each.columns[1:]])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+        assert "ids#" in _plan(got)
