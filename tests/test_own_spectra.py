@@ -35,6 +35,9 @@ def test_own_spectra_give_what_given_ones_give(spark, k, step, rounds, least):
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(given.correct(reads))
     assert rows(own.correct(reads)) == want and any("pos=" in r for r in want)
+    cut = correct.Corrector.of_reads(reads, p, cut=iter)
+    assert rows(cut.correct(reads, iter)) == want and rows(cut.corrected(reads, iter)) == rows(own.corrected(reads))
+    cut.close()
     texts, once = own.corrected(reads), "read_id IS NOT NULL AND read_id <> 7"
     assert rows(texts.where(once)) == rows(correct.corrected_reads(reads.where(once), given.correct(reads.where(once))))
     assert texts.count() == reads.count() and any(set("acgt") & set(r.bases or "") for r in texts.collect())
